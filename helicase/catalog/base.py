@@ -100,7 +100,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "noisy": (
         ("mates",),
         f"""SELECT *, {hexd('h', 1)} AS kind,
-              CASE WHEN length(clean) > 0 THEN 1 + (16 * {hexd('h', 2)} + {hexd('h', 3)}) % greatest(length(clean), 1) ELSE 1 END AS at
+              CASE WHEN length(clean) > 0 THEN 1 + (16 * {hexd('h', 2)} + {hexd('h', 3)}) % greatest(length(clean), 1) ELSE 1 END AS spot
             FROM (SELECT *, md5(eff || ':' || mate) AS h FROM mates)""",
     ),
     "dirty": (
@@ -108,7 +108,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT pair_id, eff, mate,
              CASE WHEN kind = 15 AND length(clean) > 1 THEN
                left(clean, length(clean) // 2) || 'A' || substr(clean, length(clean) // 2 + 1, length(clean) - length(clean) // 2 - 1)
-             ELSE left(clean, at - 1) || translate(substr(clean, at, width), 'ACGT', 'GTAC') || substr(clean, at + width) END AS nucs0
+             ELSE left(clean, spot - 1) || translate(substr(clean, spot, width), 'ACGT', 'GTAC') || substr(clean, spot + width) END AS nucs0
            FROM (SELECT *, CASE WHEN kind < 8 THEN 0 WHEN kind < 12 THEN 1 WHEN kind < 14 THEN 3 ELSE 7 END AS width FROM noisy)""",
     ),
     "reads": (
