@@ -11,6 +11,10 @@ from helicase.functions import dna
 KMER = 4
 SAMPLE_STEP = 11
 
+# For totals over results that are already small: a row per Q, length or read
+# position. Never used on reads or bases.
+_WHOLE = W.partitionBy()
+
 
 def per_base(reads: DataFrame, *keep: str) -> DataFrame:
     """One row per base: ``(i, base, q)`` with the 0-based read position."""
@@ -70,8 +74,7 @@ def quality_overall(reads: DataFrame) -> DataFrame:
 def quality_histogram(reads: DataFrame) -> DataFrame:
     """Share of bases per Q below 50, over all bases."""
     counts = per_base(reads).groupBy("q").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).scalar()
-    return counts.where("q < 50").select("q", (F.col("n") / total).alias("share"))
+    return counts.select("q", (F.col("n") / F.sum("n").over(_WHOLE)).alias("share")).where("q < 50")
 
 
 def read_lengths(reads: DataFrame) -> DataFrame:
@@ -136,14 +139,12 @@ def begin_trim(ratios: DataFrame, lookahead: int = 10, sigmas: float = 5.0) -> D
     ``ratios`` is the GC ratio per read position, so all windows here run over
     one row per position of a read.
     """
-    top = ratios.agg(F.max("i") + 1).scalar()
-    centre = ratios.where((F.col("i") > top * 0.1) & (F.col("i") < top * 0.9))
-    mean = centre.agg(F.avg("ratio")).scalar()
-    sd = centre.agg(F.stddev_pop("ratio")).scalar()
     ahead = W.orderBy("i").rowsBetween(1, lookahead)
-    z = F.abs(F.try_divide(F.col("ratio") - mean, sd))
+    centre = F.when((F.col("i") > F.col("_top") * 0.1) & (F.col("i") < F.col("_top") * 0.9), F.col("ratio"))
+    z = F.abs(F.try_divide(F.col("ratio") - F.avg(centre).over(_WHOLE), F.stddev_pop(centre).over(_WHOLE)))
     return (
-        ratios.withColumn("_z", z)
+        ratios.withColumn("_top", F.max("i").over(_WHOLE) + 1)
+        .withColumn("_z", z)
         .withColumn("_worst", F.max("_z").over(ahead))
         .withColumn("_rows", F.count("*").over(ahead))
         .where((F.col("_rows") == lookahead) & (F.col("_worst") <= sigmas))
@@ -155,13 +156,13 @@ def index_lengths(lengths: DataFrame, most: int = 3, enough: float = 0.99) -> Da
     """The most frequent read lengths until ``enough`` of the reads are covered."""
     w = W.orderBy(F.desc("n"), F.desc("length"))
     before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = lengths.agg(F.sum("n")).scalar()
     return (
-        lengths.orderBy(F.desc("n"), F.desc("length"))
+        lengths.withColumn("_total", F.sum("n").over(_WHOLE))
+        .orderBy(F.desc("n"), F.desc("length"))
         .limit(most)
         .withColumn("_before", before)
-        .withColumn("covered", (F.col("_before") + F.col("n")) / total)
-        .where(F.col("_before") <= total * enough)
+        .withColumn("covered", (F.col("_before") + F.col("n")) / F.col("_total"))
+        .where(F.col("_before") <= F.col("_total") * enough)
         .select("length", "n", "covered")
     )
 
@@ -170,8 +171,7 @@ def duplicate_histogram(reads: DataFrame, cap: int = 20) -> DataFrame:
     """Share of reads per multiplicity of their sequence, multiplicities capped."""
     mult = reads.groupBy("nucs").agg(F.count("*").alias("c"))
     by = mult.groupBy(F.least("c", F.lit(cap)).alias("multiplicity")).agg(F.sum("c").alias("n"))
-    total = by.agg(F.sum("n")).scalar()
-    return by.select("multiplicity", "n", (F.col("n") / total).alias("share"))
+    return by.select("multiplicity", "n", (F.col("n") / F.sum("n").over(_WHOLE)).alias("share"))
 
 
 def trim(reads: DataFrame, begin: int = 0, end: int = 0) -> DataFrame:

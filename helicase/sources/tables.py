@@ -162,3 +162,78 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.left(letters, F.length("nucs")).alias("qual"),
         )
     )
+
+
+def feature_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features laid over the reference, one per customer, plus one per chromosome.
+
+    Types, strands and lengths follow from the key; no feature leaves its
+    chromosome.
+    """
+    n = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    key = F.col("c_custkey")
+    g = F.col("g")
+    size = F.least(F.lit(CHUNKS_PER_REF), n - idiv(g, CHUNKS_PER_REF) * CHUNKS_PER_REF) * CHUNK
+    start = (g % CHUNKS_PER_REF) * CHUNK + 1 + key % 32
+    kinds = F.array(*[F.lit(x) for x in ("gene", "CDS", "exon", "mRNA", "repeat_region")])
+    kind = F.element_at(kinds, (key % 5 + 1).cast("int"))
+    parent = F.when((key % 5).isin(1, 2, 3), F.concat(F.lit("gene:"), (key - key % 5).cast("string")))
+    attributes = (
+        F.when(key % 11 == 5, F.lit("."))
+        .when(key % 50 == 13, F.concat(F.lit("ID=whole"), key.cast("string"), F.lit(";genome=chromosome")))
+        .otherwise(
+            F.concat_ws(
+                ";",
+                F.concat(F.lit("ID="), kind, F.lit(":"), key.cast("string")),
+                F.concat(F.lit("Parent="), parent),
+                F.when(key % 3 == 0, F.concat(F.lit("Note="), "c_mktsegment")),
+                F.concat(F.lit("Name="), "c_name"),
+            )
+        )
+    )
+    return (
+        table(spark, sf_dir, "customer")
+        .select("c_custkey", "c_name", "c_mktsegment")
+        .withColumn("g", (key * 37) % n)
+        .select(
+            ref_of(g).alias("chromosome"),
+            F.lit("derived").alias("source"),
+            kind.alias("type"),
+            start.alias("start"),
+            F.least(start + 59 + (key % 9) * 15, size).alias("stop"),
+            F.lit(".").alias("score"),
+            F.when(key % 2 == 0, "+").otherwise("-").alias("strand"),
+            F.lit(".").alias("phase"),
+            attributes.alias("attributes"),
+        )
+    )
+
+
+def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GTF text, one line per customer: a gene row per ten keys, the rest exons."""
+    key = F.col("c_custkey")
+    gene = idiv(key, 10)
+    start = gene * 1000 + (key % 10) * 90 + 1
+    stop = F.when(key % 10 == 0, start + 900).otherwise(start + 30 + key % 7)
+    attrs = F.concat(
+        F.lit('gene_id "E'), gene.cast("string"), F.lit('"; gene_name "G'), gene.cast("string"), F.lit('"; '),
+        F.when(key % 10 == 0, F.lit("")).otherwise(
+            F.concat(F.lit('transcript_version "'), (key % 3 + 1).cast("string"), F.lit('"; '))
+        ),
+        F.lit('gene_biotype "'), F.when(gene % 7 == 3, "lincRNA").otherwise("protein_coding"), F.lit('";'),
+        F.when(key % 4 == 0, F.lit(" # remark")).otherwise(F.lit("")),
+    )
+    return table(spark, sf_dir, "customer").select(
+        F.concat_ws(
+            "\t",
+            F.concat(F.lit("c"), (gene % 5).cast("string")),
+            F.lit("derived"),
+            F.when(key % 10 == 0, "gene").otherwise("exon"),
+            start.cast("string"),
+            stop.cast("string"),
+            F.lit("."),
+            F.when(gene % 2 == 0, "+").otherwise("-"),
+            F.lit("."),
+            attrs,
+        ).alias("value")
+    )
