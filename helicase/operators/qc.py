@@ -11,9 +11,14 @@ from helicase.functions import dna
 KMER = 4
 SAMPLE_STEP = 11
 
-# For totals over results that are already small: a row per Q, length or read
-# position. Never used on reads or bases.
-_WHOLE = W.partitionBy()
+
+def _whole():
+    """Window for totals over results that are already small.
+
+    Those have a row per Q, length or read position; reads or bases never pass
+    through it.
+    """
+    return W.partitionBy()
 
 
 def per_base(reads: DataFrame, *keep: str) -> DataFrame:
@@ -74,7 +79,7 @@ def quality_overall(reads: DataFrame) -> DataFrame:
 def quality_histogram(reads: DataFrame) -> DataFrame:
     """Share of bases per Q below 50, over all bases."""
     counts = per_base(reads).groupBy("q").agg(F.count("*").alias("n"))
-    return counts.select("q", (F.col("n") / F.sum("n").over(_WHOLE)).alias("share")).where("q < 50")
+    return counts.select("q", (F.col("n") / F.sum("n").over(_whole())).alias("share")).where("q < 50")
 
 
 def read_lengths(reads: DataFrame) -> DataFrame:
@@ -141,9 +146,9 @@ def begin_trim(ratios: DataFrame, lookahead: int = 10, sigmas: float = 5.0) -> D
     """
     ahead = W.orderBy("i").rowsBetween(1, lookahead)
     centre = F.when((F.col("i") > F.col("_top") * 0.1) & (F.col("i") < F.col("_top") * 0.9), F.col("ratio"))
-    z = F.abs(F.try_divide(F.col("ratio") - F.avg(centre).over(_WHOLE), F.stddev_pop(centre).over(_WHOLE)))
+    z = F.abs(F.try_divide(F.col("ratio") - F.avg(centre).over(_whole()), F.stddev_pop(centre).over(_whole())))
     return (
-        ratios.withColumn("_top", F.max("i").over(_WHOLE) + 1)
+        ratios.withColumn("_top", F.max("i").over(_whole()) + 1)
         .withColumn("_z", z)
         .withColumn("_worst", F.max("_z").over(ahead))
         .withColumn("_rows", F.count("*").over(ahead))
@@ -157,7 +162,7 @@ def index_lengths(lengths: DataFrame, most: int = 3, enough: float = 0.99) -> Da
     w = W.orderBy(F.desc("n"), F.desc("length"))
     before = F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return (
-        lengths.withColumn("_total", F.sum("n").over(_WHOLE))
+        lengths.withColumn("_total", F.sum("n").over(_whole()))
         .orderBy(F.desc("n"), F.desc("length"))
         .limit(most)
         .withColumn("_before", before)
@@ -171,7 +176,7 @@ def duplicate_histogram(reads: DataFrame, cap: int = 20) -> DataFrame:
     """Share of reads per multiplicity of their sequence, multiplicities capped."""
     mult = reads.groupBy("nucs").agg(F.count("*").alias("c"))
     by = mult.groupBy(F.least("c", F.lit(cap)).alias("multiplicity")).agg(F.sum("c").alias("n"))
-    return by.select("multiplicity", "n", (F.col("n") / F.sum("n").over(_WHOLE)).alias("share"))
+    return by.select("multiplicity", "n", (F.col("n") / F.sum("n").over(_whole())).alias("share"))
 
 
 def trim(reads: DataFrame, begin: int = 0, end: int = 0) -> DataFrame:
