@@ -120,3 +120,32 @@ def cap_homopolymers(kmers: DataFrame, limit: int = 100) -> DataFrame:
         kmers.where(homo).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
     )
     return kmers.where(~homo).unionByName(first)
+
+
+def single_change_upgrades(counts: DataFrame, k: int, count: int = 2) -> DataFrame:
+    """K-mers seen ``count`` times that one substitution, or turning round, makes more frequent.
+
+    ``counts(kmer, n)``; returns ``(kmer, best)`` with the highest count reached.
+    A k-mer has ``3k`` neighbours, so the probe side grows by a constant factor.
+    """
+    at = F.sequence(F.lit(1), F.lit(k))
+    near = F.flatten(
+        F.transform(
+            at,
+            lambda i: F.transform(
+                F.array(*[F.lit(b) for b in dna.BASES]),
+                lambda b: F.concat(F.left(F.col("kmer"), i - 1), b, F.substring(F.col("kmer"), i + 1, F.lit(k))),
+            ),
+        )
+    )
+    turned = dna.revcomp("kmer")
+    probe = counts.where(F.col("n") == count).select(
+        "kmer", turned.alias("_rc"), F.explode(F.concat(F.array(turned), near)).alias("_other")
+    ).where(F.col("_other") != F.col("kmer"))
+    other = counts.select(F.col("kmer").alias("_other"), F.col("n").alias("_m"))
+    return (
+        probe.join(other, "_other")
+        .where((F.col("_m") > count) | (F.col("_other") == F.col("_rc")))
+        .groupBy("kmer")
+        .agg(F.max("_m").alias("best"))
+    )

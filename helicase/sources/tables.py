@@ -237,3 +237,54 @@ def gtf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             attrs,
         ).alias("value")
     )
+
+
+def rrna_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16S-like database ``(id, name, nucs)``: one stretch of the sample per customer.
+
+    Every third entry has one base changed, every seventh carries an N.
+    """
+    n = table(spark, sf_dir, "part").agg(F.count("*")).scalar()
+    sample = genome.with_overhang(
+        both_genomes(spark, sf_dir).select("ref", "chunk", "t"), CHUNK, CHUNK * (SAMPLE_PIECES - 1) + 1, col="t"
+    ).select("ref", "chunk", F.col("ext").alias("sample"))
+    key = F.col("c_custkey")
+    keyed = table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.col("c_name").alias("name"), ref_of((key * 53) % n).alias("ref"), (((key * 53) % n) % CHUNKS_PER_REF).alias("chunk")
+    )
+    text = F.left(F.col("sample"), (120 + F.col("id") % 40).cast("int"))
+    changed = (
+        F.when(F.col("id") % 7 == 2, F.concat(F.left(text, F.lit(29)), F.lit("N"), F.substring(text, F.lit(31), F.length(text))))
+        .when(F.col("id") % 3 == 1, _substitute(text, F.lit(50), F.lit(1)))
+        .otherwise(text)
+    )
+    return _settle(keyed.join(sample, ["ref", "chunk"]).select("id", "name", changed.alias("nucs")))
+
+
+def pool_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loci of several samples from ``lineitem``: pool = line number, locus = part."""
+    count = lambda flag: F.count_if(F.col("l_returnflag") == flag)
+    n = F.sum("l_quantity").cast("long")
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_linenumber").alias("pool"), F.col("l_partkey").alias("locus"))
+        .agg(
+            n.alias("num_diff"),
+            F.sum(F.round("l_extendedprice").cast("long") % 100).alias("depth"),
+            count("R").alias("dels"),
+            count("A").alias("_a"),
+            F.max("l_linestatus").alias("_s"),
+        )
+        .select(
+            "pool",
+            "locus",
+            "num_diff",
+            "depth",
+            "dels",
+            (F.col("locus") % 3 != 0).alias("gene"),
+            F.when(F.col("_s") == "F", "R1/9 C: GCA -> GCC, Alanine -> Alanine ")
+            .otherwise("R1/9 C: GCA -> TCA, Alanine -> Serine ")
+            .alias("amino_report"),
+            F.when(F.col("_a") > 0, F.concat(F.lit("AC: "), F.col("_a").cast("string"))).otherwise("").alias("insert_report"),
+        )
+    )
