@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from helicase.catalog.base import rc, sql
 from helicase.functions import dna
-from helicase.operators import kmers, lines, merging, pools, prefixes, similarity
+from helicase.operators import kmers, lines, merging, pools, prefixes, selfref, similarity
 from helicase.plans import stages as S
 from helicase.session import materialise
-from helicase.sources import tables as T
+from helicase.sources import genome, tables as T
 
 QUERIES, SQL = {}, {}
 
@@ -296,3 +296,22 @@ def _(spark, d):
     ext = S.reference_ext(spark, d).where("chunk % 250 = 10")
     seeds = ext.select(F.concat_ws(":", "ref", "chunk").alias("seed_id"), F.left("ext", F.lit(100)).alias("seed"))
     return prefixes.stitch(seeds, S.reads(spark, d), maxlen=200)
+
+
+def _order(spark, d):
+    return genome.with_offsets(genome.chromosomes(S.reference(spark, d)))
+
+
+@query("j15_best_reference")
+def _(spark, d):
+    return selfref.best_references(S.reference(spark, d), T.CHUNK, _order(spark, d), longest=64)
+
+
+@query("i02_self_encoding")
+def _(spark, d):
+    return selfref.encode(S.reference(spark, d), T.CHUNK, _order(spark, d), longest=64, block=4096)[0]
+
+
+@query("a36_encoding_totals")
+def _(spark, d):
+    return selfref.encode(S.reference(spark, d), T.CHUNK, _order(spark, d), longest=64, block=4096)[1]

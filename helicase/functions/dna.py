@@ -121,9 +121,9 @@ def amino_acid(codon) -> Column:
     third = F.instr(F.lit(CODON_ORDER), F.substring(codon, 3, 1))
     known = (F.length(codon) >= 2) & (first > 0) & (second > 0)
     tg = F.substring(codon, 1, 2) == "TG"
-    other = F.when(third > 0, third).otherwise(F.lit(3))
-    idx = (first - 1) * 16 + (second - 1) * 4 + other
     has_third = (third > 0) & (F.length(codon) >= 3)
+    other = F.when(has_third, third).otherwise(F.lit(3))
+    idx = (first - 1) * 16 + (second - 1) * 4 + other
     return (
         F.when(~known | (tg & ~has_third), F.lit("?"))
         .otherwise(F.substring(F.lit(GENETIC_CODE), idx, F.lit(1)))
