@@ -27,9 +27,20 @@ def merge_pairs(pairs: DataFrame, least: int = MIN_OVERLAP) -> DataFrame:
     p = pairs.withColumn("_inv", inv)
     n = F.least(F.length("one"), F.length("_inv"))
     lengths = F.when(n >= least, F.sequence(F.lit(least), n)).otherwise(F.array().cast("array<int>"))
-    ahead = F.array_max(F.filter(lengths, lambda o: F.left("one", o) == F.right("_inv", o)))
-    behind = F.array_max(F.filter(lengths, lambda o: F.right("one", o) == F.left("_inv", o)))
-    p = p.withColumn("_a", ahead).withColumn("_b", behind)
+    # Any overlap holds the first or last bases of the first mate whole, so most
+    # pairs are settled by one substring search.
+    near = lambda end: F.contains(F.col("_inv"), end)
+    ahead = F.when(
+        near(F.left("one", F.lit(least))),
+        F.array_max(F.filter(lengths, lambda o: F.left("one", o) == F.right("_inv", o))),
+    )
+    behind = F.when(
+        near(F.right("one", F.lit(least))),
+        F.array_max(F.filter(lengths, lambda o: F.right("one", o) == F.left("_inv", o))),
+    )
+    found = F.struct(F.col("_inv"), ahead.alias("_a"), behind.alias("_b"))
+    # One-element generator: later filters do not repeat the search.
+    p = p.select(*pairs.columns, F.inline(F.array(found)))
     return p.select(
         *pairs.columns,
         F.coalesce("_a", "_b").alias("overlap"),

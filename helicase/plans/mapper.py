@@ -34,10 +34,11 @@ class Mapping:
     seed: int = seeds.SEED
     indels: bool = True
     stage: Callable[[DataFrame, str], DataFrame] = lambda df, name: df
+    chunks_ext: DataFrame | None = None
 
-    @cached_property
-    def chunks_ext(self) -> DataFrame:
-        return self.stage(genome.with_overhang(self.chunks, self.size, self.span), "chunks")
+    def __post_init__(self):
+        if self.chunks_ext is None:
+            self.chunks_ext = self.stage(genome.with_overhang(self.chunks, self.size, self.span), "chunks")
 
     @cached_property
     def kept(self) -> DataFrame:
@@ -46,7 +47,10 @@ class Mapping:
 
     @cached_property
     def _probe(self) -> DataFrame:
-        return kmers.exact_matches(self.kept, self.chunks_ext, self.size, self.lengths, "left")
+        """Exact hits, and the left-over reads with their text, from one outer join."""
+        j = kmers.exact_matches(self.kept, self.chunks_ext, self.size, self.lengths, "left")
+        left = lambda c: F.when(F.col("pos").isNull(), F.col(c)).alias(c)
+        return self.stage(j.select("pair_id", "mate", "ref", "pos", "reverse", left("nucs"), left("qual")), "probe")
 
     @cached_property
     def exact(self) -> DataFrame:
@@ -57,11 +61,7 @@ class Mapping:
 
     @cached_property
     def fuzzy(self) -> DataFrame:
-        """Seeded candidates of the reads the exact join left over.
-
-        Left-overs are the null side of the same outer join, so the probe is
-        shuffled once for both.
-        """
+        """Seeded candidates of the reads the exact join left over."""
         rest = self._probe.where(F.col("pos").isNull()).select("pair_id", "mate", "nucs", "qual")
         return seeds.seeded_matches(rest, self.chunks_ext, self.size, self.seed, self.qlimit, self.indels)
 
@@ -87,7 +87,9 @@ class Mapping:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        return pileup.realign(self.placed, self.kept, self.chunks_ext, self.size, self.qlimit, self.indels)
+        return self.stage(
+            pileup.realign(self.placed, self.kept, self.chunks_ext, self.size, self.qlimit, self.indels), "aligned"
+        )
 
     @cached_property
     def base_rows(self) -> DataFrame:

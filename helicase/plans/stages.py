@@ -24,7 +24,7 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], object
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived read pairs, written once as a table, as imported FASTQ would be."""
-    return _once(spark, sf_dir, "reads", lambda: materialise(tables.reads(spark, sf_dir), "reads"))
+    return _once(spark, sf_dir, "reads", lambda: materialise(tables.reads(spark, sf_dir), "reads", spread=1))
 
 
 def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reference_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference chunks with overhang, written once as an imported genome would be."""
     return _once(
-        spark, sf_dir, "ext", lambda: materialise(tables.reference_ext(spark, sf_dir), "reference")
+        spark, sf_dir, "ext", lambda: materialise(tables.reference_ext(spark, sf_dir), "reference", spread=2)
     )
 
 
@@ -53,5 +53,6 @@ def mapping(spark: SparkSession, sf_dir: str, indels: bool) -> Mapping:
             duplimit=DUPLIMIT,
             indels=indels,
             stage=materialise,
+            chunks_ext=reference_ext(spark, sf_dir),
         ),
     )

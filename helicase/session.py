@@ -57,15 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", spread: int = 0) -> DataFrame:
     """Write an intermediate result as a table in the shared folder and read it back.
 
     For results that several branches of a plan consume: they are computed once,
     survive the loss of executors, and keep column pruning and size statistics,
-    from which Spark picks broadcast or shuffle joins.
+    from which Spark picks broadcast or shuffle joins. ``spread`` asks for that
+    many files per core, for tables whose rows expand into far more work than
+    their bytes suggest.
     """
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root}/helicase-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if spread:
+        df = df.repartition(spread * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -22,7 +22,15 @@ SAMPLE_PIECES = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A row here becomes many bases, so a file that Spark would read in fewer tasks
+    than it has cores is spread out first. Tables with more splits are left as
+    they are.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def idiv(a: Column, b: int) -> Column:
