@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helicase.functions.edit import read_indel
 from helicase.operators import clusters, coverage, kmers, merging, pairing, prefixes, selfref
 from helicase.plans.mapper import Mapping
+from helicase.session import materialise
 from helicase.sources import genome
 
 RC = str.maketrans("ACGT", "TGCA")
@@ -121,7 +122,7 @@ def small(spark):
         [(p, m, f"p{p}/{m}", s, q) for p, ms in pairs.items() for m, (s, q) in ms.items()],
         "pair_id long, mate int, name string, nucs string, qual string",
     )
-    m = Mapping(reads, chunked(spark, seqs, 64), 64, [70, 61], 80)
+    m = Mapping(reads, chunked(spark, seqs, 64), 64, [70, 61], 80, stage=materialise)
     return seqs, pairs, m
 
 
@@ -335,9 +336,9 @@ def test_encoding_matches_brute_force(spark):
         mutated[i] = "ACGT"["ACGT".index(mutated[i]) ^ 1]
     g = a + "".join(mutated) + rc(a[100:300]) + rand_seq(rng, 100) + a[40:240]
     chunks = chunked(spark, {"r": g}, 32)
-    steps, totals = selfref.encode(chunks, 32, genome.with_offsets(genome.chromosomes(chunks)), longest=128, block=256)
+    steps, totals = selfref.encode(chunks, 32, genome.with_offsets(genome.chromosomes(chunks)), longest=64, block=256)
     got = [(r.pos, r.at, r.reverse, r.cost, r.step) for r in steps.orderBy("pos").collect()]
-    want = brute_encode(g, 128)
+    want = brute_encode(g, 64)
     assert got == want
     assert any(s[2] for s in want) and any(s[2] is False for s in want)
     t = totals.first()
