@@ -28,6 +28,16 @@ def windows(chunks_ext: DataFrame, size: int, ks: list[int], step: int = 1) -> D
     )
 
 
+def expanded(df: DataFrame) -> DataFrame:
+    """Mark a side whose rows multiply behind the scan.
+
+    Spark sizes such a side by the file below it, a hundred times too small, and
+    would broadcast it through the driver; a merge join has no such bound to
+    get wrong.
+    """
+    return df.hint("merge")
+
+
 def exact_matches(reads: DataFrame, chunks_ext: DataFrame, size: int, lengths: list[int], how: str = "inner") -> DataFrame:
     """Places where a whole read equals the reference, in either orientation.
 
@@ -35,25 +45,44 @@ def exact_matches(reads: DataFrame, chunks_ext: DataFrame, size: int, lengths: l
     reads and windows cross the network once and not once per orientation. A
     sequence that equals its own reverse complement matches both ways.
     Rows: the read's columns plus ``ref, pos, reverse``; with ``how='left'`` reads
-    without a match keep one row with nulls.
+    without a match keep one row with nulls. Rows meet on a 64-bit hash, which
+    sorts by radix, and the sequences are compared on top of it. Reads that
+    cannot match never enter the join, so they do not pile up under a null key.
     """
     idx = windows(chunks_ext, size, lengths).select(
-        dna.canonical("kmer").alias("_key"),
+        dna.canonical("kmer").alias("_wkey"),
         (dna.revcomp("kmer") < F.col("kmer")).alias("_wflip"),
         "ref",
         "pos",
     )
+    idx = idx.withColumn("_wh", F.xxhash64("_wkey"))
     rc = dna.revcomp("nucs")
-    eligible = F.length("nucs").isin([int(x) for x in lengths]) & ~F.contains(F.col("nucs"), F.lit("N"))
-    probe = reads.withColumn("_key", F.when(eligible, F.least("nucs", rc))).withColumn("_rflip", rc < F.col("nucs"))
-    j = probe.join(idx, "_key", how)
+    fits = F.length("nucs").isin([int(x) for x in lengths]) & ~F.contains(F.col("nucs"), F.lit("N"))
+    probe = (
+        reads.where(fits)
+        .withColumn("_key", F.least("nucs", rc))
+        .withColumn("_rflip", rc < F.col("nucs"))
+        .withColumn("_h", F.xxhash64("_key"))
+    )
+    # Equality written as two bounds keeps the sequences out of the sort keys.
+    same = (F.col("_h") == F.col("_wh")) & (F.col("_key") <= F.col("_wkey")) & (F.col("_key") >= F.col("_wkey"))
+    j = probe.join(expanded(idx), same, how)
     palindrome = F.col("_key") == dna.revcomp("_key")
     turns = (
         F.when(F.col("pos").isNull(), F.array(F.lit(None).cast("boolean")))
         .when(palindrome, F.array(F.lit(False), F.lit(True)))
         .otherwise(F.array(F.col("_rflip") != F.col("_wflip")))
     )
-    return j.withColumn("reverse", F.explode(turns)).drop("_key", "_rflip", "_wflip")
+    hits = j.withColumn("reverse", F.explode(turns)).select(*reads.columns, "ref", "pos", "reverse")
+    if how == "inner":
+        return hits
+    none = reads.where(~fits).select(
+        "*",
+        F.lit(None).cast("string").alias("ref"),
+        F.lit(None).cast("long").alias("pos"),
+        F.lit(None).cast("boolean").alias("reverse"),
+    )
+    return hits.unionByName(none)
 
 
 def kmer_counts(kmers: DataFrame) -> DataFrame:
@@ -100,7 +129,7 @@ def lookup_positions(queries: DataFrame, kmers: DataFrame, before: Column | None
     """
     q = queries.withColumn("_key", dna.canonical("kmer"))
     k = kmers.select(dna.canonical("kmer").alias("_key"), F.col("kmer").alias("_hit"), "ref", "pos")
-    j = q.join(k, "_key")
+    j = q.join(expanded(k), "_key")
     if before is not None:
         j = j.where(F.col("pos") < before)
     return j.withColumn("reverse", F.col("_hit") != F.col("kmer")).drop("_key", "_hit")
@@ -144,7 +173,7 @@ def single_change_upgrades(counts: DataFrame, k: int, count: int = 2) -> DataFra
     ).where(F.col("_other") != F.col("kmer"))
     other = counts.select(F.col("kmer").alias("_other"), F.col("n").alias("_m"))
     return (
-        probe.join(other, "_other")
+        expanded(probe).join(other, "_other")
         .where((F.col("_m") > count) | (F.col("_other") == F.col("_rc")))
         .groupBy("kmer")
         .agg(F.max("_m").alias("best"))

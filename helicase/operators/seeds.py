@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helicase.functions import dna
 from helicase.functions.edit import find_indel
-from helicase.operators.kmers import windows
+from helicase.operators.kmers import expanded, windows
 from helicase.sources import genome
 
 SEED = 11
@@ -42,7 +42,7 @@ def seed_hits(seqs: DataFrame, chunks_ext: DataFrame, size: int, k: int = SEED)
         "nucs", "gap", "shift", "reverse", F.posexplode(F.array(part(0), part(1), part(2))).alias("letter", "kmer")
     )
     index = windows(chunks_ext, size, [k]).select("kmer", "ref", "pos")
-    return seeds.join(index, "kmer").drop("kmer")
+    return seeds.join(expanded(index), "kmer").drop("kmer")
 
 
 def triple_starts(hits: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from helicase.functions import dna
 from helicase.functions.edit import delta
-from helicase.operators.kmers import cap_homopolymers
+from helicase.operators.kmers import cap_homopolymers, expanded
 from helicase.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -103,7 +103,7 @@ def best_references(chunks: DataFrame, size: int, order: DataFrame, longest: int
     targets = places.select("ref", "pos", F.col("at").alias("_own"), "kmer", "here")
     e = F.col("_e")
     return (
-        targets.join(sources, "kmer")
+        expanded(targets).join(sources, "kmer")
         .where(F.col("at") < F.col("_own"))
         .withColumn("_e", extend_udf(longest)("here", "text"))
         .groupBy("ref", "pos")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from helicase.operators.kmers import expanded
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PAIR = T.StructType().add("x", T.IntegerType()).add("y", T.IntegerType()).add("shared", T.LongType())
@@ -67,7 +69,7 @@ def joint_compression(pieces: DataFrame, grid: int) -> DataFrame:
     two = pieces.select(F.col("piece").alias("y"), F.col("text").alias("_yt"), bz2_size("text").alias("y_size"))
     wide = one.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     return (
-        wide.join(two, "y")
+        expanded(wide).join(two, "y")
         .withColumn("joint", bz2_size(F.concat("_xt", "_yt")))
         .select("x", "y", "x_size", "y_size", "joint", (F.col("joint") / (F.col("x_size") + F.col("y_size"))).alias("ratio"))
     )

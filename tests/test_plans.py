@@ -40,3 +40,14 @@ def test_filters_reach_the_prefix_index(spark, sf_dir, tmp_path):
     prefixes.write_prefix_index(stages.reads(spark, sf_dir), str(tmp_path / "idx"), files=4)
     hit = spark.read.parquet(str(tmp_path / "idx")).where("prefix = 'ACGT'")
     assert "PushedFilters: [IsNotNull(prefix), EqualTo(prefix,ACGT)]" in plan(hit)
+
+
+@pytest.mark.parametrize("name", ["j02_exact_map", "j04_seed_triplets", "j13_earlier_places", "j15_best_reference", "a37_neighbour_upgrade"])
+def test_window_tables_are_never_broadcast(spark, sf_dir, name):
+    # Windows are far larger than the file they come from, which is all that the
+    # planner sees of them.
+    text = plan(entry.queries()[name](spark, sf_dir))
+    assert "SortMergeJoin" in text
+    for side in text.split("BroadcastExchange")[1:]:
+        first = re.search(r"(?<!Broadcast)Exchange|FileScan", side)
+        assert "Generate explode" not in side[: first.start() if first else None]
