@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from helicase.catalog.base import rc, sql
 from helicase.functions import dna, edit
-from helicase.operators import clusters, coverage, kmers, loci, pairing, pileup, seeds
+from helicase.operators import clusters, coverage, kmers, loci, pairing, picture, pileup, seeds
 from helicase.plans import stages as S
 from helicase.sources import genome, tables as T
 
@@ -403,3 +403,8 @@ def _(spark, d):
 def _(spark, d):
     g = T.both_genomes(spark, d)
     return g.select("ref", "chunk", edit.edit_text("s", "t").alias("e")).select("ref", "chunk", "e.*")
+
+
+@query("j21_region_picture")
+def _(spark, d):
+    return picture.read_rows(_regions(spark, d).select("ref", "start", "stop"), S.mapping(spark, d, False).aligned)

@@ -8,7 +8,7 @@ import sys
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from helicase.operators.kmers import expanded
 
@@ -45,11 +45,14 @@ def shared_kmers(kmers: DataFrame, piece: Column, grid: int) -> DataFrame:
         yield pd.DataFrame({"x": i.astype("int32"), "y": j.astype("int32"), "shared": total[i, j]})
 
     cells = sets.mapInPandas(gram, PAIR).groupBy("x", "y").agg(F.sum("shared").alias("shared"))
-    own = cells.where("x = y").select(F.col("x").alias("p"), F.col("shared").alias("k"))
-    return (
-        cells.join(own.select(F.col("p").alias("x"), F.col("k").alias("x_kmers")), "x")
-        .join(own.select(F.col("p").alias("y"), F.col("k").alias("y_kmers")), "y")
-        .select("x", "y", "x_kmers", "y_kmers", "shared")
+    own = F.when(F.col("x") == F.col("y"), F.col("shared"))
+    # A row of the grid per window group; the counts above run once.
+    return cells.select(
+        "x",
+        "y",
+        F.max(own).over(W.partitionBy("x")).alias("x_kmers"),
+        F.max(own).over(W.partitionBy("y")).alias("y_kmers"),
+        "shared",
     )
 
 

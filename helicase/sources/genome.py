@@ -90,6 +90,11 @@ def snippets(requests: DataFrame, chunks_ext: DataFrame, size: int, length: Colu
     )
 
 
+def named(chunks: DataFrame, word: str = "primary") -> DataFrame:
+    """Chromosomes whose full name contains ``word``."""
+    return chunks.where(F.contains("fullname", F.lit(word)))
+
+
 def base_totals(chunks: DataFrame) -> DataFrame:
     """Counts of A, C, G, T and the GC ratio per chromosome."""
     n = lambda b: F.sum(F.length("s") - F.length(F.translate("s", b, ""))).alias(b.lower() + "_count")
