@@ -106,7 +106,7 @@ def parse_genbank(records: DataFrame) -> DataFrame:
             lambda q: ~q.rlike(r"^(translation|transl_except|anticodon)\b"),
         ),
         lambda q: F.concat(
-            F.regexp_replace(F.regexp_extract(F.rtrim(q), r'(?s)^[A-Za-z_]+=(?:"(.*)"|-?\d+)$', 1), "\n", r"\\\\n"),
+            F.regexp_replace(F.regexp_extract(F.rtrim(q), r'(?s)^[A-Za-z_]+=(?:"(.*)"|-?\d+)$', 1), "\n", r"\\n"),
             F.regexp_extract(q, r"^[A-Za-z_]+=(-?\d+)\s*$", 1),
             F.lit(", "),
         ),
