@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helicase.llm import chat, html, licenses, sharding
-from helicase.llm.common import read
+import public_tokenizers
+
+from helicase.llm import chat, html, licenses, packing, quality, sharding, simhash
+from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
 SHARDS = [f"shard-{i:02d}" for i in range(16)]
 SLOTS = 2039
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 TOOLS = [
     ("reply", "prompt", "string", True, 1.0, 400.0),
@@ -95,3 +98,23 @@ SELECT conv_id, call_id, turn, level, status, n_calls, n_results, CASE WHEN n_ca
     'id', call_id, 'level', level, 'name', name, 'result', content, 'status', status) AS VARCHAR) AS json
 FROM s
 """
+
+
+def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER, end_id=2, size=1024)
+
+
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False))
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_best_fit, op2_quality_gam)}
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(read(spark, sf_dir, "documents"), 3, F.col("doc_id") % 100 == 0)
+
+
+QUERIES |= {"op10_simhash": op10_simhash}
