@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helicase.llm import chat, html, licenses, packing, quality, sharding, simhash
+from helicase.llm import chat, html, jaccard, licenses, packing, quality, sharding, simhash
 from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
@@ -118,3 +118,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op10_simhash": op10_simhash}
+
+
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents"), k=5, percent=80)
+
+
+QUERIES |= {"op8_jaccard_join": op8_jaccard_join}
