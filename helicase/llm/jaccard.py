@@ -73,27 +73,12 @@ def _survey(docs: DataFrame, k: int) -> DataFrame:
     return staged(rows.mapInArrow(run, "doc_id bigint, size bigint, set bigint, counts binary"), "jaccard-survey")
 
 
-def _total(survey: DataFrame) -> bytes:
-    """The sum of all tasks' counts, added up in two steps; its size is fixed by BUCKETS."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
-        for b in batches:
-            for x in b.column("counts"):
-                counts += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], ["counts"])
-
-    rows = survey.filter("counts is not null").select("counts")
-    some = rows.repartition(max(1, math.isqrt(rows.count()))).mapInArrow(add, "counts binary")
-    return some.repartition(1).mapInArrow(add, "counts binary").first()["counts"]
-
-
-def _columns(docs: DataFrame, counts: bytes, k: int, percent: int) -> DataFrame:
+def _columns(docs: DataFrame, counts: np.ndarray | None, k: int, percent: int) -> DataFrame:
     """(gram, size, set): the columns through which a set can meet a similar one."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(np.zeros(BUCKETS, np.int64) if counts is None else counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.frombuffer(zlib.decompress(shared.value), np.int64)
+        often = shared.value
         seen: set[int] = set()
         for b in batches:
             for _, _, owner, grams, size, sums in sets(b.column("text"), k):
@@ -258,7 +243,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     an equal set. Sets are known by 64-bit hashes.
     """
     survey = _survey(docs, k)
-    meet = staged(_meetings(_columns(docs, _total(survey), k, percent), percent), "jaccard-meetings")
+    meet = staged(_meetings(_columns(docs, common.tree_sum(survey, "counts", "int64"), k, percent), percent), "jaccard-meetings")
     wanted = meet.select(F.col("a").alias("set")).union(meet.select("b")).distinct()
     arrays = _arrays(docs, survey, wanted, k)
     pairs = meet.filter("not many").select("a", "b")

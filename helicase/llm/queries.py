@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helicase.llm import chat, html, jaccard, licenses, packing, quality, sharding, simhash
+from helicase.llm import chat, hmm, html, jaccard, licenses, packing, quality, sharding, simhash
 from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
@@ -125,3 +125,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_jaccard_join": op8_jaccard_join}
+
+
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(read(spark, sf_dir, "documents"), crc_of_id("doc_id") % 7 == 2)
+
+
+QUERIES |= {"op6_hidden_markov": op6_hidden_markov}
