@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helicase.llm import common
@@ -204,30 +204,43 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     return m
 
 
-def train(features: DataFrame, labels: DataFrame, learn_from, rows: int = FIT_ROWS) -> Model:
-    """Fitted on at most `rows` labelled rows, chosen by a hash of doc_id among those `learn_from` holds for.
+def train(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, rows: int = FIT_ROWS) -> Model:
+    """Fitted on the documents of at most `rows` labelled ids, chosen by a hash of doc_id among those `learn_from` holds for.
 
-    Rows of one doc_id count as one label (their rounded mean); null ids and labels teach nothing.
+    Several labels of one id count as their rounded mean, several documents of one id as the first by features; null ids and
+    labels teach nothing. Without labelled documents every score is a half.
     """
-    known = labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
-    some = features.join(known, "doc_id").filter(learn_from)
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("features", "y").toPandas()
+    known = labels.filter("quality is not null and doc_id is not null").filter(F.lit(True) if learn_from is None else learn_from)
+    known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
+    known = staged(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "quality-labels")
+    some = with_features(docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id"))
+    some = some.groupBy("doc_id").agg(F.min("features").alias("features")).join(F.broadcast(known), "doc_id")
+    some = some.orderBy("doc_id").limit(rows).select("features", "y").toPandas()
     x = np.stack(some["features"]).astype(np.float32) if len(some) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(x, some["y"].to_numpy(float))
 
 
-def score(docs: DataFrame, labels: DataFrame, learn_from=None) -> DataFrame:
-    """doc_id and `score` (0 to 1, high for quality 1) of every row of `docs` (doc_id, text).
+def scorer(model: Model):
+    """A column function: `score` of a text, 0 to 1 and high for quality 1."""
+    shared = SparkSession.active().sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.score(features_of(pa.array(texts, pa.string(), from_pandas=True))))
+
+    return run
+
+
+def score(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
+    """doc_id and `score` of every row of `docs` (doc_id, text).
 
     The whole text counts. Null texts are empty; empty texts are scored as the features' zeros say; repeated rows
     get equal scores; an empty table gives none. Nothing but the text is looked at, so other columns don't matter.
     """
-    x = staged(with_features(docs), "quality-features")
-    model = train(x, labels, F.lit(True) if learn_from is None else learn_from)
+    return docs.select("doc_id", scorer(train(docs, labels, learn_from))("text").alias("score"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = model.score(np.stack(b["features"]).astype(np.float32)) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s})
 
-    return x.mapInPandas(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, score double")
+def keep(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of `docs`, with all columns, whose score is `least` or more."""
+    return docs.filter(scorer(train(docs, labels))("text") >= least)

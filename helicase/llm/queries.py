@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helicase.llm import chat, hmm, html, jaccard, licenses, packing, quality, sharding, simhash
+from helicase.llm import chat, decontaminate, hmm, html, jaccard, licenses, packing, quality, sharding, simhash
 from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
@@ -106,7 +106,7 @@ def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_of_id("doc_id") % 3 == 1, F.lit(False))
-    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), ~held)  # a label's row has the document's id
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -132,3 +132,11 @@ def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op6_hidden_markov": op6_hidden_markov}
+
+
+def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "covered", "first_word", "last_word")
+
+
+QUERIES |= {"op3_spaced_seeds": op3_spaced_seeds}
