@@ -34,6 +34,7 @@ BLOCK_BYTES = 6 << 20
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 #: Baum-Welch rounds over all training texts.
 ROUNDS = 2
+SMOOTHING = 0.5
 
 
 def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
@@ -132,10 +133,10 @@ class Model:
         return np.concatenate([a[: x.at_step[0]].sum(0), moves.ravel(), *emitted])
 
     @staticmethod
-    def of(counts: np.ndarray, prior: np.ndarray, k: int = STATES) -> Model:
-        """The model of summed counts; every class keeps a little of its share in the corpus."""
+    def of(counts: np.ndarray, more: np.ndarray, k: int = STATES) -> Model:
+        """The model of summed counts, with `more` added to each state's emissions."""
         start, move, emit = counts[:k] + 1, counts[k : k + k * k].reshape(k, k) + 1, counts[k + k * k :].reshape(k, -1)
-        emit = emit + 0.01 * prior * (emit.sum(1)[:, None] + 100)
+        emit = emit + more
         return Model(start / start.sum(), move / move.sum(1)[:, None], (emit / emit.sum(1)[:, None]).T.copy())
 
 
@@ -157,13 +158,15 @@ def _training(row: dict, most: int | None = None) -> _Texts:
     return _Texts(n[use], _class(vocabulary)[numbers[np.repeat(use, n)]])
 
 
-def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
+def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all training texts, begun from states that are told apart on a few texts of one block.
 
-    `shares` are the classes' shares of the training tokens.
+    `tokens` and `types` are the classes' words in training texts, all and different ones. Each state adds SMOOTHING to its count
+    of a class for every type and for one word that never occurred.
     """
     rng = np.random.default_rng(7)
-    prior = (shares + 1e-9) / (shares + 1e-9).sum()
+    more = SMOOTHING * (types + 1.0)
+    prior = (tokens + types + 1) / (tokens + types + 1).sum()
     stay = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
     m = Model(np.full(STATES, 1 / STATES), stay, prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), STATES)))
     m.emit /= m.emit.sum(0)
@@ -171,12 +174,12 @@ def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
     for row in some:
         few = _training(row.asDict(), FIRST_TEXTS)
         for _ in range(FIRST_ROUNDS if len(few.row) else 0):
-            m = Model.of(m.counts(few), prior)
+            m = Model.of(m.counts(few), more * min(1, len(few.row) / max(1, tokens.sum())))
     for _ in range(rounds):
-        now = blocks.sparkSession.sparkContext.broadcast((m, prior))
+        now = blocks.sparkSession.sparkContext.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            model, total = now.value[0], None  # noqa: B023
+            model, total = now.value, None  # noqa: B023
             for b in batches:
                 for row in b.to_pylist():
                     own = model.counts(_training(row))
@@ -187,7 +190,7 @@ def train(blocks: DataFrame, shares: np.ndarray, rounds: int = ROUNDS) -> Model:
         partial = staged(blocks.select("held", "n", "vocabulary", "words").mapInArrow(run, "counts binary"), "hmm-counts")
         total = common.tree_sum(partial, "counts", "float64")
         if total is not None:
-            m = Model.of(total, prior)
+            m = Model.of(total, more)
     return m
 
 
@@ -222,7 +225,7 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     ends = int(blocks.agg(F.sum(F.size("doc_id") - held_texts / 2)).first()[0] or 0)
     tokens[CLASSES], types[CLASSES] = ends, int(ends > 0)
     n_all, v_all = int(tokens.sum()), int(types.sum())
-    model = train(blocks, tokens / max(n_all, 1))
+    model = train(blocks, tokens, types)
     # of a class's probability, a word it never had in training gets the share of one token
     given = spark.sparkContext.broadcast((model, tokens[:CLASSES] + types[:CLASSES] + 1))
 
