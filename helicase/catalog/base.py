@@ -6,8 +6,6 @@ order, in front of a final SELECT.
 
 from __future__ import annotations
 
-from helicase.functions.dna import CODON_ORDER, GENETIC_CODE, AMINO_NAMES
-
 RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
@@ -28,23 +26,45 @@ def _lead(col: str, n: int) -> str:
     return " || ".join([col] + [f"coalesce(lead({col}, {i}) OVER w, '')" for i in range(1, n)])
 
 
+# Fixed values, written out apart from the code under test: codons of each amino acid by the standard genetic code, and names as reports spell them.
+CODONS = {
+    "A": "GCT GCC GCA GCG", "C": "TGT TGC", "D": "GAT GAC", "E": "GAA GAG", "F": "TTT TTC", "G": "GGT GGC GGA GGG", "H": "CAT CAC", "I": "ATT ATC ATA",
+    "K": "AAA AAG", "L": "TTA TTG CTT CTC CTA CTG", "M": "ATG", "N": "AAT AAC", "P": "CCT CCC CCA CCG", "Q": "CAA CAG", "R": "CGT CGC CGA CGG AGA AGG",
+    "S": "TCT TCC TCA TCG AGT AGC", "T": "ACT ACC ACA ACG", "V": "GTT GTC GTA GTG", "W": "TGG", "Y": "TAT TAC", "s": "TAA TAG TGA",
+}
+NAMES = {
+    "A": "Alanine", "C": "Cysteine", "D": "Aspartic Acid", "E": "Glutamic Acid", "F": "Phenylanaline", "G": "Glycine", "H": "Histidine", "I": "Isoleucine", "K": "Lysine",
+    "L": "Leucine", "M": "Methionine", "N": "Asparagine", "P": "Proline", "Q": "Glutamine", "R": "Arganine", "S": "Serine", "T": "Threonine", "V": "Valine", "W": "Tryptophan",
+    "Y": "Tyrosine", "s": "Stop",
+}
+
+
 def amino(c: str) -> str:
-    """One-letter amino acid of a codon expression made of A, C, G, T, N or X."""
-    o = lambda i: f"instr('{CODON_ORDER}', substr({c}, {i}, 1))"
-    third = f"CASE WHEN length({c}) >= 3 AND {o(3)} > 0 THEN {o(3)} ELSE 3 END"
-    bad = (
-        f"length({c}) < 2 OR {o(1)} = 0 OR {o(2)} = 0 OR "
-        f"(substr({c}, 1, 2) = 'TG' AND (length({c}) < 3 OR {o(3)} = 0))"
-    )
-    idx = f"({o(1)} - 1) * 16 + ({o(2)} - 1) * 4 + ({third})"
-    return f"CASE WHEN {bad} THEN '?' ELSE substr('{GENETIC_CODE}', ({idx})::INT, 1) END"
+    """One-letter amino acid of a codon expression made of A, C, G, T, N or X; an unknown third base counts as A, but not after TG."""
+    known = f"(length({c}) >= 3 AND substr({c}, 3, 1) IN ('A', 'C', 'G', 'T'))"
+    whole = f"(substr({c}, 1, 2) || CASE WHEN {known} THEN substr({c}, 3, 1) ELSE 'A' END)"
+    arms = " ".join(f"WHEN {whole} IN ({', '.join(repr(x) for x in own.split())}) THEN '{letter}'" for letter, own in CODONS.items())
+    return f"CASE WHEN substr({c}, 1, 2) = 'TG' AND NOT {known} THEN '?' {arms} ELSE '?' END"
 
 
 def amino_name(letter: str) -> str:
-    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in AMINO_NAMES.items())
+    arms = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items())
     return f"CASE {letter} {arms} ELSE '?' END"
 
 
+def indels(pairs: str) -> str:
+    """(o, g, indel, amount) of the read and reference texts (o, g) of a query."""
+    least = "least(length(o), length(g))"
+    prefix = f"coalesce(nullif(list_position(list_transform(range(1, {least} + 1), lambda i: o[i] = g[i]), false), 0), {least} + 1) - 1"
+    differ = "list_sum(list_transform(range(1, n + 1), lambda i: CASE WHEN x[i] <> y[i] THEN 1 ELSE 0 END))"
+    return f"""SELECT o, g, (CASE WHEN best % 2 = 0 THEN p WHEN best % 2 = 1 THEN -p ELSE 0 END)::INT AS indel, coalesce(best // 2, 0)::INT AS amount FROM (
+        SELECT o, g, p, min(2 * a + del) FILTER (p >= 11 AND n >= 11 AND left(x, 11) = left(y, 11) AND p + n > 10 * a AND {differ} <= 1) AS best FROM (
+          SELECT *, least(length(x), length(y)) AS n FROM (
+            SELECT *, CASE WHEN del = 0 THEN substr(o, (p + a + 1)::INT) ELSE substr(o, (p + 1)::INT) END AS x, CASE WHEN del = 0 THEN substr(g, (p + 1)::INT) ELSE substr(g, (p + a + 1)::INT) END AS y
+            FROM (SELECT *, unnest(generate_series(1, length(o) // 10)) AS a FROM (SELECT DISTINCT o, g, {prefix} AS p FROM ({pairs}))), (SELECT unnest([0, 1]) AS del)))
+        GROUP BY o, g, p)"""
+
+
 STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     "part_src": (
         (),
@@ -125,8 +145,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "kept": (
         ("reads",),
-        """SELECT pair_id, mate, name, nucs, qual FROM (SELECT *, row_number() OVER (PARTITION BY nucs ORDER BY pair_id, mate) AS rn
-           FROM reads) WHERE rn <= 4""",
+        "SELECT pair_id, mate, name, nucs, qual FROM reads",
     ),
     "kmers": (
         ("ext",),
@@ -171,10 +190,10 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
              FROM hits WINDOW w AS (PARTITION BY nucs, shift, reverse, ref ORDER BY pos, letter))
            WHERE letter = 0 AND l1 = 1 AND l2 = 2 AND p1 - pos < 1.2 * gap AND p2 - p1 < 1.2 * gap AND pos - shift >= 1""",
     ),
-    "fuzzy": (
+    "fuzzy0": (
         ("starts", "leftover", "ext"),
-        f"""SELECT pair_id, mate, ref, pos, reverse, count_if(a <> b AND q > 30)::INT AS score FROM (
-             SELECT pair_id, mate, ref, pos, reverse, substr(o, i::INT, 1) AS a, substr(g, i::INT, 1) AS b, ascii(substr(oq, i::INT, 1)) - 33 AS q
+        f"""SELECT pair_id, mate, ref, pos, reverse, o, g, count_if(a <> b AND q > 30)::INT AS score FROM (
+             SELECT pair_id, mate, ref, pos, reverse, o, g, substr(o, i::INT, 1) AS a, substr(g, i::INT, 1) AS b, ascii(substr(oq, i::INT, 1)) - 33 AS q
              FROM (SELECT *, unnest(generate_series(1, least(length(o), length(g)))) AS i FROM (
                SELECT l.pair_id, l.mate, s.ref, s.pos, s.reverse,
                  CASE WHEN s.reverse THEN {rc('l.nucs')} ELSE l.nucs END AS o,
@@ -184,6 +203,11 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
                JOIN ext x ON x.ref = s.ref AND x.chunk = (s.pos - 1) // 32)))
            GROUP BY ALL""",
     ),
+    "fuzzy": (
+        ("fuzzy0",),
+        f"""SELECT pair_id, mate, ref, pos, reverse, CASE WHEN indel <> 0 THEN 1 ELSE score END AS score
+            FROM fuzzy0 f LEFT JOIN ({indels('SELECT o, g FROM fuzzy0 WHERE score >= 5')}) i ON f.score >= 5 AND f.o = i.o AND f.g = i.g""",
+    ),
     "cands": (("exact", "fuzzy"), "SELECT * FROM exact UNION ALL SELECT * FROM fuzzy"),
     "pairs": (
         ("cands",),
@@ -210,27 +234,42 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
            UNION ALL SELECT pair_id, mate, ref, pos, reverse, score, false, NULL FROM singles""",
     ),
     "unfound": (("kept", "placed"), "SELECT * FROM kept ANTI JOIN placed USING (pair_id, mate)"),
-    "laid": (
+    "laid0": (
         ("placed", "kept", "ext"),
         f"""SELECT p.*, r.name, CASE WHEN p.reverse THEN {rc('r.nucs')} ELSE r.nucs END AS o,
              CASE WHEN p.reverse THEN reverse(r.qual) ELSE r.qual END AS oq,
              substr(x.ext, ((p.pos - 1) % 32 + 1)::INT, length(r.nucs)) AS g
            FROM placed p JOIN kept r USING (pair_id, mate) JOIN ext x ON x.ref = p.ref AND x.chunk = (p.pos - 1) // 32""",
     ),
+    "points0": (
+        ("laid0",),
+        """SELECT pair_id, mate, coalesce(sum(CASE WHEN base = ref_base THEN 0 WHEN q > 30 THEN 1 ELSE 0.5 END), 0) < 5 AS near
+           FROM (SELECT pair_id, mate, substr(o, i::INT, 1) AS base, substr(g, i::INT, 1) AS ref_base, ascii(substr(oq, i::INT, 1)) - 33 AS q
+                 FROM (SELECT *, unnest(generate_series(1, least(length(o), length(g)))) AS i FROM laid0)) GROUP BY ALL""",
+    ),
+    "laid": (
+        ("laid0", "points0"),
+        f"""SELECT * EXCLUDE (o, oq, near), o AS whole, oq AS whole_q, coalesce(near, true) OR indel <> 0 AS ok,
+              CASE WHEN indel > 0 THEN left(o, indel) || substr(o, indel + amount + 1) WHEN indel < 0 THEN left(o, -indel) || repeat('X', amount) || substr(o, 1 - indel) ELSE o END AS o,
+              CASE WHEN indel > 0 THEN left(oq, indel) || substr(oq, indel + amount + 1) WHEN indel < 0 THEN left(oq, -indel) || repeat('I', amount) || substr(oq, 1 - indel) ELSE oq END AS oq,
+              CASE WHEN indel > 0 THEN substr(o, indel + 1, amount) END AS inserted, ascii(substr(oq, indel + 1, 1)) - 33 AS inserted_q
+            FROM (SELECT l.*, near, coalesce(i.indel, 0) AS indel, coalesce(i.amount, 0) AS amount FROM laid0 l LEFT JOIN points0 USING (pair_id, mate)
+                  LEFT JOIN ({indels('SELECT o, g FROM laid0 JOIN points0 USING (pair_id, mate) WHERE NOT near')}) i ON NOT near AND l.o = i.o AND l.g = i.g)""",
+    ),
     "rows0": (
         ("laid",),
-        """SELECT pair_id, mate, ref, pos + i - 1 AS pos, reverse, i - 1 AS i, length(o) AS n, length(g) AS m,
+        """SELECT pair_id, mate, ok, ref, pos + i - 1 AS pos, reverse, i - 1 AS i, length(o) AS n, length(g) AS m,
              substr(o, i::INT, 1) AS base, substr(g, i::INT, 1) AS ref_base, ascii(substr(oq, i::INT, 1)) - 33 AS q
            FROM (SELECT *, unnest(generate_series(1, least(length(o), length(g)))) AS i FROM laid)""",
     ),
     "points": (
-        ("rows0",),
-        """SELECT pair_id, mate, sum(CASE WHEN base = ref_base THEN 0 WHEN q > 30 THEN 1 ELSE 0.5 END) < 5 AS ok FROM rows0 GROUP BY ALL""",
+        ("laid",),
+        """SELECT pair_id, mate, ok FROM laid WHERE least(length(o), length(g)) > 0""",
     ),
     "base_rows": (
-        ("rows0", "points"),
+        ("rows0",),
         """SELECT ref, pos, base, ref_base, q, ok, reverse <> (i > n // 2) AS head, CASE WHEN reverse THEN m - 1 - i ELSE i END AS read_pos
-           FROM rows0 JOIN points USING (pair_id, mate)""",
+           FROM rows0""",
     ),
     "cov": (
         ("base_rows",),
@@ -241,8 +280,9 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
         "SELECT g.ref, g.pos, g.base, coalesce(c.depth, 0) AS depth FROM genome g LEFT JOIN cov c USING (ref, pos)",
     ),
     "diffs": (
-        ("base_rows",),
-        "SELECT ref, pos, base, q, head FROM base_rows WHERE base <> ref_base AND q > 30 AND ok",
+        ("base_rows", "laid"),
+        """SELECT ref, pos, base, q, head, NULL AS inserted FROM base_rows WHERE base <> ref_base AND q > 30 AND ok
+           UNION ALL SELECT ref, pos + indel, left(inserted, 1), inserted_q, reverse <> (indel > length(whole) // 2), inserted FROM laid WHERE indel > 0""",
     ),
     "locus0": (
         ("diffs",),
@@ -265,7 +305,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 # Steps that several later ones read.
-SHARED = {"chunks", "ext", "reads", "kept", "kmers", "exact", "leftover", "hits", "cands", "best", "placed", "rows0", "base_rows", "cov", "diffs", "loci", "dense"}
+SHARED = {"chunks", "ext", "reads", "kept", "kmers", "exact", "leftover", "hits", "cands", "best", "placed", "rows0", "base_rows", "cov", "diffs", "loci", "dense", "fuzzy0", "laid0", "laid"}
 
 
 def sql(select: str, *needs: str, extra: dict[str, str] | None = None) -> str:
@@ -282,5 +322,5 @@ def sql(select: str, *needs: str, extra: dict[str, str] | None = None) -> str:
     for n in needs:
         visit(n)
     ctes = [f"{n} AS {'MATERIALIZED ' if n in SHARED else ''}({STEPS[n][1]})" for n in order]
-    ctes += [f"{n} AS ({body})" for n, body in (extra or {}).items()]
+    ctes += [f"{n} AS MATERIALIZED ({body})" for n, body in (extra or {}).items()]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + select

@@ -41,7 +41,7 @@ def _(spark, d):
 
 @query("j02_exact_map", sql("SELECT pair_id, mate, ref, pos, reverse FROM exact", "exact"))
 def _(spark, d):
-    r = S.mapping(spark, d, False).kept
+    r = S.mapping(spark, d).kept
     return kmers.exact_matches(r, S.reference_ext(spark, d), T.CHUNK, T.READ_LENGTHS).select("pair_id", "mate", "ref", "pos", "reverse")
 
 
@@ -50,7 +50,7 @@ def _(spark, d):
     sql("SELECT length(nucs)::INT AS length, reverse, count(*) AS n, count(DISTINCT (pair_id, mate)) AS reads FROM exact JOIN kept USING (pair_id, mate) GROUP BY ALL", "exact", "kept"),
 )
 def _(spark, d):
-    r = S.mapping(spark, d, False).kept
+    r = S.mapping(spark, d).kept
     m = kmers.exact_matches(r, S.reference_ext(spark, d), T.CHUNK, T.READ_LENGTHS)
     return m.groupBy(F.length("nucs").alias("length"), "reverse").agg(
         F.count("*").alias("n"), F.countDistinct("pair_id", "mate").alias("reads")
@@ -59,47 +59,47 @@ def _(spark, d):
 
 @query("j04_seed_triplets", sql("SELECT nucs, ref, pos, reverse FROM starts", "starts"))
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     rest = m.kept.join(m.exact.select("pair_id", "mate"), ["pair_id", "mate"], "left_anti")
     return seeds.triple_starts(seeds.seed_hits(rest.select("nucs").distinct(), S.reference_ext(spark, d), T.CHUNK))
 
 
 @query("v13_diff_score", sql("SELECT pair_id, mate, ref, pos, reverse, score FROM fuzzy", "fuzzy"))
 def _(spark, d):
-    return S.mapping(spark, d, False).fuzzy
+    return S.mapping(spark, d).fuzzy
 
 
 @query("j07_pairs", sql("SELECT pair_id, ref, pos1, reverse1, score1, pos2, reverse2, score2 FROM pairs", "pairs"))
 def _(spark, d):
-    return S.mapping(spark, d, False).pairs
+    return S.mapping(spark, d).pairs
 
 
 @query("j08_best_pair", sql("SELECT pair_id, ref, pos1, reverse1, pos2, reverse2, score FROM best", "best"))
 def _(spark, d):
-    return S.mapping(spark, d, False).best_pairs.select("pair_id", "ref", "pos1", "reverse1", "pos2", "reverse2", "score")
+    return S.mapping(spark, d).best_pairs.select("pair_id", "ref", "pos1", "reverse1", "pos2", "reverse2", "score")
 
 
 @query("j09_best_single", sql("SELECT pair_id, mate, ref, pos, reverse, score FROM singles", "singles"))
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     return m.placed.where("not paired").select("pair_id", "mate", "ref", "pos", "reverse", "score")
 
 
 @query("j10_unfound", sql("SELECT pair_id, mate, nucs FROM unfound", "unfound"))
 def _(spark, d):
-    return S.mapping(spark, d, False).unfound.select("pair_id", "mate", "nucs")
+    return S.mapping(spark, d).unfound.select("pair_id", "mate", "nucs")
 
 
 @query(
     "a19_pair_distance",
     sql(
         """SELECT distance, count(*) AS n FROM (SELECT length(nucs) + CASE WHEN reverse2 THEN pos2 - pos1 ELSE pos1 - pos2 END AS distance
-           FROM best JOIN kept USING (pair_id) WHERE mate = 1) WHERE distance BETWEEN 0 AND 1499 GROUP BY distance""",
+           FROM best JOIN kept USING (pair_id) WHERE mate = 1) GROUP BY distance""",
         "best", "kept",
     ),
 )
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     return pairing.distance_histogram(pairing.pair_distances(m.best_pairs, m.kept))
 
 
@@ -113,7 +113,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     # Every branch is a one-row aggregate; the union is folded into one row.
     def one(df, **named):
         names = ["total", "too_frequent", "with_n", "found", "in_good_pairs", "unfound"]
@@ -135,12 +135,12 @@ def _(spark, d):
 
 @query("v14_map_to_reference", sql("SELECT pair_id, mate, ok FROM points", "points"))
 def _(spark, d):
-    return S.mapping(spark, d, False).aligned.where(F.least(F.length("nucs"), F.length("ref_bases")) > 0).select("pair_id", "mate", "ok")
+    return S.mapping(spark, d).aligned.where(F.least(F.length("nucs"), F.length("ref_bases")) > 0).select("pair_id", "mate", "ok")
 
 
 @query("a10_coverage", sql("SELECT ref, pos, depth FROM cov", "cov"))
 def _(spark, d):
-    return S.mapping(spark, d, False).coverage
+    return S.mapping(spark, d).coverage
 
 
 @query(
@@ -154,7 +154,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    s = coverage.depth_summary(S.mapping(spark, d, False).coverage, S.reference(spark, d))
+    s = coverage.depth_summary(S.mapping(spark, d).coverage, S.reference(spark, d))
     return s.select(
         "ref", F.round("mean_depth", 6).alias("mean_depth"), F.round("sd_depth", 6).alias("sd_depth"),
         "undercovered", F.round("undercovered_pct", 6).alias("undercovered_pct"),
@@ -164,16 +164,14 @@ def _(spark, d):
 @query(
     "a12_depth_hist",
     sql(
-        """SELECT ref, depth, round(n / (len + 1), 9) AS share FROM (
-             SELECT ref, depth, n, sum(n) OVER (PARTITION BY ref ORDER BY depth) AS run FROM (
-               SELECT ref, depth, count(*) + CASE WHEN depth = 0 THEN 1 ELSE 0 END AS n FROM dense GROUP BY ref, depth)) JOIN chroms USING (ref)
-           WHERE run <= (len + 1) * 0.999::DOUBLE""",
+        """SELECT ref, depth, round(n / (len + 1), 9) AS share, round(sum(n) OVER (PARTITION BY ref ORDER BY depth) / (len + 1), 9) AS running FROM (
+             SELECT ref, depth, count(*) + CASE WHEN depth = 0 THEN 1 ELSE 0 END AS n FROM dense GROUP BY ref, depth) JOIN chroms USING (ref)""",
         "dense", "chroms",
     ),
 )
 def _(spark, d):
-    h = coverage.depth_histogram(S.mapping(spark, d, False).coverage, S.reference(spark, d))
-    return h.select("ref", "depth", F.round("share", 9).alias("share"))
+    h = coverage.depth_histogram(S.mapping(spark, d).coverage, S.reference(spark, d))
+    return h.select("ref", "depth", F.round("share", 9).alias("share"), F.round("running", 9).alias("running"))
 
 
 @query(
@@ -187,7 +185,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    g = coverage.depth_by_gc(S.mapping(spark, d, False).coverage, S.reference_ext(spark, d), T.CHUNK)
+    g = coverage.depth_by_gc(S.mapping(spark, d).coverage, S.reference_ext(spark, d), T.CHUNK)
     return g.select(F.round("gc", 6).alias("gc"), F.round("depth", 6).alias("depth"), F.round("sd", 6).alias("sd"))
 
 
@@ -209,7 +207,7 @@ LOW = {
     ),
 )
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     low = coverage.low_regions(m.dense, m.chunks)
     flanked = coverage.with_flanks(low, S.reference_ext(spark, d), T.CHUNK)
     return coverage.region_text(flanked, m.chunks, T.CHUNK).select("ref", "pos", "stop", "left_flank", "right_flank", "bases")
@@ -226,7 +224,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     c = clusters.cluster_ids(coverage.low_regions(m.dense, m.chunks).select("ref", "pos"), 100)
     return clusters.cluster_ranges(c).select("ref", "first", "last", "middle", "members")
 
@@ -246,11 +244,11 @@ def _(spark, d):
 
 @query("a14_differences", sql("SELECT ref, pos, base, q, head, count(*) AS n FROM diffs GROUP BY ALL", "diffs"))
 def _(spark, d):
-    return S.mapping(spark, d, False).differences.groupBy("ref", "pos", "base", "q", "head").agg(F.count("*").alias("n"))
+    return S.mapping(spark, d).differences.groupBy("ref", "pos", "base", "q", "head").agg(F.count("*").alias("n"))
 
 
 def _loci(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     return loci.loci(m.differences, m.coverage, S.reference_ext(spark, d), T.CHUNK, with_inserts=False)
 
 
@@ -273,7 +271,7 @@ VARIABILITY = {
 
 @query("a23_variability", sql("SELECT ref, pos, variability FROM varied", "loci", "diffs", extra=VARIABILITY))
 def _(spark, d):
-    return loci.variability(_loci(spark, d), S.mapping(spark, d, False).differences).select("ref", "pos", "variability")
+    return loci.variability(_loci(spark, d), S.mapping(spark, d).differences).select("ref", "pos", "variability")
 
 
 REGIONS = VARIABILITY | {
@@ -286,7 +284,7 @@ REGIONS = VARIABILITY | {
 
 
 def _regions(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     return loci.regions(loci.variability(_loci(spark, d), m.differences), m.chunks)
 
 
@@ -308,7 +306,7 @@ def _(spark, d):
 )
 def _(spark, d):
     r = _regions(spark, d)
-    return loci.region_depths(r.withColumn("cluster", F.col("start")), S.mapping(spark, d, False).coverage).select(
+    return loci.region_depths(r.withColumn("cluster", F.col("start")), S.mapping(spark, d).coverage).select(
         "ref", F.col("cluster").alias("start"), "pos", "depth"
     )
 
@@ -323,7 +321,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    w = loci.base_weights(S.mapping(spark, d, False).differences)
+    w = loci.base_weights(S.mapping(spark, d).differences)
     return w.select("ref", "pos", *[F.round(c, 6).alias(c) for c in w.columns[2:]])
 
 
@@ -336,7 +334,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return pileup.quality_calibration(S.mapping(spark, d, False).base_rows).select("q", F.round("observed", 6).alias("observed"), "n")
+    return pileup.quality_calibration(S.mapping(spark, d).base_rows).select("q", F.round("observed", 6).alias("observed"), "n")
 
 
 @query(
@@ -349,7 +347,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return pileup.quality_by_position(S.mapping(spark, d, False).base_rows).select(
+    return pileup.quality_by_position(S.mapping(spark, d).base_rows).select(
         F.col("read_pos").cast("long").alias("read_pos"), F.round("observed", 6).alias("observed")
     )
 
@@ -369,32 +367,46 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return loci.locus_report(_loci(spark, d), S.mapping(spark, d, False).differences)
+    return loci.locus_report(_loci(spark, d), S.mapping(spark, d).differences)
 
 
-# The indel path is decided by Myers' edit script, which has no SQL form: these
-# run without expected SQL and are tested against brute force.
-
-
-@query("v12_indel")
+@query(
+    "v12_indel",
+    sql(
+        """SELECT pair_id, mate, ref, pos, indel, amount, CASE WHEN indel > 0 THEN indel || 'M' || amount || 'I' || (length(whole) - indel - amount) || 'M'
+             ELSE -indel || 'M' || amount || 'D' || (length(whole) + indel) || 'M' END AS cigar FROM laid WHERE indel <> 0""",
+        "laid",
+    ),
+)
 def _(spark, d):
-    a = S.mapping(spark, d, True).aligned.where("indel <> 0")
+    a = S.mapping(spark, d).aligned.where("indel <> 0")
     return a.select("pair_id", "mate", "ref", "pos", "indel", "amount", dna.cigar("read_len", "indel", "amount").alias("cigar"))
 
 
-@query("a16_insert_counts")
+INSERTS = {"ins": "SELECT ref, pos + indel AS pos, count(*) AS n, count(*) > 4 AS significant FROM laid WHERE indel > 0 GROUP BY ALL"}
+
+
+@query("a16_insert_counts", sql("SELECT * FROM ins", "laid", extra=INSERTS))
 def _(spark, d):
-    return loci.insert_counts(S.mapping(spark, d, True).aligned)
+    return loci.insert_counts(S.mapping(spark, d).aligned)
 
 
-@query("t07_top_inserts")
+@query("t07_top_inserts", sql("SELECT * FROM ins WHERE n >= 3", "laid", extra=INSERTS))
 def _(spark, d):
-    return loci.top_inserts(loci.insert_counts(S.mapping(spark, d, True).aligned))
+    return loci.top_inserts(loci.insert_counts(S.mapping(spark, d).aligned))
 
 
-@query("a15_loci_with_indels")
+@query(
+    "a15_loci_with_indels",
+    sql(
+        f"""SELECT {LOCUS_COLS}, coalesce(insert_report, '') AS insert_report FROM loci LEFT JOIN (
+              SELECT ref, pos, string_agg(inserted || ': ' || n, ', ' ORDER BY inserted) AS insert_report
+              FROM (SELECT ref, pos, inserted, count(*) AS n FROM diffs WHERE inserted IS NOT NULL GROUP BY ALL) GROUP BY ref, pos) USING (ref, pos)""",
+        "loci", "diffs",
+    ),
+)
 def _(spark, d):
-    m = S.mapping(spark, d, True)
+    m = S.mapping(spark, d)
     g = loci.loci(m.differences, m.coverage, S.reference_ext(spark, d), T.CHUNK)
     return g.select(*LOCUS_COLS.split(", "), "insert_report")
 
@@ -407,4 +419,4 @@ def _(spark, d):
 
 @query("j21_region_picture")
 def _(spark, d):
-    return picture.read_rows(_regions(spark, d).select("ref", "start", "stop"), S.mapping(spark, d, False).aligned)
+    return picture.read_rows(_regions(spark, d).select("ref", "start", "stop"), S.mapping(spark, d).aligned)

@@ -56,7 +56,7 @@ def _(spark, d):
 
 @query("a05_gc_hist", sql(f"SELECT round(length(nucs) * ({gc('nucs')}))::INT AS gc_bases, count(*) AS n FROM kept GROUP BY 1", "kept"))
 def _(spark, d):
-    return qc.gc_histogram(S.mapping(spark, d, False).kept)
+    return qc.gc_histogram(S.mapping(spark, d).kept)
 
 
 @query(
@@ -75,15 +75,15 @@ def _(spark, d):
 
 @query(
     "a07_gc_by_pos",
-    sql("SELECT i, round(count_if(base IN ('G', 'C')) / (0.001 + count(*)), 6) AS ratio FROM read_bases WHERE (pair_id + 1) % 11 = 0 GROUP BY i", "read_bases"),
+    sql("SELECT i, round(count_if(base IN ('G', 'C')) / (0.001 + count(*)), 6) AS ratio FROM read_bases GROUP BY i", "read_bases"),
 )
 def _(spark, d):
-    g = qc.gc_by_position(qc.sampled(S.reads(spark, d)))
+    g = qc.gc_by_position(S.reads(spark, d))
     return rounded(g, "ratio").withColumn("i", F.col("i").cast("long"))
 
 
 FOURMERS = """SELECT i, kmer, count(*) AS c FROM (SELECT i, translate(substr(nucs, (i + 1)::INT, 4), 'N', 'A') AS kmer FROM (
-    SELECT nucs, unnest(generate_series(0, length(nucs) - 5)) AS i FROM reads WHERE (pair_id + 1) % 11 = 0 AND length(nucs) > 4)) GROUP BY i, kmer"""
+    SELECT nucs, unnest(generate_series(0, length(nucs) - 5)) AS i FROM reads WHERE length(nucs) > 4)) GROUP BY i, kmer"""
 
 
 @query(
@@ -91,11 +91,11 @@ FOURMERS = """SELECT i, kmer, count(*) AS c FROM (SELECT i, translate(substr(nuc
     sql("SELECT i, round(sqrt(sum(c * c) / 256 - pow(sum(c) / 256, 2)) / (sum(c) / 256), 6) AS spread FROM fourmers GROUP BY i", "reads", extra={"fourmers": FOURMERS}),
 )
 def _(spark, d):
-    k = qc.kmer_spread(qc.sampled(S.reads(spark, d)))
+    k = qc.kmer_spread(S.reads(spark, d))
     return rounded(k, "spread").withColumn("i", F.col("i").cast("long"))
 
 
-MULT = """SELECT least(c, 20) AS multiplicity, sum(c)::BIGINT AS n FROM (SELECT count(*) AS c FROM {t} GROUP BY {k}) GROUP BY 1"""
+MULT = """SELECT c AS multiplicity, sum(c)::BIGINT AS n FROM (SELECT count(*) AS c FROM {t} GROUP BY {k}) GROUP BY 1"""
 
 
 @query(
@@ -117,12 +117,12 @@ def _(spark, d):
     return rounded(qc.duplicate_histogram(docs), "share", digits=9)
 
 
-@query("w01_duplimit", sql("SELECT pair_id, mate, nucs FROM kept", "kept"))
+@query("w01_duplimit", sql("SELECT pair_id, mate, nucs FROM (SELECT *, row_number() OVER (PARTITION BY nucs ORDER BY pair_id, mate) AS rn FROM reads) WHERE rn <= 4", "reads"))
 def _(spark, d):
-    return pairing.limit_duplicates(S.reads(spark, d), S.DUPLIMIT).select("pair_id", "mate", "nucs")
+    return pairing.limit_duplicates(S.reads(spark, d), 4).select("pair_id", "mate", "nucs")
 
 
-RATIOS = """SELECT i, count_if(base IN ('G', 'C')) / (0.001 + count(*)) AS ratio FROM read_bases WHERE (pair_id + 1) % 11 = 0 GROUP BY i"""
+RATIOS = """SELECT i, count_if(base IN ('G', 'C')) / (0.001 + count(*)) AS ratio FROM read_bases GROUP BY i"""
 
 
 @query(
@@ -139,7 +139,7 @@ RATIOS = """SELECT i, count_if(base IN ('G', 'C')) / (0.001 + count(*)) AS ratio
     ).replace("FROM ratios, (SELECT max(i) + 1 AS top FROM ratios) t)", "FROM ratios)"),
 )
 def _(spark, d):
-    t = qc.begin_trim(qc.gc_by_position(qc.sampled(S.reads(spark, d))))
+    t = qc.begin_trim(qc.gc_by_position(S.reads(spark, d)))
     return t.select(F.col("begin_trim").cast("long").alias("begin_trim"))
 
 
@@ -149,12 +149,12 @@ def _(spark, d):
         """SELECT length::INT AS length, n, round((before + n) / total, 9) AS covered FROM (
              SELECT length, n, coalesce(sum(n) OVER (ORDER BY n DESC, length DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
                row_number() OVER (ORDER BY n DESC, length DESC) AS rn, sum(n) OVER () AS total
-             FROM (SELECT length(nucs) AS length, count(*) AS n FROM reads WHERE (pair_id + 1) % 11 = 0 GROUP BY 1)) WHERE rn <= 3 AND before <= 0.99 * total""",
+             FROM (SELECT length(nucs) AS length, count(*) AS n FROM reads GROUP BY 1)) WHERE rn <= 3 AND before <= 0.99 * total""",
         "reads",
     ),
 )
 def _(spark, d):
-    return rounded(qc.index_lengths(qc.read_lengths(qc.sampled(S.reads(spark, d)))), "covered", digits=9)
+    return rounded(qc.index_lengths(qc.read_lengths(S.reads(spark, d))), "covered", digits=9)
 
 
 @query(
@@ -180,8 +180,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    n = qc.duplicate_limit(S.reads(spark, d), S.reference(spark, d))
-    return S.reads(spark, d).agg(F.count("*")).select(F.lit(n).cast("long").alias("duplimit"))
+    return qc.duplicate_limit(S.reads(spark, d), S.reference(spark, d))
 
 
 @query(

@@ -171,13 +171,13 @@ def _(spark, d):
     "p14_ranges",
     sql(
         """SELECT e.ref, e.start, e.stop, (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = e.ref AND g.pos >= e.start AND g.pos < e.stop) AS t
-           FROM (SELECT ref, chunk * 32 + 5 AS start, chunk * 32 + 205 AS stop FROM chunks WHERE chunk % 20 = 3) e JOIN chroms USING (ref) WHERE stop <= len""",
+           FROM (SELECT ref, chunk * 32 + 5 AS start, chunk * 32 + 205 AS stop FROM chunks) e JOIN chroms USING (ref) WHERE stop <= len""",
         "genome", "chunks", "chroms",
     ).replace("AS t\n", "AS bases\n"),
 )
 def _(spark, d):
     c = S.reference(spark, d)
-    r = c.where("chunk % 20 = 3").select("ref", (F.col("chunk") * 32 + 5).alias("start"), (F.col("chunk") * 32 + 205).alias("stop"))
+    r = c.select("ref", (F.col("chunk") * 32 + 5).alias("start"), (F.col("chunk") * 32 + 205).alias("stop"))
     r = r.join(genome.chromosomes(c), "ref").where("stop <= len").drop("len")
     return fasta.extract(c, r, T.CHUNK)
 
@@ -212,7 +212,7 @@ def _(spark, d):
 
 @query("s28_unfound_fastq", sql("SELECT '@' || name || chr(10) || nucs || chr(10) || '+' || chr(10) || qual AS value FROM unfound", "unfound"))
 def _(spark, d):
-    return fastq.fastq_lines(S.mapping(spark, d, False).unfound)
+    return fastq.fastq_lines(S.mapping(spark, d).unfound)
 
 
 @query("s01_fastq_parse", sql("SELECT name AS header, nucs, qual FROM reads WHERE length(nucs) > 0", "reads"))
@@ -226,10 +226,10 @@ def _(spark, d):
 
 
 def _sam_rows(spark, d):
-    m = S.mapping(spark, d, False)
+    m = S.mapping(spark, d)
     dist = pairing.pair_distances(m.best_pairs, m.kept)
     raw = m.kept.select("pair_id", "mate", "name", F.col("nucs").alias("raw_nucs"), F.col("qual").alias("raw_qual"))
-    placed = m.placed.join(raw, ["pair_id", "mate"]).withColumn("indel", F.lit(0)).withColumn("amount", F.lit(0))
+    placed = m.placed.join(raw, ["pair_id", "mate"]).join(m.aligned.select("pair_id", "mate", "indel", "amount"), ["pair_id", "mate"])
     return sam.original_bases(sam.mate_fields(placed, dist))
 
 
@@ -237,8 +237,8 @@ def _sam_rows(spark, d):
     "s19_sam",
     sql(
         """SELECT l.ref, l.pos, concat_ws(chr(9), l.name, CASE WHEN paired THEN 3 + CASE WHEN mate = 1 THEN 64 ELSE 128 END ELSE 0 END + CASE WHEN l.reverse THEN 16 ELSE 0 END,
-             l.ref, l.pos, 42, length(o) || 'M', CASE WHEN paired THEN '=' ELSE '*' END, CASE WHEN paired THEN mate_pos ELSE 0 END,
-             CASE WHEN NOT paired THEN 0 WHEN reverse1 <> (mate = 2) THEN -dist ELSE dist END, o, oq) AS value
+             l.ref, l.pos, 42, CASE WHEN indel > 0 THEN indel || 'M' || amount || 'I' || (length(whole) - indel - amount) || 'M' WHEN indel < 0 THEN -indel || 'M' || amount || 'D' || (length(whole) + indel) || 'M' ELSE length(whole) || 'M' END, CASE WHEN paired THEN '=' ELSE '*' END, CASE WHEN paired THEN mate_pos ELSE 0 END,
+             CASE WHEN NOT paired THEN 0 WHEN reverse1 <> (mate = 2) THEN -dist ELSE dist END, whole, whole_q) AS value
            FROM laid l LEFT JOIN (SELECT pair_id, reverse1, length(nucs) + CASE WHEN reverse2 THEN pos2 - pos1 ELSE pos1 - pos2 END AS dist FROM best JOIN kept USING (pair_id) WHERE mate = 1) b USING (pair_id)""",
         "laid", "best", "kept",
     ),
@@ -247,7 +247,7 @@ def _(spark, d):
     return sam.sam_lines(_sam_rows(spark, d))
 
 
-@query("s22_index_bins", sql(f"SELECT ref, {bin_sql('pos - 1', '(pos - 1 + length(o))')} AS bin, count(*) AS n FROM laid GROUP BY ALL", "laid"))
+@query("s22_index_bins", sql(f"SELECT ref, {bin_sql('pos - 1', '(pos - 1 + length(whole))')} AS bin, count(*) AS n FROM laid GROUP BY ALL", "laid"))
 def _(spark, d):
     return sam.index_bins(_sam_rows(spark, d))
 

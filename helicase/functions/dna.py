@@ -6,7 +6,7 @@ where Spark can, inside whole-stage code generation.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Complement pairs, base order of the 2-bit code.
 BASES = "ACGT"
@@ -185,6 +185,39 @@ def common_prefix(a, b) -> Column:
     return F.when(first_bad > 0, first_bad - 1).otherwise(n)
 
 
+#: Bases that must agree in front of an indel and right behind it.
+CLEAR = 11
+
+
+def with_indel(df: DataFrame, read: str, ref: str, where: Column) -> DataFrame:
+    """``df`` with ``indel`` and ``amount``: the single clear indel that explains ``read``, else 0 and 0.
+
+    The indel stands at the end of the common prefix, so right-most inside a
+    repeat. ``amount`` bases of the read (``indel`` > 0) or of the reference
+    (``indel`` < 0) are left out; the rest then begins with ``CLEAR`` equal bases and
+    has one differing base at most. Prefix and rest must be more than ten times the
+    indel. The shortest one wins, an insertion before a deletion. Rows that
+    ``where`` doesn't hold for are passed over.
+    """
+    x, y = F.col(read), F.col(ref)
+    df = df.withColumn("_p", F.when(where, common_prefix(x, y)))
+    p = F.col("_p")
+
+    def option(amount: Column, inserted: bool) -> Column:
+        cut = lambda c, at: F.substring(c, at + 1, F.length(c))
+        a, b = (cut(x, p + amount), cut(y, p)) if inserted else (cut(x, p), cut(y, p + amount))
+        n = F.least(F.length(a), F.length(b))
+        clear = (n >= CLEAR) & (F.left(a, F.lit(CLEAR)) == F.left(b, F.lit(CLEAR))) & (p + n > 10 * amount)
+        return F.when(clear & (hamming(a, b) <= 1), 2 * amount + (0 if inserted else 1))
+
+    most = F.call_function("div", F.length(x), F.lit(10)).cast("int")
+    tried = F.transform(F.sequence(F.lit(1), most), lambda a: F.least(option(a, True), option(a, False)))
+    best = F.array_min(F.when((p >= CLEAR) & (most > 0), tried))
+    df = df.withColumn("_best", best).withColumn("amount", F.coalesce(F.call_function("div", F.col("_best"), F.lit(2)).cast("int"), F.lit(0)))
+    indel = F.when(F.col("_best") % 2 == 0, p).when(F.col("_best") % 2 == 1, -p).otherwise(0)
+    return df.withColumn("indel", indel).drop("_p", "_best")
+
+
 def fuzzy_prefix(a, b, ratio: int) -> Column:
     """Prefix length walked while mismatches stay within one per ``ratio`` bases."""
     a, b = _c(a), _c(b)

@@ -1,12 +1,13 @@
 """Small alignment helpers applied batch-wise inside Spark tasks.
 
 Dynamic programming over a pair of short strings has no built-in Spark
-expression; these are the only places where rows visit Python.
+expression; mapping needs none of it.
 """
 
 from __future__ import annotations
 
 import sys
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,6 @@ def _struct(**fields) -> T.StructType:
 
 
 _INT, _STR, _DBL = T.IntegerType(), T.StringType(), T.DoubleType()
-INDEL = _struct(indel=_INT, amount=_INT)
 SCRIPT = _struct(distance=_INT, script=_STR)
 ALIGNED = _struct(score=_DBL, a_line=_STR, b_line=_STR)
 NW = _struct(
@@ -35,111 +35,30 @@ NW = _struct(
 DELTA = T.ArrayType(_struct(pos=T.LongType(), base=_STR, action=_STR))
 
 
-def _middle(a: str, b: str) -> tuple[int, int, int, int, int]:
-    """Middle snake of Myers' O(ND) algorithm (1986, section 4b).
-
-    Returns (d, x, y, u, v). Diagonals are visited from high to low, which
-    settles where an indel inside a repeat is placed.
-    """
-    n, m = len(a), len(b)
-    delta = n - m
-    odd = delta % 2 == 1
-    fwd, back = {1: 0}, {delta - 1: n}
-    for d in range((n + m + 1) // 2 + 1):
-        for k in range(d, -d - 1, -2):
-            down = k == -d or (k != d and fwd[k - 1] < fwd[k + 1])
-            x0 = x = fwd[k + 1] if down else fwd[k - 1] + 1
-            while x < n and x - k < m and x - k >= 0 and a[x] == b[x - k]:
-                x += 1
-            fwd[k] = x
-            if odd and abs(k - delta) < d and x >= back[k]:
-                return 2 * d - 1, x0, x0 - k, x, x - k
-        for k in range(delta + d, delta - d - 1, -2):
-            up = k == delta + d or (k != delta - d and back[k - 1] < back[k + 1])
-            u0 = x = back[k - 1] if up else back[k + 1] - 1
-            while x > 0 and x - k > 0 and a[x - 1] == b[x - k - 1]:
-                x -= 1
-            back[k] = x
-            if not odd and abs(k) <= d and x <= fwd[k]:
-                return 2 * d, x, x - k, u0, u0 - k
-    raise AssertionError("snakes always meet")
-
-
 def edit_script(a: str, b: str) -> tuple[int, list[tuple[str, int, int]]]:
-    """Myers script turning ``a`` into ``b``: distance and runs ``(op, offset, length)``.
+    """A shortest script that turns ``a`` into ``b``: distance and runs ``(op, offset, length)``.
 
-    '=' and '-' offsets index ``a``; '+' offsets index ``b``.
+    '=' and '-' offsets index ``a``; '+' offsets index ``b``. From a table of longest
+    common subsequences of all suffixes; equal letters are kept, and ties drop
+    letters of ``a`` first.
     """
-    runs: list[list] = []
-
-    def put(op, off, length):
-        if not length:
-            return
-        if runs and runs[-1][0] == op:
-            runs[-1][2] += length
-        else:
-            runs.append([op, off, length])
-
-    head = 0
-    while head < min(len(a), len(b)) and a[head] == b[head]:
-        head += 1
-    put("=", 0, head)
-    total = None
-    todo = [("solve", head, len(a), head, len(b))]
-    while todo:
-        kind, a0, a1, b0, b1 = todo.pop()
-        if kind == "match":
-            put("=", a0, a1 - a0)
-            continue
-        n, m = a1 - a0, b1 - b0
-        if not n or not m:
-            put("+", b0, m)
-            put("-", a0, n)
-            d = n + m
+    common = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            common[i, j] = common[i + 1, j + 1] + 1 if a[i] == b[j] else max(common[i + 1, j], common[i, j + 1])
+    steps, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            steps.append(("=", i))
+            i, j = i + 1, j + 1
+        elif j == len(b) or i < len(a) and common[i + 1, j] >= common[i, j + 1]:
+            steps.append(("-", i))
+            i += 1
         else:
-            d, x, y, u, v = _middle(a[a0:a1], b[b0:b1])
-            if d > 1:
-                todo.append(("solve", a0 + u, a1, b0 + v, b1))
-                todo.append(("match", a0 + x, a0 + u, 0, 0))
-                todo.append(("solve", a0, a0 + x, b0, b0 + y))
-            else:
-                # One edit away: it sits before or behind the diagonal.
-                common = min(n, m)
-                behind = x == u
-                if behind:
-                    put("=", a0, common)
-                if m > n:
-                    put("+", b1 - 1 if behind else b0, 1)
-                elif n > m:
-                    put("-", a1 - 1 if behind else a0, 1)
-                if not behind:
-                    put("=", a1 - common, common)
-        if total is None:
-            total = d
-    return total or 0, [tuple(r) for r in runs]
-
-
-def read_indel(read: str, ref: str) -> tuple[int, int]:
-    """``(signed offset, length)`` of the single clear indel, else ``(0, 0)``.
-
-    Positive: the read carries extra bases at that offset. Negative: the read
-    lacks reference bases there.
-    """
-    d, runs = edit_script(read, ref)
-    if not 3 < len(runs) < 10:
-        return 0, 0
-    (op0, _, len0), (op1, off, amount), (op2, _, len2) = runs[:3]
-    clear = op0 == op2 == "=" and min(len0, len2) > 10 and len0 + len2 > 10 * amount
-    if not clear or d - 2 * amount >= 4:
-        return 0, 0
-    return (-off if op1 == "+" else off), amount
-
-
-@F.pandas_udf(INDEL)
-def find_indel(read: pd.Series, ref: pd.Series) -> pd.DataFrame:
-    """Batch form of :func:`read_indel`; rows without strings are passed over."""
-    rows = [read_indel(r, g) if r is not None else (0, 0) for r, g in zip(read, ref)]
-    return pd.DataFrame(rows, columns=INDEL.names)
+            steps.append(("+", j))
+            j += 1
+    runs = [(op, own[0][1], len(own)) for op, own in ((op, list(g)) for op, g in groupby(steps, key=lambda x: x[0]))]
+    return sum(n for op, _, n in runs if op != "="), runs
 
 
 @F.pandas_udf(SCRIPT)

@@ -175,7 +175,7 @@ def amino_changes(locus_genes: DataFrame, chunks_ext: DataFrame, size: int) -> D
 
 
 def amino_text(changes: DataFrame, *keys: str) -> DataFrame:
-    """One report line per locus and gene from its codon changes."""
+    """One report line per locus and gene from its codon changes, and whether any changes the amino acid."""
     line = F.concat(
         F.col("base"), F.lit(": "), "codon", F.lit(" -> "), "new_codon", F.lit(", "), "amino", F.lit(" -> "), "new_amino"
     )
@@ -183,7 +183,8 @@ def amino_text(changes: DataFrame, *keys: str) -> DataFrame:
         F.concat(
             F.lit("R"), F.first("residue").cast("string"), F.lit("/"), F.first("residues").cast("string"), F.lit(" "),
             F.array_join(F.array_sort(F.collect_list(line)), "; "),
-        ).alias("amino_report")
+        ).alias("amino_report"),
+        F.bool_or(F.col("amino") != F.col("new_amino")).alias("nonsynonymous"),
     )
 
 

@@ -66,13 +66,9 @@ def pair_distances(best: DataFrame, reads: DataFrame) -> DataFrame:
     return best.join(len1, "pair_id").withColumn("distance", (F.col("_len1") + offset).cast("long")).drop("_len1")
 
 
-def distance_histogram(distances: DataFrame, limit: int = 1500) -> DataFrame:
-    """Count per distance; negative and over-long distances are left out."""
-    return (
-        distances.where((F.col("distance") >= 0) & (F.col("distance") < limit))
-        .groupBy("distance")
-        .agg(F.count("*").alias("n"))
-    )
+def distance_histogram(distances: DataFrame) -> DataFrame:
+    """Count per distance, negative ones included."""
+    return distances.groupBy("distance").agg(F.count("*").alias("n"))
 
 
 def best_singles(cands: DataFrame) -> DataFrame:

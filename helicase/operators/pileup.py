@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from helicase.functions.edit import find_indel
+from helicase.functions import dna
 from helicase.operators.seeds import idiv, mismatch_points, oriented
 from helicase.sources import genome
 
@@ -29,10 +29,7 @@ def realign(placed: DataFrame, reads: DataFrame, chunks_ext: DataFrame, size: in
     j = j.withColumn("points", points).withColumn("read_len", F.length("nucs"))
     close = F.col("points") < 2 * MAX_POINTS
     if indels:
-        far = ~close
-        j = j.withColumn("_i", find_indel(F.when(far, F.col("nucs")), F.when(far, F.col("ref_bases"))))
-        j = j.withColumn("indel", F.coalesce("_i.indel", F.lit(0))).withColumn("amount", F.coalesce("_i.amount", F.lit(0)))
-        j = j.drop("_i")
+        j = dna.with_indel(j, "nucs", "ref_bases", ~close)
     else:
         j = j.withColumn("indel", F.lit(0)).withColumn("amount", F.lit(0))
     i, a, n = F.col("indel"), F.col("amount"), F.col("read_len")

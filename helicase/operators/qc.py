@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helicase.functions import dna
 
 KMER = 4
-SAMPLE_STEP = 11
 
 
 def _whole():
@@ -31,11 +28,6 @@ def per_base(reads: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def sampled(reads: DataFrame, step: int = SAMPLE_STEP) -> DataFrame:
-    """Every ``step``-th pair by ordinal, as the first statistics pass takes them."""
-    return reads.where((F.col("pair_id") + 1) % step == 0)
-
-
 def _phred(x):
     return -10.0 * F.log10(x)
 
@@ -77,9 +69,9 @@ def quality_overall(reads: DataFrame) -> DataFrame:
 
 
 def quality_histogram(reads: DataFrame) -> DataFrame:
-    """Share of bases per Q below 50, over all bases."""
+    """Share of bases per Q."""
     counts = per_base(reads).groupBy("q").agg(F.count("*").alias("n"))
-    return counts.select("q", (F.col("n") / F.sum("n").over(_whole())).alias("share")).where("q < 50")
+    return counts.select("q", (F.col("n") / F.sum("n").over(_whole())).alias("share"))
 
 
 def read_lengths(reads: DataFrame) -> DataFrame:
@@ -172,10 +164,10 @@ def index_lengths(lengths: DataFrame, most: int = 3, enough: float = 0.99) -> Da
     )
 
 
-def duplicate_histogram(reads: DataFrame, cap: int = 20) -> DataFrame:
-    """Share of reads per multiplicity of their sequence, multiplicities capped."""
+def duplicate_histogram(reads: DataFrame) -> DataFrame:
+    """Share of reads per multiplicity of their sequence."""
     mult = reads.groupBy("nucs").agg(F.count("*").alias("c"))
-    by = mult.groupBy(F.least("c", F.lit(cap)).alias("multiplicity")).agg(F.sum("c").alias("n"))
+    by = mult.groupBy(F.col("c").alias("multiplicity")).agg(F.sum("c").alias("n"))
     return by.select("multiplicity", "n", (F.col("n") / F.sum("n").over(_whole())).alias("share"))
 
 
@@ -193,19 +185,32 @@ def trim(reads: DataFrame, begin: int = 0, end: int = 0) -> DataFrame:
     )
 
 
-def poisson_limit(mean: float, share: float = 0.999) -> int:
-    """Smallest count whose Poisson probability sum reaches ``share``."""
-    term, total, k = math.exp(-mean), 0.0, 0
-    while True:
-        total += term
-        if total >= share or term == 0.0 and k > mean:
-            return k
-        k += 1
-        term *= mean / k
+def poisson_limit(mean: Column, share: float = 0.999) -> Column:
+    """Smallest count whose Poisson probability sum reaches ``share``.
+
+    Probabilities come from their logarithms, so large means neither underflow nor
+    take long: only counts within a dozen deviations of the mean are summed, and what lies
+    below them is far less than rounding.
+    """
+    reach = 12 * F.sqrt(mean) + 12
+    low = F.greatest(F.floor(mean - reach), F.lit(0)).cast("long")
+    k = lambda x: x.cast("double")
+    # Stirling's series; small counts have their exact factorial
+    stirling = lambda x: (x + 0.5) * F.ln(x) - x + 0.5 * F.ln(2 * F.pi()) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3.0)))
+    log_factorial = lambda x: F.when(x <= 20, F.ln(F.factorial(F.least(x, F.lit(20)).cast("int")))).otherwise(stirling(k(x)))
+    term = lambda x: F.exp(k(x) * F.ln(mean) - mean - log_factorial(x))
+    state = lambda total, at: F.named_struct(F.lit("total"), total, F.lit("at"), at)
+    walked = F.aggregate(
+        F.sequence(low, F.ceil(mean + reach).cast("long")),
+        state(F.lit(0.0), F.lit(None).cast("long")),
+        lambda s, x: state(s["total"] + term(x), F.coalesce(s["at"], F.when(s["total"] + term(x) >= share, x))),
+        lambda s: s["at"],
+    )
+    return F.when(mean > 0, walked).otherwise(F.lit(0).cast("long"))
 
 
-def duplicate_limit(reads: DataFrame, chunks: DataFrame, share: float = 0.999) -> int:
-    """Copies to accept of one read, from the reads per reference base."""
-    n = reads.count()
-    size = chunks.agg(F.sum(F.length("s"))).first()[0]
-    return poisson_limit(n / size, share)
+def duplicate_limit(reads: DataFrame, chunks: DataFrame, share: float = 0.999) -> DataFrame:
+    """One row ``duplimit``: copies to accept of one read, from the reads per reference base."""
+    both = reads.select(F.lit(1).alias("n"), F.lit(0).alias("size")).unionByName(chunks.select(F.lit(0).alias("n"), F.length("s").alias("size")))
+    rate = F.sum("n") / F.sum("size")
+    return both.agg(rate.alias("rate")).select(poisson_limit(F.col("rate"), share).alias("duplimit"))

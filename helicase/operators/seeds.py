@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from helicase.functions import dna
-from helicase.functions.edit import find_indel
 from helicase.operators.kmers import expanded, windows
 from helicase.sources import genome
 
@@ -103,15 +102,15 @@ def score_candidates(cands: DataFrame, chunks_ext: DataFrame, size: int, qlimit:
     """Score = confident mismatches; five or more become 1 if one clear indel explains them.
 
     ``cands`` carries the read (``nucs``, ``qual``) next to ``ref, pos, reverse``.
-    Only rows over the threshold hand strings to the Python helper.
+    Only rows over the threshold are tried for an indel.
     """
     j = oriented(genome.snippets(cands, chunks_ext, size, F.length("nucs"), "_ref"))
     points = mismatch_points(F.col("nucs"), F.col("qual"), F.col("_ref"), qlimit, 0)
     j = j.withColumn("score", idiv(points, 2).cast("int"))
     if indels:
         hard = F.col("score") >= INDEL_TRIAL
-        j = j.withColumn("_i", find_indel(F.when(hard, F.col("nucs")), F.when(hard, F.col("_ref"))))
-        j = j.withColumn("score", F.when(F.col("_i.indel") != 0, 1).otherwise(F.col("score"))).drop("_i")
+        j = dna.with_indel(j, "nucs", "_ref", hard)
+        j = j.withColumn("score", F.when(F.col("indel") != 0, 1).otherwise(F.col("score"))).drop("indel", "amount")
     return j.drop("_ref", "nucs", "qual")
 
 

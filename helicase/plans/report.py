@@ -14,7 +14,7 @@ def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0
 
     ``annotations`` has ``ref, start, stop, type, tag, strand, gene``.
     """
-    sample = qc.sampled(m.reads)
+    sample = m.reads
     k = max(m.lengths)
     out = {
         "kmerstats": qc.kmer_spread(sample),

@@ -10,8 +10,6 @@ from helicase.plans.mapper import Mapping
 from helicase.session import materialise
 from helicase.sources import tables
 
-DUPLIMIT = 4
-
 _made: dict[tuple, object] = {}
 
 
@@ -38,20 +36,18 @@ def reference_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def mapping(spark: SparkSession, sf_dir: str, indels: bool) -> Mapping:
+def mapping(spark: SparkSession, sf_dir: str) -> Mapping:
     """One mapping run; its narrow result tables serve all report queries."""
     return _once(
         spark,
         sf_dir,
-        f"mapping-{indels}",
+        "mapping",
         lambda: Mapping(
             reads(spark, sf_dir),
             reference(spark, sf_dir),
             tables.CHUNK,
             tables.READ_LENGTHS,
             tables.MAX_SPAN,
-            duplimit=DUPLIMIT,
-            indels=indels,
             stage=materialise,
             chunks_ext=reference_ext(spark, sf_dir),
         ),

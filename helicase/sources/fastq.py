@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from helicase.functions import dna
 from helicase.operators.qc import trim
@@ -50,18 +50,29 @@ def read_fastq(spark: SparkSession, path: str, quality_offset: int = 33) -> Data
     return parse_fastq(numbered(spark, path), quality_offset)
 
 
+def in_file_order(records: DataFrame) -> DataFrame:
+    """Adds the file's ``ordinal`` by name and the records ``before`` it; the window has a row per file."""
+    w = W.orderBy("file")
+    files = records.groupBy("file").agg((F.max("record") + 1).alias("_n")).select(
+        "file",
+        F.row_number().over(w).alias("ordinal"),
+        F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
+    )
+    return records.join(files, "file")
+
+
 def read_pairs(spark: SparkSession, first: str, second: str, quality_offset: int = 33, begin: int = 0, end: int = 0) -> DataFrame:
-    """Two synchronised files as ``reads(pair_id, mate, name, nucs, qual)``.
+    """Two synchronised files or folders as ``reads(pair_id, mate, name, nucs, qual)``.
 
-    The i-th records belong together. The first file decides how many pairs
-    there are.
+    The i-th records of the j-th files, in order of their names, belong together. The
+    first side decides how many pairs there are; ``pair_id`` counts its records over all files.
     """
-    one = read_fastq(spark, first, quality_offset).select("record", "header", "nucs", "qual")
-    two = read_fastq(spark, second, quality_offset).select("record", "header", "nucs", "qual")
     cols = ["header", "nucs", "qual"]
-    wide = one.select("record", F.struct(*cols).alias("a")).join(two.select("record", F.struct(*cols).alias("b")), "record", "left")
+    one, two = (in_file_order(read_fastq(spark, p, quality_offset)) for p in (first, second))
+    a = one.select("ordinal", "record", (F.col("before") + F.col("record")).alias("pair_id"), F.struct(*cols).alias("a"))
+    wide = a.join(two.select("ordinal", "record", F.struct(*cols).alias("b")), ["ordinal", "record"], "left")
     side = lambda c, m: F.struct(F.lit(m).alias("mate"), *[F.col(f"{c}.{x}").alias(x) for x in cols])
-    long = wide.select(F.col("record").alias("pair_id"), F.inline(F.array(side("a", 1), side("b", 2)))).where("nucs is not null")
+    long = wide.select("pair_id", F.inline(F.array(side("a", 1), side("b", 2)))).where("nucs is not null")
     return trim(long.select("pair_id", "mate", dna.read_name("header").alias("name"), "nucs", "qual"), begin, end)
 
 

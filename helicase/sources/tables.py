@@ -290,9 +290,7 @@ def pool_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
             "depth",
             "dels",
             (F.col("locus") % 3 != 0).alias("gene"),
-            F.when(F.col("_s") == "F", "R1/9 C: GCA -> GCC, Alanine -> Alanine ")
-            .otherwise("R1/9 C: GCA -> TCA, Alanine -> Serine ")
-            .alias("amino_report"),
+            (F.col("_s") != "F").alias("nonsynonymous"),
             F.when(F.col("_a") > 0, F.concat(F.lit("AC: "), F.col("_a").cast("string"))).otherwise("").alias("insert_report"),
         )
     )

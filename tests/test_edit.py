@@ -1,5 +1,6 @@
 """Alignment helpers against brute force."""
 
+import random
 from functools import lru_cache
 
 from hypothesis import given, settings, strategies as st
@@ -128,9 +129,42 @@ def test_nw_known_scores():
 REF = "ACGTACGGATCCTTAGCATGCAATCGGATTACAGGCATCGATTTGCAGCATCGGACTACGATCGCCGATATTCGA"
 
 
-def test_clear_indels():
-    assert edit.read_indel(REF[:25] + REF[27:62], REF[:60]) == (-25, 2)
-    assert edit.read_indel(REF[:30] + "TT" + REF[30:58], REF[:60]) == (30, 2)
-    assert edit.read_indel(REF[:60], REF[:60]) == (0, 0)
-    # Too close to the start of the read to be sure of.
-    assert edit.read_indel(REF[:5] + REF[7:62], REF[:60]) == (0, 0)
+def clear_indel(read, ref):
+    """The rule of dna.with_indel, spelt out."""
+    p = 0
+    while p < min(len(read), len(ref)) and read[p] == ref[p]:
+        p += 1
+    for amount in range(1, len(read) // 10 + 1):
+        for sign, x, y in ((1, read[p + amount :], ref[p:]), (-1, read[p:], ref[p + amount :])):
+            n = min(len(x), len(y))
+            if p >= 11 and n >= 11 and x[:11] == y[:11] and p + n > 10 * amount and sum(c != e for c, e in zip(x, y)) <= 1:
+                return sign * p, amount
+    return 0, 0
+
+
+def test_clear_indels(spark):
+    from pyspark.sql import functions as F
+
+    from helicase.functions import dna
+
+    known = [
+        (REF[:25] + REF[27:62], REF[:60], (-25, 2)),
+        (REF[:30] + "TT" + REF[30:58], REF[:60], (30, 2)),
+        (REF[:60], REF[:60], (0, 0)),
+        (REF[:5] + REF[7:62], REF[:60], (0, 0)),  # too close to the start of the read to be sure of
+    ]
+    rng = random.Random(3)
+    cases = [(a, b) for a, b, _ in known]
+    for _ in range(300):
+        g = "".join(rng.choice("ACG") for _ in range(70))
+        at, n = rng.randrange(60), rng.randrange(1, 8)
+        r = g[:at] + g[at + n :] if rng.random() < 0.5 else g[:at] + "".join(rng.choice("ACG") for _ in range(n)) + g[at:]
+        r = list(r[: rng.randrange(5, 60)])
+        for _ in range(rng.randrange(3)):
+            r[rng.randrange(len(r))] = "T"
+        cases.append(("".join(r), g[: len(r)]))
+    df = spark.createDataFrame(cases + [(None, "A")], "read string, ref string")
+    got = {(r.read, r.ref): (r.indel, r.amount) for r in dna.with_indel(df, "read", "ref", F.lit(True)).collect()}
+    assert all(got[a, b] == w for a, b, w in known)
+    assert got == {(a, b): clear_indel(a, b) for a, b in cases} | {(None, "A"): (0, 0)}
+    assert sum(v != (0, 0) for v in got.values()) > 5

@@ -78,10 +78,23 @@ def test_packed_order_puts_first_base_lowest(spark):
     assert one(spark, dna.is_canonical_packed(F.lit("ACGTACGT"))) is False
 
 
-def test_poisson_limit():
+def test_poisson_limit(spark):
+    import math
+
     from helicase.operators.qc import poisson_limit
 
-    assert [poisson_limit(x) for x in (0.1, 0.77, 1, 2)] == [2, 5, 5, 8]
+    def exact(mean):
+        total, k = 0.0, 0
+        while True:
+            total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+            if total >= 0.999:
+                return k
+            k += 1
+
+    means = [0.1, 0.77, 1.0, 2.0, 15.0, 20.5, 21.0, 100.0, 1000.0, 54321.0, 1e6]
+    got = {r.m: r.k for r in spark.createDataFrame([(m,) for m in means + [0.0]], "m double").select("m", poisson_limit(F.col("m")).alias("k")).collect()}
+    assert got == {m: exact(m) for m in means} | {0.0: 0}
+    assert [got[m] for m in (0.1, 0.77, 1.0, 2.0)] == [2, 5, 5, 8] and abs(got[1000.0] - 1099) <= 1
 
 
 def test_sanger_roundtrip(spark):

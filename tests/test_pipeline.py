@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helicase.functions.edit import read_indel
+from test_edit import clear_indel as read_indel
 from helicase.operators import clusters, coverage, kmers, merging, pairing, prefixes, selfref
 from helicase.plans.mapper import Mapping
 from helicase.session import materialise

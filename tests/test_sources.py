@@ -16,6 +16,7 @@ def folder(tmp_path):
 
 def put(folder, name, text):
     path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     opener = gzip.open if name.endswith(".gz") else open
     with opener(path, "wt", newline="") as f:
         f.write(text)
@@ -70,6 +71,14 @@ def test_pairs_follow_first_file_and_trim(spark, folder):
     assert got == [(0, 1, "a", "CGT", "III"), (0, 2, "a", "GGG", "555"), (1, 1, "b", "TT", "##"), (1, 2, "b", "CC", "##")]
 
 
+def test_pairs_of_several_files(spark, folder):
+    for side in (1, 2):
+        for j, names in enumerate(("ab", "cde")):
+            put(folder, f"side{side}/part{j}.fq", "".join(f"@{n} {side}\n{'ACGT'[side] * 4}\n+\nIIII\n" for n in names))
+    got = rows(fastq.read_pairs(spark, folder + "/side1", folder + "/side2"), "pair_id", "mate", "name", "nucs")
+    assert got == [(i, m, n, "ACGT"[m] * 4) for i, n in enumerate("abcde") for m in (1, 2)]
+
+
 def test_fastq_roundtrip(spark, folder):
     df = spark.createDataFrame([("x", "ACGT", "II#I"), ("y", "A", "@")], "name string, nucs string, qual string")
     fastq.write_fastq(df, folder + "/out", "gzip")
