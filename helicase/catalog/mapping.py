@@ -199,10 +199,10 @@ LOW = {
 @query(
     "w03_low_cov_regions",
     sql(
-        """SELECT low.ref, low.pos, low.stop, (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = low.ref AND g.pos BETWEEN low.pos - 40 AND low.pos - 1) AS left_flank,
-             (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = low.ref AND g.pos BETWEEN low.stop AND low.stop + 39) AS right_flank,
-             (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = low.ref AND g.pos BETWEEN low.pos AND low.stop - 1) AS bases
-           FROM low""",
+        """SELECT low.ref, low.pos, low.stop, piece."at", piece.bases, (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = low.ref AND g.pos BETWEEN low.pos - 40 AND low.pos - 1) AS left_flank,
+             (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = low.ref AND g.pos BETWEEN low.stop AND low.stop + 39) AS right_flank
+           FROM low JOIN (SELECT l.ref, l.pos, min(g.pos) AS "at", string_agg(base, '' ORDER BY g.pos) AS bases FROM low l
+             JOIN genome g ON g.ref = l.ref AND g.pos >= l.pos AND g.pos < l.stop GROUP BY l.ref, l.pos, (g.pos - 1) // 32) piece ON piece.ref = low.ref AND piece.pos = low.pos""",
         "dense", "chroms", "genome", extra=LOW,
     ),
 )
@@ -210,7 +210,7 @@ def _(spark, d):
     m = S.mapping(spark, d)
     low = coverage.low_regions(m.dense, m.chunks)
     flanked = coverage.with_flanks(low, S.reference_ext(spark, d), T.CHUNK)
-    return coverage.region_text(flanked, m.chunks, T.CHUNK).select("ref", "pos", "stop", "left_flank", "right_flank", "bases")
+    return coverage.region_pieces(flanked, m.chunks, T.CHUNK).select("ref", "pos", "stop", "at", "left_flank", "right_flank", "bases")
 
 
 @query(
@@ -311,6 +311,39 @@ def _(spark, d):
     )
 
 
+WEIGHTS = ", ".join(f"round(coalesce(sum(q) FILTER (base = '{b}'), 0) / 30.0, 6) AS {b.lower()}_prob" for b in "ACGTX")
+
+
+@query(
+    "i03_region_weights",
+    sql(
+        f"""SELECT r.ref, r.start, p AS pos, a_prob, c_prob, g_prob, t_prob, x_prob FROM (SELECT ref, start, unnest(generate_series(start, stop - 1)) AS p FROM reg) r
+            JOIN (SELECT ref, pos, {WEIGHTS} FROM diffs GROUP BY ref, pos) w ON w.ref = r.ref AND w.pos = r.p""",
+        "loci", "diffs", "chroms", extra=REGIONS,
+    ),
+)
+def _(spark, d):
+    r = _regions(spark, d).withColumn("cluster", F.col("start"))
+    w = loci.region_weights(r, S.mapping(spark, d).differences)
+    return w.select("ref", F.col("cluster").alias("start"), "pos", *[F.round(c, 6).alias(c) for c in w.columns if c.endswith("_prob")])
+
+
+@query(
+    "s09_control_counts",
+    sql("SELECT ref, ref = 'chr1' AS control, count(*) AS reads, count_if(paired) AS paired FROM placed GROUP BY ref", "placed"),
+)
+def _(spark, d):
+    return S.mapping(spark, d).control_counts(["chr1"])
+
+
+@query(
+    "s09_sample_reads",
+    sql("SELECT pair_id, mate, nucs FROM reads ANTI JOIN (SELECT * FROM placed WHERE ref = 'chr1') USING (pair_id, mate)", "placed", "reads"),
+)
+def _(spark, d):
+    return S.mapping(spark, d).sample_reads(["chr1"]).select("pair_id", "mate", "nucs")
+
+
 @query(
     "a22_base_weights",
     sql(
@@ -334,7 +367,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return pileup.quality_calibration(S.mapping(spark, d).base_rows).select("q", F.round("observed", 6).alias("observed"), "n")
+    return pileup.quality_calibration(S.mapping(spark, d).quality_counts).select("q", F.round("observed", 6).alias("observed"), "n")
 
 
 @query(
@@ -347,7 +380,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    return pileup.quality_by_position(S.mapping(spark, d).base_rows).select(
+    return pileup.quality_by_position(S.mapping(spark, d).quality_counts).select(
         F.col("read_pos").cast("long").alias("read_pos"), F.round("observed", 6).alias("observed")
     )
 

@@ -59,13 +59,13 @@ def _(spark, d):
     "j13_earlier_places",
     sql(
         """SELECT q.ref, q.pos AS at_pos, k.pos AS hit, k.kmer <> q.kmer AS reverse FROM k16 q JOIN k16 k ON least(q.kmer, q.turned) = least(k.kmer, k.turned) AND k.ref = q.ref
-           AND k.pos < q.pos WHERE q.pos % 32 = 1""",
+           AND k.pos < q.pos""",
         "ext", extra=K16,
     ),
 )
 def _(spark, d):
     w = _windows(spark, d)
-    q = w.where("pos % 32 = 1").select(F.col("ref").alias("qref"), F.col("pos").alias("at_pos"), "kmer")
+    q = w.select(F.col("ref").alias("qref"), F.col("pos").alias("at_pos"), "kmer")
     hits = kmers.lookup_positions(q, w, F.col("at_pos")).where(F.col("ref") == F.col("qref"))
     return hits.select("ref", "at_pos", F.col("pos").alias("hit"), "reverse")
 

@@ -51,9 +51,18 @@ def _(spark, d):
 CODE = " + ".join(f"(instr('ACGT', translate(substr(s, {i + 1}, 1), 'N', 'A')) - 1) * {4 ** (15 - i)}" for i in range(16))
 
 
-@query("v04_kmer_code", sql(f"SELECT ref, chunk, ({CODE})::BIGINT AS code FROM chunks", "chunks"))
+HALVES = "(SELECT ref, chunk, half, substr(s, (half * 16 + 1)::INT, 16) AS s FROM chunks, (SELECT unnest([0, 1]) AS half))"
+
+
+def _halves(spark, d):
+    """The two 16-base halves of each chunk: ``(ref, chunk, half, s)``."""
+    both = F.array(F.left("s", F.lit(16)), F.substring(F.col("s"), F.lit(17), F.lit(16)))
+    return st(spark, d).select("ref", "chunk", F.posexplode(both).alias("half", "s"))
+
+
+@query("v04_kmer_code", sql(f"SELECT ref, chunk, half, ({CODE})::BIGINT AS code FROM {HALVES}", "chunks"))
 def _(spark, d):
-    return st(spark, d).select("ref", "chunk", dna.kmer_code(F.left("s", F.lit(16))).alias("code"))
+    return _halves(spark, d).select("ref", "chunk", "half", dna.kmer_code("s").alias("code"))
 
 
 PREFIX = "list_min(list_concat(list_filter(range(1, least(length(s), length(t)) + 1), lambda i: substr(s, i::INT, 1) <> substr(t, i::INT, 1)), [least(length(s), length(t)) + 1])) - 1"
@@ -90,9 +99,9 @@ def _(spark, d):
 KEY = "regexp_replace({0}, '(.)(.)(.)(.)', '\\4\\3\\2\\1', 'g')"
 
 
-@query("v17_canonical", sql(f"SELECT ref, chunk, {KEY.format('left(s, 16)')} < {KEY.format(rc('left(s, 16)'))} AS canonical FROM chunks", "chunks"))
+@query("v17_canonical", sql(f"SELECT ref, chunk, half, {KEY.format('s')} < {KEY.format(rc('s'))} AS canonical FROM {HALVES}", "chunks"))
 def _(spark, d):
-    return st(spark, d).select("ref", "chunk", dna.is_canonical_packed(F.left("s", F.lit(16))).alias("canonical"))
+    return _halves(spark, d).select("ref", "chunk", "half", dna.is_canonical_packed("s").alias("canonical"))
 
 
 @query(
@@ -170,10 +179,11 @@ def _(spark, d):
 @query(
     "p14_ranges",
     sql(
-        """SELECT e.ref, e.start, e.stop, (SELECT string_agg(base, '' ORDER BY g.pos) FROM genome g WHERE g.ref = e.ref AND g.pos >= e.start AND g.pos < e.stop) AS t
-           FROM (SELECT ref, chunk * 32 + 5 AS start, chunk * 32 + 205 AS stop FROM chunks) e JOIN chroms USING (ref) WHERE stop <= len""",
+        """SELECT e.ref, e.start, e.stop, min(g.pos) AS "at", string_agg(base, '' ORDER BY g.pos) AS bases
+           FROM (SELECT ref, chunk * 32 + 5 AS start, chunk * 32 + 205 AS stop FROM chunks) e JOIN chroms USING (ref)
+           JOIN genome g ON g.ref = e.ref AND g.pos >= e.start AND g.pos < e.stop WHERE e.stop <= len GROUP BY e.ref, e.start, e.stop, (g.pos - 1) // 32""",
         "genome", "chunks", "chroms",
-    ).replace("AS t\n", "AS bases\n"),
+    ),
 )
 def _(spark, d):
     c = S.reference(spark, d)

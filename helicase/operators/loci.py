@@ -120,6 +120,12 @@ def region_depths(region_rows: DataFrame, cov: DataFrame) -> DataFrame:
     )
 
 
+def region_weights(region_rows: DataFrame, diffs: DataFrame) -> DataFrame:
+    """:func:`base_weights` of the positions of each region that have differing samples, with the region's ``cluster``."""
+    spread = region_rows.select("ref", "cluster", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
+    return spread.join(base_weights(diffs), ["ref", "pos"])
+
+
 def insert_counts(aligned: DataFrame) -> DataFrame:
     """Reads with an insertion per locus: ``(ref, pos, n, significant)``."""
     return (

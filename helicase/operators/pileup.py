@@ -116,14 +116,18 @@ def differences(base_rows: DataFrame, aligned: DataFrame | None = None, qlimit:
     return subs.unionByName(ins)
 
 
-def quality_calibration(base_rows: DataFrame) -> DataFrame:
-    """Observed Q per reported Q: ``(q, observed, n)``; 41 without errors, 0 without hits."""
+def quality_counts(base_rows: DataFrame) -> DataFrame:
+    """Bases of mapped reads that agree and differ: ``(q, read_pos, good, bad)``."""
     hit = F.col("base") == F.col("ref_base")
+    return base_rows.where("ok").groupBy("q", "read_pos").agg(F.count_if(hit).alias("good"), F.count_if(~hit).alias("bad"))
+
+
+def quality_calibration(counts: DataFrame) -> DataFrame:
+    """Observed Q per reported Q from :func:`quality_counts`: ``(q, observed, n)``; 41 without errors, 0 without hits."""
     good, bad = F.col("good"), F.col("bad")
     return (
-        base_rows.where("ok")
-        .groupBy("q")
-        .agg(F.count_if(hit).alias("good"), F.count_if(~hit).alias("bad"))
+        counts.groupBy("q")
+        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .select(
             "q",
             F.when(good == 0, F.lit(0.0))
@@ -135,13 +139,11 @@ def quality_calibration(base_rows: DataFrame) -> DataFrame:
     )
 
 
-def quality_by_position(base_rows: DataFrame) -> DataFrame:
-    """Empirical Q per read position, where both right and wrong bases were seen."""
-    hit = F.col("base") == F.col("ref_base")
+def quality_by_position(counts: DataFrame) -> DataFrame:
+    """Empirical Q per read position from :func:`quality_counts`, where both right and wrong bases were seen."""
     return (
-        base_rows.where("ok")
-        .groupBy("read_pos")
-        .agg(F.count_if(hit).alias("good"), F.count_if(~hit).alias("bad"))
+        counts.groupBy("read_pos")
+        .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
         .where((F.col("good") > 0) & (F.col("bad") > 0))
         .select("read_pos", (-10.0 * F.log10(F.col("bad") / (F.col("good") + F.col("bad")))).alias("observed"))
     )

@@ -87,9 +87,9 @@ class Mapping:
 
     @cached_property
     def aligned(self) -> DataFrame:
-        return self.stage(
-            pileup.realign(self.placed, self.kept, self.chunks_ext, self.size, self.qlimit, self.indels), "aligned"
-        )
+        """Realigned reads in order of position, so that what is counted per position combines before it is shuffled."""
+        laid = pileup.realign(self.placed, self.kept, self.chunks_ext, self.size, self.qlimit, self.indels)
+        return self.stage(laid.repartitionByRange("ref", "pos").sortWithinPartitions("ref", "pos"), "aligned")
 
     @cached_property
     def base_rows(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Mapping:
 
     @cached_property
     def coverage(self) -> DataFrame:
-        return pileup.coverage(self.base_rows, self.qlimit)
+        return self.stage(pileup.coverage(self.base_rows, self.qlimit), "coverage")
 
     @cached_property
     def dense(self) -> DataFrame:
@@ -105,4 +105,24 @@ class Mapping:
 
     @cached_property
     def differences(self) -> DataFrame:
-        return pileup.differences(self.base_rows, self.aligned if self.indels else None, self.qlimit)
+        found = pileup.differences(self.base_rows, self.aligned if self.indels else None, self.qlimit)
+        return self.stage(found, "differences")
+
+    @cached_property
+    def quality_counts(self) -> DataFrame:
+        """Right and wrong bases per reported Q and read position."""
+        return self.stage(pileup.quality_counts(self.base_rows), "quality")
+
+    def control_counts(self, controls: list[str]) -> DataFrame:
+        """Reads placed on the control sequences and on the rest: ``(ref, control, reads, paired)``.
+
+        Their tables are those of a mapping of :meth:`sample_reads` without the controls in ``chunks``.
+        """
+        return self.placed.groupBy("ref", F.col("ref").isin(controls).alias("control")).agg(
+            F.count("*").alias("reads"), F.count_if("paired").alias("paired")
+        )
+
+    def sample_reads(self, controls: list[str]) -> DataFrame:
+        """The reads that were not placed on a control sequence."""
+        taken = self.placed.where(F.col("ref").isin(controls)).select("pair_id", "mate")
+        return self.reads.join(taken, ["pair_id", "mate"], "left_anti")

@@ -30,8 +30,8 @@ def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0
         "depth_by_gc": coverage.depth_by_gc(m.coverage, m.chunks_ext, m.size),
         "depth_histogram": coverage.depth_histogram(m.coverage, m.chunks),
         "depth_summary": coverage.depth_summary(m.coverage, m.chunks),
-        "reference_q": pileup.quality_by_position(m.base_rows),
-        "qq": pileup.quality_calibration(m.base_rows),
+        "reference_q": pileup.quality_by_position(m.quality_counts),
+        "qq": pileup.quality_calibration(m.quality_counts),
     }
     locus = loci.loci(m.differences, m.coverage, m.chunks_ext, m.size, with_inserts=m.indels)
     locus = loci.variability(locus, m.differences)
@@ -43,15 +43,32 @@ def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0
     out["loci"] = locus
     out["locus_reports"] = loci.locus_report(locus, m.differences)
     if undermatched:
-        out["undermatched"] = coverage.low_regions(m.dense, m.chunks)
+        low = coverage.low_regions(m.dense, m.chunks)
+        out["undermatched"] = low
+        out |= region_tables("undermatched", low.withColumnRenamed("pos", "start").withColumn("cluster", F.col("start")), m)
     if variable:
         out["variable_regions"] = loci.regions(locus, m.chunks)
+        out |= region_tables("variable", out["variable_regions"], m)
     if inserts and m.indels:
         out["insert_loci"] = loci.top_inserts(loci.insert_counts(m.aligned))
+        spots = out["insert_loci"].select("ref", "pos", F.col("n").alias("variability"))
+        out["insert_regions"] = loci.regions(spots, m.chunks)
+        out |= region_tables("insert", out["insert_regions"], m)
     out["run_summary"] = run_summary(m)
     return out
 
 
+def region_tables(name: str, regions: DataFrame, m: Mapping) -> dict[str, DataFrame]:
+    """Depth and base weights of every position of the regions ``(ref, cluster, start, stop)``, and their text by pieces."""
+    r = regions.select("ref", "cluster", "start", "stop")
+    text = coverage.region_pieces(r.withColumnRenamed("start", "pos"), m.chunks, m.size)
+    return {
+        f"{name}_depths": loci.region_depths(r, m.coverage),
+        f"{name}_weights": loci.region_weights(r, m.differences),
+        f"{name}_text": text.select("ref", "cluster", "at", "bases"),
+    }
+
+
 def run_summary(m: Mapping) -> DataFrame:
     """``(metric, value)`` of one run; each branch is a one-row aggregate."""
     n = F.count("*")

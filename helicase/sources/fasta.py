@@ -112,10 +112,13 @@ def with_accessions(rows: DataFrame, accessions: DataFrame) -> DataFrame:
 
 
 def extract(chunks: DataFrame, regions: DataFrame, size: int, reverse: str | None = None) -> DataFrame:
-    """Adds ``bases``: ``[start, stop)`` of each region row, turned where the flag column says so."""
-    from helicase.operators.coverage import region_text
+    """``[start, stop)`` of each region row as pieces: adds ``at`` and ``bases``, turned where the flag column says so.
 
-    r = region_text(regions.withColumnRenamed("start", "pos"), chunks, size).withColumnRenamed("pos", "start")
+    A piece lies in one chunk; in order of ``at`` they make up the region (turned ones against it).
+    """
+    from helicase.operators.coverage import region_pieces
+
+    r = region_pieces(regions.withColumnRenamed("start", "pos"), chunks, size).withColumnRenamed("pos", "start")
     if reverse:
         r = r.withColumn("bases", F.when(F.col(reverse), dna.revcomp("bases")).otherwise(F.col("bases")))
     return r
