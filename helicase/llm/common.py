@@ -11,7 +11,7 @@ import functools
 import math
 import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -151,22 +151,22 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def tree_sum(rows: DataFrame, column: str, kind: str) -> np.ndarray | None:
-    """Elementwise sum of compressed arrays of NumPy type `kind`, one a row, added up in two steps on executors.
+def tree_sum(rows: DataFrame, column: str, kind: str, add: Callable = np.add) -> np.ndarray | None:
+    """Elementwise sum (or another `add`) of compressed arrays of NumPy type `kind`, one a row, in two steps on executors.
 
     Arrays have a fixed size, so what comes to the driver doesn't grow. None without rows.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             for x in b.column(0):
                 own = np.frombuffer(zlib.decompress(x.as_py()), kind)
-                total = own.copy() if total is None else total + own
+                total = own.copy() if total is None else add(total, own)
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["x"])
 
     rows = rows.select(F.col(column).alias("x")).filter("x is not null")
-    some = rows.repartition(max(1, math.isqrt(rows.count()))).mapInArrow(add, "x binary")
-    found = some.repartition(1).mapInArrow(add, "x binary").first()
+    some = rows.repartition(max(1, math.isqrt(rows.count()))).mapInArrow(run, "x binary")
+    found = some.repartition(1).mapInArrow(run, "x binary").first()
     return None if found is None else np.frombuffer(zlib.decompress(found["x"]), kind)

@@ -5,7 +5,8 @@ of it. N-grams are ordered from rare to frequent, and two sets that are similar
 |x| - ceil(t |x|) + 1 of each, so only these columns bring documents together. Few documents in a column are compared in pairs
 whose sizes allow the similarity. Columns with many, such as those of a large group of near copies, only say which
 documents belong to one cluster; the clusters are multiplied block by block inside tasks, blocks whose sizes are too
-far apart not at all, and of the links of a block only a spanning forest leaves the task.
+far apart not at all, and of the links of a block only a spanning forest leaves the task. Pairs are counted over the
+columns they share, and those that share too few for their sizes are not compared at all.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ ship(__name__)
 BUCKETS = 1 << 20
 #: Documents in a column that are compared in pairs.
 FEW = 48
+#: Size of the filter for sets that meet others.
+FILTER_BITS = 1 << 24
 #: N-grams of a block of a cluster.
 BLOCK = 100_000
 
@@ -99,22 +102,29 @@ def _columns(docs: DataFrame, counts: np.ndarray | None, k: int, percent: int) -
 
 
 def _meetings(columns: DataFrame, percent: int) -> DataFrame:
-    """(a, b, many): pairs of sets to compare; with `many`, members of a cluster with the column's first."""
+    """(a, b, many): pairs of sets to compare; with `many`, members of a cluster with the column's first.
+
+    Let p of n be the columns of a set. Grams of the set whose columns end first are in the other set only if they are in
+    its columns too, so two sets share no more than the columns they meet in and the n - p others. (A pair that meets in
+    a column of many is compared within its cluster, whatever is counted here.)
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple[int, int]] = []  # different sets of the column `now`, while they are few
         now, leader, last = None, None, None
-        out: list[tuple[int, int, bool]] = []
+        out: list[tuple[int, int, int, int, bool]] = []
 
         def close() -> None:
             for n, (s, x) in enumerate(group):
-                out.extend((x, y, False) for t, y in group[n + 1 :] if 100 * s >= percent * t)
+                out.extend((x, y, s, t, False) for t, y in group[n + 1 :] if 100 * s >= percent * t)
             group.clear()
 
         def table() -> pa.RecordBatch:
-            a, b, many = zip(*out) if out else ((), (), ())
+            columns = zip(*out) if out else [()] * 5
+            kinds = [pa.int64()] * 4 + [pa.bool_()]
+            batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "s", "t", "many"])
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(many, pa.bool_())], ["a", "b", "many"])
+            return batch
 
         for batch in batches:
             gram, size, own = (batch.column(c).to_numpy() for c in ("gram", "size", "set"))
@@ -132,12 +142,12 @@ def _meetings(columns: DataFrame, percent: int) -> DataFrame:
                         continue
                     last = x
                     if leader is not None:
-                        out.append((leader, x, True))
+                        out.append((leader, x, 0, 0, True))
                     else:
                         group.append((s, x))
                         if len(group) > FEW:
                             leader = group[0][1]
-                            out.extend((leader, y, True) for _, y in group[1:])
+                            out.extend((leader, y, 0, 0, True) for _, y in group[1:])
                             group.clear()
                 if len(out) > 50_000:
                     yield table()
@@ -145,23 +155,52 @@ def _meetings(columns: DataFrame, percent: int) -> DataFrame:
         yield table()
 
     dealt = columns.repartition("gram").sortWithinPartitions("gram", "size", "set")
-    return dealt.mapInArrow(run, "a bigint, b bigint, many boolean").distinct()
+    met = dealt.mapInArrow(run, "a bigint, b bigint, s bigint, t bigint, many boolean").groupBy("a", "b", "s", "t", "many").agg(F.count("*").alias("n"))
+    rest = lambda c: F.ceil(percent * F.col(c) / 100) - 1
+    enough = F.col("n") >= F.ceil(percent * (F.col("s") + F.col("t")) / (100 + percent)) - F.greatest(rest("s"), rest("t"))
+    return met.filter(F.col("many") | enough).select("a", "b", "many")
 
 
-def _arrays(docs: DataFrame, survey: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(set, size, grams) of the sets `wanted` (set): each from one of its documents."""
-    nodes = survey.filter("size > 0").groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.max("size").alias("size"))
-    chosen = nodes.join(wanted, "set", "left_semi").select("doc_id").distinct()
-    # an id that several rows share, or none, brings all of them; the set hash tells them apart
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("doc_id"), "text")
-    rows = rows.join(chosen.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id")), "doc_id", "left_semi").select("text")
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """Bits that are set for all of the sets `wanted` (set) and few others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for b in batches:
-            for i, j, owner, grams, size, sums in sets(b.column("text"), k):
-                yield pa.RecordBatch.from_arrays([pa.array(sums.view(np.int64)), pa.array(size), common.list_array(owner, grams.view(np.int64), j - i, pa.int64())], ["set", "size", "grams"])
+            x = _filter_bit(b.column("set").to_numpy().view(np.uint64))
+            np.bitwise_or.at(bits, x >> 3, (1 << (x & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], ["bits"])
+
+    found = common.tree_sum(staged(wanted.mapInArrow(run, "bits binary"), "jaccard-filter"), "bits", "uint8", np.bitwise_or)
+    return np.zeros(FILTER_BITS // 8, np.uint8) if found is None else found
+
+
+def _filter_bit(sets: np.ndarray) -> np.ndarray:
+    return (sets >> np.uint64(64 - FILTER_BITS.bit_length() + 1)).astype(np.int64)
+
 
-    found = rows.mapInArrow(run, "set bigint, size bigint, grams array<bigint>")
+def _arrays(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(set, size, grams) of the sets `wanted` (set): each from one of its documents.
+
+    Tasks leave out most other sets by a filter of fixed size, so that texts need not be shuffled; a join is exact.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared.value, set()
+        for b in batches:
+            for _, _, owner, grams, size, sums in sets(b.column("text"), k):
+                x = _filter_bit(sums)
+                use = (size > 0) & (bits[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool)
+                for i in np.flatnonzero(use).tolist():
+                    use[i] = sums[i] not in seen
+                    seen.add(sums[i])
+                at = np.flatnonzero(use)
+                new = np.cumsum(use) - 1
+                in_use = use[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(sums[at].view(np.int64)), pa.array(size[at]), common.list_array(new[owner[in_use]], grams[in_use].view(np.int64), len(at), pa.int64())], ["set", "size", "grams"])
+
+    found = docs.select("text").mapInArrow(run, "set bigint, size bigint, grams array<bigint>")
     return staged(found.join(wanted, "set", "left_semi").dropDuplicates(["set"]), "jaccard-arrays")
 
 
@@ -245,7 +284,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     survey = _survey(docs, k)
     meet = staged(_meetings(_columns(docs, common.tree_sum(survey, "counts", "int64"), k, percent), percent), "jaccard-meetings")
     wanted = meet.select(F.col("a").alias("set")).union(meet.select("b")).distinct()
-    arrays = _arrays(docs, survey, wanted, k)
+    arrays = _arrays(docs, staged(wanted, "jaccard-wanted"), k)
     pairs = meet.filter("not many").select("a", "b")
     with_b = pairs.join(arrays.select(F.col("set").alias("b"), F.col("grams").alias("y")), "b")
     both = with_b.join(arrays.select(F.col("set").alias("a"), F.col("grams").alias("x")), "a")
