@@ -140,3 +140,35 @@ def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_spaced_seeds": op3_spaced_seeds}
+
+
+def _mask_rows() -> str:
+    return " UNION ALL ".join(f"SELECT {m} AS mask, {[p for p, c in enumerate(mask) if c == '1']} AS places" for m, mask in enumerate(decontaminate.MASKS))
+
+
+#: Items of fewer words than a mask are left out here; the given tables have none.
+SQL["op3_spaced_seeds"] = rf"""
+WITH masks AS ({_mask_rows()}),
+d AS (SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM documents),
+i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+dk AS (SELECT doc_id, text, w, pos, mask, list_transform(places, lambda p: w[pos + p]) AS k FROM (SELECT *, unnest(range(1, len(w) - 8)) AS pos FROM d WHERE len(w) >= 10), masks),
+ik AS (SELECT item_id, w AS item, ipos, mask, list_transform(places, lambda p: w[ipos + p]) AS k FROM (SELECT *, unnest(range(1, len(w) - 8)) AS ipos FROM i WHERE len(w) >= 10), masks),
+hit AS (SELECT DISTINCT doc_id, text, w, pos, item_id, item, ipos FROM dk JOIN ik USING (mask, k)),
+same AS (SELECT doc_id, text, item_id, len(item) AS n_words, ipos + q AS place, pos + q - 1 AS word_at, pos - ipos AS diagonal
+         FROM (SELECT *, unnest(range(0, 10)) AS q FROM hit) WHERE w[pos + q] = item[ipos + q]),
+near AS (SELECT *, grid, floor((diagonal + 32 * grid) / 64.0) AS cell FROM same, (SELECT unnest([0, 1]) AS grid)),
+spot AS (SELECT doc_id, text, item_id, n_words, grid, cell, count(DISTINCT place) AS covered, min(word_at) AS low, max(word_at) AS high FROM near GROUP BY ALL)
+SELECT doc_id, item_id, n_words::INT AS n_words, max(covered) AS covered, min(low)::BIGINT AS first_word, max(high)::BIGINT AS last_word
+FROM spot WHERE covered >= 0.5 * n_words GROUP BY doc_id, text, item_id, n_words
+"""
+
+SQL["op8_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+shared AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b USING (g) GROUP BY ALL),
+link AS MATERIALIZED (SELECT x, y, k = a.n AND k = b.n AS same FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT n.doc_id, n.n AS n_shingles, greatest((SELECT count(*) FROM link WHERE link.x = n.doc_id AND same), 1) AS n_equal, c.component_id
+FROM n JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = n.doc_id
+"""
