@@ -237,23 +237,28 @@ def _(spark, d):
 
 
 LINES = {
-    "l0": r"SELECT source AS file, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents",
+    "l0": r"SELECT doc_id AS file, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents",
     "l1": """SELECT file, CASE WHEN regexp_full_match(line, '[0-9]+') THEN CASE WHEN ltrim(line, '0') = '' THEN '0' ELSE ltrim(line, '0') END
         ELSE translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS line FROM l0 WHERE line <> ''""",
-    "present": "SELECT line, string_agg(DISTINCT file, ',' ORDER BY file) AS files, count(DISTINCT file)::INT AS n_files FROM l1 GROUP BY line",
+    "present": "SELECT line, bit_xor(('0x' || substr(md5(file::VARCHAR), 1, 15))::BIGINT) AS set_id, count(*) AS n_files FROM (SELECT DISTINCT line, file FROM l1) GROUP BY line",
 }
 
 
 def _lines(spark, d):
-    return lines.split_lines(T.table(spark, d, "documents"), "text", "source")
+    return lines.split_lines(T.table(spark, d, "documents"), "text", "doc_id")
 
 
-@query("a33_line_presence", sql("SELECT line, files, n_files FROM present", extra=LINES))
+@query("a33_line_presence", sql("SELECT line, set_id, n_files FROM present", extra=LINES))
 def _(spark, d):
     return lines.presence(_lines(spark, d))
 
 
-@query("a33_presence_groups", sql("SELECT files, count(*) AS n_lines FROM present GROUP BY files", extra=LINES))
+@query("a33_line_members", sql("SELECT DISTINCT line, file FROM l1", extra={k: LINES[k] for k in ("l0", "l1")}))
+def _(spark, d):
+    return lines.members(_lines(spark, d))
+
+
+@query("a33_presence_groups", sql("SELECT set_id, n_files, count(*) AS n_lines FROM present GROUP BY ALL", extra=LINES))
 def _(spark, d):
     return lines.presence_groups(lines.presence(_lines(spark, d)))
 

@@ -23,16 +23,21 @@ def split_lines(docs: DataFrame, text: str = "text", file: str = "file") -> Data
     )
 
 
+def members(lines: DataFrame) -> DataFrame:
+    """Each distinct line with each file that holds it: ``(line, file)``."""
+    return lines.select(line_key(F.col("line")).alias("line"), "file").distinct()
+
+
 def presence(lines: DataFrame) -> DataFrame:
-    """Per distinct line the set of files that hold it: ``(line, files, n_files)``.
+    """Per distinct line how many files hold it, and which set of files it is: ``(line, set_id, n_files)``.
 
-    Sets are combined before the shuffle, so a line in every file costs one row
-    per map task; a set never has more members than there are files.
+    ``set_id`` combines 60-bit hashes of the files, so that a line that stands in every file
+    stays one short row. The set itself is in :func:`members`.
     """
-    p = lines.groupBy(line_key(F.col("line")).alias("line")).agg(F.array_sort(F.collect_set("file")).alias("_f"))
-    return p.select("line", F.array_join("_f", ",").alias("files"), F.size("_f").alias("n_files"))
+    digest = F.conv(F.substring(F.md5(F.col("file").cast("string").cast("binary")), 1, 15), 16, 10).cast("long")
+    return members(lines).groupBy("line").agg(F.bit_xor(digest).alias("set_id"), F.count("*").alias("n_files"))
 
 
 def presence_groups(present: DataFrame) -> DataFrame:
     """Number of lines per set of files."""
-    return present.groupBy("files").agg(F.count("*").alias("n_lines"))
+    return present.groupBy("set_id", "n_files").agg(F.count("*").alias("n_lines"))

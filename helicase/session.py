@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Point Spark's reliable checkpoints at the folder the cluster names.
 
     ``spark.checkpoint.dir`` wins whenever it is set. Only a local master may
-    fall back to a scratch folder; a cluster without the setting is an error,
+    fall back to a scratch folder, which goes when the program ends; a cluster without the setting is an error,
     because a machine-local folder would be lost with its machine.
     """
     sc = spark.sparkContext
@@ -45,7 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="helicase-ckpt-"))
+        scratch = tempfile.mkdtemp(prefix="helicase-ckpt-")
+        atexit.register(shutil.rmtree, scratch, ignore_errors=True)
+        sc.setCheckpointDir(scratch)
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return sc.getCheckpointDir()

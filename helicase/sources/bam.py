@@ -119,11 +119,11 @@ class BamWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         place, root = fs.FileSystem.from_uri(self.path)
-        place.create_dir(root, recursive=True)
         ctx = TaskContext.get()
-        name = f"{root}/part-{ctx.partitionId():05d}.bam"
+        # Every attempt has files of its own; commit() gives the successful ones their names.
+        name = f"{root}/_attempts/part-{ctx.partitionId():05d}-{ctx.taskAttemptId()}.bam"
+        place.create_dir(f"{root}/_attempts", recursive=True)
         index, n, at = Index(len(self.chromosomes)), 0, 0
-        # A retried task writes its file again from the start.
         with place.open_output_stream(name) as out:
             buf = bytearray()
 
@@ -151,6 +151,23 @@ class BamWriter(DataSourceWriter):
             out.write(index.to_bytes())
         return Part(name, n)
 
+    def commit(self, messages):
+        from pyarrow import fs
+
+        place, root = fs.FileSystem.from_uri(self.path)
+        for m in messages:
+            final = f"{root}/" + m.path.rsplit("/", 1)[1].rsplit("-", 1)[0] + ".bam"
+            for end in (".bai", ""):
+                place.move(m.path + end, final + end)
+        place.delete_dir(f"{root}/_attempts")
+
+    def abort(self, messages):
+        from pyarrow import fs
+
+        place, root = fs.FileSystem.from_uri(self.path)
+        if place.get_file_info(f"{root}/_attempts").type != fs.FileType.NotFound:
+            place.delete_dir(f"{root}/_attempts")
+
 
 class BamSource(DataSource):
     """Format ``helicase_bam``; options ``path`` and ``chromosomes``."""
@@ -169,7 +186,7 @@ def bam_rows(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     ids = order.select("ref", (F.rank().over(_by_ref()) - 1).alias("ref_id"))
     n = F.length("seq")
     c = F.trim(F.regexp_replace(dna.cigar(n, "indel", "amount"), "([MID])", "$1 "))
-    return rows.join(F.broadcast(ids), "ref").select(
+    return rows.join(ids, "ref").select(
         "ref_id",
         "pos",
         dna.reg2bin(F.col("pos") - 1, F.col("pos") - 1 + n).alias("bin"),
