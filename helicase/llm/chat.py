@@ -1,14 +1,16 @@
 """Linking of tool calls with their results.
 
 Calls and results meet in a hash join on (conversation, identifier). Calls are put in
-topological order by rounds: each round gives the next level to the calls whose
-dependencies all have one. Arguments are checked against the schema of their tool and
+topological order by levels: a call stands one level above the highest of its
+dependencies. Arguments are checked against the schema of their tool and
 every exchange is written as canonical JSON (sorted keys, no blanks).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helicase.llm.common import staged
@@ -50,27 +52,50 @@ def parse(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of all calls that no cycle holds back; level 0 has no dependency among the calls."""
-    keys = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("after")).alias("needs"))
-    known = keys.select("conv_id", F.col("call_id").alias("needs"))
-    edges = staged(edges.join(known, ["conv_id", "needs"]), "chat-edges")
-    done = staged(keys.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "chat-levels")
-    level, parts = 0, [done]
-    while True:
-        fresh = parts[-1].select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("met"))
-        left = edges.join(fresh, ["conv_id", "needs"], "left")
-        state = left.groupBy("conv_id", "call_id").agg(F.count_if(F.col("met").isNull()).alias("open"), F.count("met").alias("met"))
-        level += 1
-        ready = staged(state.filter("open = 0").select("conv_id", "call_id", F.lit(level).alias("level")), "chat-levels")
+    """(conv_id, call_id, level) of all calls that no cycle holds back; level 0 has no dependency among the calls.
+
+    Chains of calls with one dependency each are shortened by doubling, so that a conversation of n turns takes log n
+    rounds; rounds of one level each are left for calls with several dependencies.
+    """
+    key = ["conv_id", "call_id"]
+    keys = calls.select(*key)
+    known = keys.withColumnRenamed("call_id", "needs")
+    edges = calls.select(*key, F.explode(F.array_distinct("after")).alias("needs")).join(known, ["conv_id", "needs"])
+    edges = staged(edges.withColumn("n", F.count("*").over(Window.partitionBy(*key))), "chat-edges")
+    jumps = edges.filter("n = 1").select(*key, F.col("needs").alias("to"), F.lit(1).cast("bigint").alias("far"))
+    inner = jumps.select("conv_id", F.col("call_id").alias("to"))  # of chains
+    reach, most = 1, jumps.count()
+    jumps = staged(jumps, "chat-jumps")
+    while reach <= 2 * most:
+        nxt = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("far").alias("far2"))
+        step = jumps.join(nxt, ["conv_id", "to"], "left")
+        jumps = staged(step.select(*key, F.coalesce("to2", "to").alias("to"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNull().alias("ends")), "chat-jumps")
+        reach *= 2
+        if jumps.filter("not ends").isEmpty():
+            break
+        jumps = jumps.drop("ends")
+    # chains that end at a call with none or several dependencies; the others run into a cycle
+    chains = jumps.join(inner, ["conv_id", "to"], "left_anti").select(*key, F.col("to").alias("anchor"), "far")
+    done = keys.join(edges.select(*key).distinct(), key, "left_anti").withColumn("level", F.lit(0).cast("bigint"))
+    to_chain = chains.select("conv_id", F.col("call_id").alias("needs"), "anchor", "far")
+    several = edges.filter("n > 1").join(to_chain, ["conv_id", "needs"], "left")
+    several = several.join(jumps.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("single")), ["conv_id", "needs"], "left")
+    # a dependency that runs into a cycle has no anchor and is never met
+    several = several.select(*key, F.when(F.col("single"), F.col("anchor")).otherwise(F.col("needs")).alias("anchor"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("bigint").alias("level"))
+    parts = [staged(done, "chat-levels")]
+    several = staged(several, "chat-several")
+    while not several.isEmpty():
+        fresh = parts[-1].select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("now"))
+        several = staged(several.join(fresh, ["conv_id", "anchor"], "left").select(*key, "anchor", "far", F.coalesce("level", F.col("now") + F.col("far")).alias("level")), "chat-several")
+        ready = several.groupBy(*key).agg(F.max("level").alias("level"), F.count_if(F.col("level").isNull()).alias("open")).filter("open = 0").select(*key, "level")
+        ready = staged(ready, "chat-levels")
         if ready.isEmpty():
             break
         parts.append(ready)
-        edges = staged(left.filter("met is null").select("conv_id", "call_id", "needs"), "chat-edges")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        several = staged(several.join(ready.select(*key), key, "left_anti"), "chat-several")
+    anchors = functools.reduce(DataFrame.unionByName, parts)
+    below = chains.join(anchors.select("conv_id", F.col("call_id").alias("anchor"), "level"), ["conv_id", "anchor"]).select(*key, (F.col("level") + F.col("far")).alias("level"))
+    return anchors.unionByName(below).select(*key, F.col("level").cast("int").alias("level"))
 
 
 def _errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
