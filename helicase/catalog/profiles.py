@@ -298,7 +298,7 @@ def _(spark, d):
 
 @query("i01_stitch")
 def _(spark, d):
-    ext = S.reference_ext(spark, d).where("chunk % 250 = 10")
+    ext = S.reference_ext(spark, d)
     seeds = ext.select(F.concat_ws(":", "ref", "chunk").alias("seed_id"), F.left("ext", F.lit(100)).alias("seed"))
     return prefixes.stitch(seeds, S.reads(spark, d), maxlen=200)
 

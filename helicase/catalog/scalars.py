@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from helicase.catalog.base import amino, gc, rc, sql
 from helicase.catalog.mapping import _loci
@@ -227,11 +227,12 @@ def _(spark, d):
 
 @query("s01_fastq_parse", sql("SELECT name AS header, nucs, qual FROM reads WHERE length(nucs) > 0", "reads"))
 def _(spark, d):
-    text = fastq.fastq_lines(rd(spark, d).where(F.length("nucs") > 0))
-    key = F.xxhash64("value")
-    lines = text.select(
-        key.cast("string").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")
-    ).withColumn("line_no", F.col("line_no").cast("long"))
+    # twenty-odd files of many records, their lines in no order
+    file = F.concat(F.lit("part-"), (F.col("pair_id") % 23).cast("string"))
+    nth = F.row_number().over(W.partitionBy(file).orderBy("pair_id", "mate")) - 1
+    records = rd(spark, d).where(F.length("nucs") > 0).withColumn("file", file).withColumn("nth", nth)
+    text = F.posexplode(F.array(F.concat(F.lit("@"), "name"), "nucs", F.lit("+"), "qual")).alias("i", "value")
+    lines = records.select("file", "nth", text).select("file", (F.col("nth") * 4 + F.col("i")).cast("long").alias("line_no"), "value")
     return fastq.parse_fastq(lines).select("header", "nucs", "qual")
 
 
