@@ -135,22 +135,6 @@ def lookup_positions(queries: DataFrame, kmers: DataFrame, before: Column | None
     return j.withColumn("reverse", F.col("_hit") != F.col("kmer")).drop("_key", "_hit")
 
 
-def cap_homopolymers(kmers: DataFrame, limit: int = 100) -> DataFrame:
-    """Keep only the first ``limit`` places of the all-A, all-C, all-G, all-T k-mers.
-
-    This is the index's documented behaviour for those four k-mers; a group of
-    equal k-mers is thinned before the shuffle by Spark's partial top-k window.
-    """
-    homo = F.length(F.translate("kmer", "A", "")).isin(0) | (F.length(F.translate("kmer", "C", "")) == 0) | (
-        F.length(F.translate("kmer", "G", "")) == 0
-    ) | (F.length(F.translate("kmer", "T", "")) == 0)
-    w = W.partitionBy(dna.canonical("kmer")).orderBy("ref", "pos")
-    first = (
-        kmers.where(homo).withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= limit).drop("_rn")
-    )
-    return kmers.where(~homo).unionByName(first)
-
-
 def single_change_upgrades(counts: DataFrame, k: int, count: int = 2) -> DataFrame:
     """K-mers seen ``count`` times that one substitution, or turning round, makes more frequent.
 

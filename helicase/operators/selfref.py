@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from helicase.functions import dna
 from helicase.functions.edit import delta
-from helicase.operators.kmers import cap_homopolymers, expanded
+from helicase.operators.kmers import expanded
 from helicase.session import materialise
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -91,14 +91,13 @@ def best_references(chunks: DataFrame, size: int, order: DataFrame, longest: int
     places = at.where(F.length(unit) == UNIT).select(
         "ref", pos.alias("pos"), (pos + F.col("offset")).alias("at"), unit.alias("kmer"), here.alias("here"), turned.alias("turned")
     )
-    capped = cap_homopolymers(places)
     other = dna.revcomp("kmer")
     side = lambda k, r, t: F.struct(k.alias("kmer"), F.lit(r).alias("reverse"), t.alias("text"))
     both = F.when(
         other != F.col("kmer"), F.array(side(F.col("kmer"), False, F.col("here")), side(other, True, F.col("turned")))
     ).otherwise(F.array(side(F.col("kmer"), False, F.col("here"))))
     sources = (
-        capped.select("at", F.inline(both)).groupBy("kmer", "reverse", "text").agg(F.min("at").alias("at"))
+        places.select("at", F.inline(both)).groupBy("kmer", "reverse", "text").agg(F.min("at").alias("at"))
     )
     targets = places.select("ref", "pos", F.col("at").alias("_own"), "kmer", "here")
     e = F.col("_e")
