@@ -29,7 +29,9 @@ STATES = 6
 #: Classes of words, a power of two; one more holds the end of a text.
 CLASSES = 1 << 14
 #: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 10 << 20
+#: Tokens whose forward values are held at once, unless one text has more.
+PART_TOKENS = 150_000
 #: The states are told apart on this many texts of one block before all texts are used.
 FIRST_TEXTS, FIRST_ROUNDS = 400, 12
 #: Baum-Welch rounds over all training texts.
@@ -152,10 +154,22 @@ def _class(words: np.ndarray) -> np.ndarray:
     return (words & np.uint64(CLASSES - 1)).astype(np.int64)
 
 
-def _training(row: dict, most: int | None = None) -> _Texts:
+def _parts(n: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, _Texts]]:
+    """A block's texts in parts of similar lengths and limited size: their numbers, and the texts side by side."""
+    order = np.argsort(-n, kind="stable")
+    begin = np.concatenate([[0], np.cumsum(n)])
+    part = np.cumsum(n[order] + 1) // PART_TOKENS
+    for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(n) else ():
+        k = n[own]
+        at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+        yield own, _Texts(k, classes[at])
+
+
+def _training(row: dict, most: int | None = None) -> Iterator[_Texts]:
     held, n, vocabulary, numbers = _unpack(row)
     use = ~held if most is None else ~held & (np.cumsum(~held) <= most)
-    return _Texts(n[use], _class(vocabulary)[numbers[np.repeat(use, n)]])
+    for _, texts in _parts(n[use], _class(vocabulary)[numbers[np.repeat(use, n)]]):
+        yield texts
 
 
 def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int = ROUNDS) -> Model:
@@ -170,11 +184,12 @@ def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int
     stay = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
     m = Model(np.full(STATES, 1 / STATES), stay, prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), STATES)))
     m.emit /= m.emit.sum(0)
-    some = blocks.orderBy("block").limit(1).collect()
-    for row in some:
-        few = _training(row.asDict(), FIRST_TEXTS)
-        for _ in range(FIRST_ROUNDS if len(few.row) else 0):
-            m = Model.of(m.counts(few), more * min(1, len(few.row) / max(1, tokens.sum())))
+    one = blocks.agg(F.min("block")).first()[0]
+    for row in blocks.filter(F.col("block") == one).select("held", "n", "vocabulary", "words").collect():
+        few = list(_training(row.asDict(), FIRST_TEXTS))
+        seen = sum(len(x.row) for x in few)
+        for _ in range(FIRST_ROUNDS if few else 0):
+            m = Model.of(sum(m.counts(x) for x in few), more * min(1, seen / max(1, tokens.sum())))
     for _ in range(rounds):
         now = blocks.sparkSession.sparkContext.broadcast(m)
 
@@ -182,8 +197,9 @@ def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int
             model, total = now.value, None  # noqa: B023
             for b in batches:
                 for row in b.to_pylist():
-                    own = model.counts(_training(row))
-                    total = own if total is None else total + own
+                    for texts in _training(row):
+                        own = model.counts(texts)
+                        total = own if total is None else total + own
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
@@ -239,9 +255,11 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
             kind = _class(vocabulary)
             owner = np.repeat(np.arange(len(n)), n)
             per_text = lambda x: np.bincount(owner, x[numbers], len(n))  # noqa: E731, B023
-            texts = _Texts(n, kind[numbers])
+            path = np.zeros(len(n))
+            for i, texts in _parts(n, kind[numbers]):
+                path[i] = m.log10(texts)
             base = per_text(np.log10((c + 1) / (n_all + v_all + 1))) + np.log10((ends + 1) / (n_all + v_all + 1))
-            own = m.log10(texts) + per_text(np.log10((c + 1) / of_class[kind]))
+            own = path + per_text(np.log10((c + 1) / of_class[kind]))
             out["doc_id"] += row["doc_id"]
             out["held_out"] += held_out.tolist()
             out["n_tokens"] += (n + 1).tolist()
