@@ -175,6 +175,19 @@ def _(spark, d):
     return e.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in e.columns]).alias("value"))
 
 
+@query(
+    "s29_genes_csv",
+    sql(
+        """SELECT concat_ws(' ', n.chromo, n.gene_name, numexons, exonsize, coalesce(stop - start, 0), coalesce(start, 0), coalesce(stop, 0), coalesce(sense::INT, 0)) AS value
+           FROM (SELECT chromo, gene_name, count(*) AS numexons, sum(stop - start)::BIGINT AS exonsize FROM newest GROUP BY ALL) n
+           LEFT JOIN (SELECT * FROM gtf WHERE type = 'gene' AND gene_biotype = 'protein_coding') g USING (gene_name)""",
+        extra=GTF,
+    ),
+)
+def _(spark, d):
+    return A.latest_transcripts(parse.parse_gtf(T.gtf_lines(spark, d))).select(F.concat_ws(" ", "chromo", "name", "numexons", "exonsize", "size", "start", "stop", "strand").alias("value"))
+
+
 CHANGES = FEATURES | {
     "lg": """SELECT l.*, start, stop, strand, CASE WHEN strand THEN l.pos - start ELSE stop - l.pos END AS at_ FROM loci l
         JOIN ann ON ann.ref = l.ref AND l.pos BETWEEN start AND stop AND ann.gene""",

@@ -189,6 +189,21 @@ def _(spark, d):
     return g.select(F.round("gc", 6).alias("gc"), F.round("depth", 6).alias("depth"), F.round("sd", 6).alias("sd"))
 
 
+@query(
+    "s27_gc_coverage_tsv",
+    sql(
+        """SELECT printf('%.4f', gc / 40) || chr(9) || printf('%.4f', round(avg(depth), 6)) || chr(9) || printf('%.4f', round(stddev_pop(depth), 6)) AS value FROM (
+             SELECT length(w) - length(translate(w, 'CG', '')) AS gc, coalesce(depth, 0) AS depth
+             FROM (SELECT ref, chunk * 32 + i + 21 AS pos, substr(ext, (i + 1)::INT, 40) AS w FROM ext, (SELECT unnest(generate_series(0, 31)) AS i)
+                   WHERE length(ext) >= i + 40) LEFT JOIN cov USING (ref, pos)) GROUP BY gc""",
+        "ext", "cov",
+    ),
+)
+def _(spark, d):
+    g = coverage.depth_by_gc(S.mapping(spark, d).coverage, S.reference_ext(spark, d), T.CHUNK)
+    return g.select(F.format_string("%.4f\t%.4f\t%.4f", "gc", F.round("depth", 6), F.round("sd", 6)).alias("value"))
+
+
 LOW = {
     "runs": """SELECT ref, min(pos) AS pos, max(pos) + 1 AS stop FROM (
         SELECT ref, pos, pos - row_number() OVER (PARTITION BY ref ORDER BY pos) AS grp FROM dense WHERE depth < 5) GROUP BY ref, grp""",

@@ -192,6 +192,19 @@ def _(spark, d):
     return fasta.extract(c, r, T.CHUNK)
 
 
+@query(
+    "s32_packed_dump",
+    sql(
+        """SELECT ref, chunk, string_agg(printf('%02X', code), '' ORDER BY b) AS packed FROM (
+             SELECT ref, chunk, (i - 1) // 4 AS b, sum((instr('ACGT', substr(s, i::INT, 1)) - 1) * pow(4, (i - 1) % 4))::INT AS code
+             FROM chunks, (SELECT unnest(generate_series(1, 32)) AS i) WHERE i <= length(s) GROUP BY ALL) GROUP BY ref, chunk""",
+        "chunks",
+    ),
+)
+def _(spark, d):
+    return fasta.packed_rows(S.reference(spark, d)).select("ref", "chunk", F.hex("packed").alias("packed"))
+
+
 CASSETTE = "ACGTTGCAAGGCTTACGGATCCATTTGACC"
 
 

@@ -124,6 +124,21 @@ def extract(chunks: DataFrame, regions: DataFrame, size: int, reverse: str | Non
     return r
 
 
+def packed_rows(chunks: DataFrame) -> DataFrame:
+    """Two bits a base, four bases a byte with the first lowest: ``(ref, chunk, packed)``; the last byte of a chunk is filled up with A."""
+    digits = F.translate(dna.pack_bases("s"), "ACGT", "0123")
+    groups = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.length("s") / 4).cast("int") - 1),
+        lambda i: F.lpad(F.conv(F.reverse(F.rpad(F.substring(digits, i * 4 + 1, F.lit(4)), 4, "0")), 4, 16), 2, "0"),
+    )
+    return chunks.where(F.length("s") > 0).select("ref", "chunk", F.unhex(F.array_join(groups, "")).alias("packed"))
+
+
+def write_packed(chunks: DataFrame, path: str) -> None:
+    """A folder per chromosome with its packed chunks in order."""
+    packed_rows(chunks).repartitionByRange("ref", "chunk").sortWithinPartitions("ref", "chunk").write.partitionBy("ref").parquet(path)
+
+
 def splice(chunks: DataFrame, size: int, ref: str, cut: int, resume: int, insert: str) -> DataFrame:
     """``ref`` with the bases between ``cut`` and ``resume`` replaced by the turned ``insert``.
 
