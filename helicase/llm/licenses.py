@@ -89,13 +89,15 @@ FAMILIES = [
     ("mulan", "mulan", r"mulan\s+(?:permissive|psl)"),
 ]
 
+NAMED = r"{n}\s+licen[sc]e"
+
 #: What stands around a name, and the priority of a detection of that form. {n} is the name.
 FORMS = [
     (r"spdx-licen[sc]e-identifier:\s*{n}(?:[-\s]?v?[0-9][0-9.]*)?(?:-only|-or-later|\+)?", 100),
     (r"licen[sc]ed\s+(?:to\s+\S+\s+)?under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{n}(?:\s+licen[sc]e)?(?:,?\s*(?:version|v\.?)?\s*[0-9][0-9.]*[0-9]?)?", 90),
     (r"(?:released|distributed|published|available|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+(?:the\s+)?)?{n}(?:\s+licen[sc]e)?(?:,?\s*(?:version|v\.?)?\s*[0-9][0-9.]*[0-9]?)?", 80),
     (r"{n}(?:\s+licen[sc]e)?,?\s+version\s*[0-9][0-9.]*[0-9]?", 70),
-    (r"{n}\s+licen[sc]e", 60),
+    (NAMED, 60),
 ]
 
 #: Label, keyword, pattern and priority of rules that stand alone.
@@ -120,7 +122,12 @@ STEMS = (
 def rules() -> list[tuple[str, str, str, int]]:
     """(label, keyword, pattern, priority), about three hundred."""
     edge = r"(?<![a-z0-9])", r"(?![a-z0-9])"
-    out = [(label, key, edge[0] + form.format(n=f"(?:{name})") + edge[1], p) for label, key, name in FAMILIES for form, p in FORMS]
+    out = []
+    for label, key, name in FAMILIES:
+        for form, p in FORMS:
+            if form == NAMED and name.endswith("licen[sc]e"):
+                form = "{n}"  # the name says it all
+            out.append((label, key, edge[0] + form.format(n=f"(?:{name})") + edge[1], p))
     return out + [(label, key, edge[0] + pattern, p) for label, key, pattern, p in SINGLE]
 
 
