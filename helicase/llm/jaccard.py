@@ -292,11 +292,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = both.filter(100 * n >= percent * (F.size("x") + F.size("y") - n)).select("a", "b")
     clusters = components(meet.filter("many"))
     roots = components(links.unionByName(_cluster_links(clusters, arrays, percent)))
-    rows = survey.filter("counts is null").join(roots.withColumnRenamed("node", "set"), "set", "left")
-    rows = rows.withColumn("root", F.coalesce("root", "set"))
-    full = rows.filter("size > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    equal = full.groupBy("set").agg(F.count("*").alias("n_equal"))
-    out = full.join(least, "root").join(equal, "set").select("doc_id", F.col("size").alias("n_shingles"), "n_equal", "component_id")
+    rows = survey.filter("counts is null").select("doc_id", "size", "set")
+    # what is known of a set is put together by set first, so that rows with one set meet it in one plain join
+    each = rows.filter("size > 0").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_equal"))
+    each = staged(each.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")), "jaccard-sets")
+    least = each.groupBy("root").agg(F.min("least").alias("component_id"))
+    known = staged(each.join(least, "root").select("set", "n_equal", "component_id"), "jaccard-groups")
+    out = rows.filter("size > 0").join(known, "set").select("doc_id", F.col("size").alias("n_shingles"), "n_equal", "component_id")
     alone = rows.filter("size = 0").select("doc_id", F.col("size").alias("n_shingles"), F.lit(1).cast("bigint").alias("n_equal"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
