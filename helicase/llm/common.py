@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from helicase import session
 
 #: Bytes of text looked at in one NumPy step; longer texts are a step of their own.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -79,6 +80,11 @@ def slices(at: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = j
 
 
+def in_parts(texts: pd.Series, run: Callable[[pa.Array], np.ndarray], rows: int = 1000) -> np.ndarray:
+    """`run` over a few texts at a time, so that a batch isn't held twice; at least once, for its type."""
+    return np.concatenate([run(pa.array(texts.iloc[i : i + rows], pa.string(), from_pandas=True)) for i in range(0, max(len(texts), 1), rows)])
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 

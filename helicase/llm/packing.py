@@ -26,7 +26,9 @@ from helicase.llm.common import ship, staged
 ship(__name__)
 
 #: Chunks of text whose ids a task keeps at most.
-CACHED = 250_000
+CACHED = 150_000
+#: Texts cut at once.
+ROWS = 500
 
 
 @functools.lru_cache(None)
@@ -95,29 +97,32 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, part = _Encoder(tokenizer), defaultdict(int), TaskContext.get().partitionId()
-        for batch in batches:
-            owner, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column("text")):
-                data = encode(text.as_py() or "") + end
-                n = len(data) // 4
-                at, k, to = 0, 0, (n - 1) % size + 1
-                while at < n:
-                    own = data[4 * at : 4 * to]
-                    owner.append(i)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(to - at)
-                    crc.append(zlib.crc32(own))
-                    rank.append(seen[to - at])
-                    seen[to - at] += 1
-                    if keep_ids:
-                        ids.append(own)
-                    at, k, to = to, k + 1, to + size
-            out = {
-                "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
-                "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(owner), pa.int32()), "rank": pa.array(rank, pa.int64()),
-            }
-            yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if keep_ids else {}))
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                owner, piece, start, length, crc, rank, ids = [], [], [], [], [], [], []
+                for i, text in enumerate(batch.column("text")):
+                    data = encode(text.as_py() or "") + end
+                    n = len(data) // 4
+                    at, k, to = 0, 0, (n - 1) % size + 1
+                    while at < n:
+                        own = data[4 * at : 4 * to]
+                        owner.append(i)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(to - at)
+                        crc.append(zlib.crc32(own))
+                        rank.append(seen[to - at])
+                        seen[to - at] += 1
+                        if keep_ids:
+                            ids.append(own)
+                        at, k, to = to, k + 1, to + size
+                out = {
+                    "doc_id": batch.column("doc_id").take(pa.array(owner, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()),
+                    "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()), "part": pa.array([part] * len(owner), pa.int32()),
+                    "rank": pa.array(rank, pa.int64()),
+                }
+                yield pa.RecordBatch.from_pydict(out | ({"ids": pa.array(ids, pa.binary())} if keep_ids else {}))
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -227,7 +227,7 @@ def scorer(model: Model):
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(shared.value.score(features_of(pa.array(texts, pa.string(), from_pandas=True))))
+            yield pd.Series(common.in_parts(texts, lambda part: shared.value.score(features_of(part))))
 
     return run
 

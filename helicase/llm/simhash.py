@@ -32,7 +32,7 @@ def fingerprints(column: pa.Array) -> np.ndarray:
     """64-bit fingerprints of texts; of equal texts they are equal, of empty texts 0."""
     data, at = common.text_bytes(column)
     out = np.zeros(len(at) - 1, np.uint64)
-    for i, j in common.slices(at, 1 << 20):
+    for i, j in common.slices(at):
         begin = at[i : j + 1] - at[i]
         owner, _, _, words = common.words(common.lowered(data[at[i] : at[j]]), begin)
         owner, terms, times = common.distinct(*common.shingles(owner, words, j - i, TERM_WORDS))
@@ -64,7 +64,7 @@ def fingerprint_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(_hex(fingerprints(pa.array(texts, pa.string(), from_pandas=True))))
+            yield pd.Series(_hex(common.in_parts(texts, fingerprints)))
 
     return docs.select(*keep, run("text").alias("fingerprint"))
 
