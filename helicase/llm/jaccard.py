@@ -230,6 +230,7 @@ def _cluster_links(clusters: DataFrame, arrays: DataFrame, percent: int) -> Data
     after = total.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("next"))
     before = total.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("previous"))
     dims = total.join(after, ["cluster", "class"], "left").join(before, ["cluster", "class"], "left").na.fill(0, ["next", "previous"])
+    dims = staged(dims, "jaccard-blocks")  # a few rows a cluster, so that a large cluster's members need not meet in one task
     m = members.join(dims, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("set"), F.col("blocks")))
     own = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1), lambda j: _unit(F.col("class"), F.least("block", j), 0, F.greatest("block", j), (F.col("block") > j).cast("int")))
     upper = F.when(F.col("next") > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("next") - 1), lambda j: _unit(F.col("class"), F.col("block"), 1, j, F.lit(0))))
