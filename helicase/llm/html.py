@@ -2,7 +2,8 @@
 
 Paragraphs give points for their length and commas to the containers above them, less with each step up. A
 container's points are discounted by the share of its text that stands in links. The best container and those of its
-siblings that read like text are kept; parts that are never text (menus, forms, comments ...) are skipped.
+siblings that read like text are kept; parts that are never text (menus, forms, comments ...) are skipped. A name of
+boilerplate skips no heading, no paragraph and nothing that holds the larger part of the page's unlinked text.
 """
 
 from __future__ import annotations
@@ -37,42 +38,70 @@ ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-#: Names of classes, ids and roles.
-BAD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|banner|nav|navbar|navigation|menu\w*|breadcrumbs?|sidebar\w*|side-bar|rail|widget\w*|footer\w*|foot|header|masthead|"
-    r"comments?|commentlist|disqus\w*|replies|reply|respond|discussion|cookies?|consent|gdpr|notices?|notification\w*|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|"
-    r"share|sharing|social|related|recommend\w*|pagination|pager|tags|toolbar|search|complementary|contentinfo|skip-link|paywall|disclaimer|copyright|hidden|sr-only|tracking|outbrain|taboola)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words of classes, ids and roles. A name of these words (with FILLER) alone is boilerplate, in prose too.
+HARD = re.compile(
+    r"ads?|advert\w*|adbox|adsense|adslot|sponsor\w*|promos?|promoted|promotions?|nav|navbar|navigation|breadcrumbs?|sidebars?|widgets?|footer|comments?|commentlist|disqus|"
+    r"newsletter|subscribe|signup|login|popup|modal|pagination|pager|toolbar|complementary|contentinfo|paywall|outbrain|taboola|hidden|masthead|tracking|gdpr"
 )
+#: Words that are topics too: boilerplate as a class or role, not as an id, which may be a section's anchor.
+TOPIC = re.compile(r"menus?|share|sharing|social|related|recommend\w*|search|rail|cookies?|consent|tags|banner|overlay|reply|replies|respond|subscription|notifications?")
+#: Words that say nothing about prose; what bears them goes if it is mostly links, or short and without heading and paragraph.
+SOFT = re.compile(r"header|foot|discussion|notices?|alert|disclaimer|copyright")
+FILLER = {
+    "site", "page", "main", "top", "bottom", "left", "right", "primary", "secondary", "global", "wrapper", "wrap", "container", "box", "area", "block", "section", "list", "item", "items", "bar", "inner",
+    "outer", "col", "column", "group", "slot", "unit", "panel", "post", "posts", "article", "articles", "entry", "story", "stories", "links", "buttons", "icons", "media", "form", "google", "user", "the",
+}
+COMMENTS = re.compile(r"comments?|commentlist|disqus")
+#: Words that make a name a layout's or a state's.
+MODIFIER_FIRST, MODIFIER_LAST = {"has", "no", "with", "without", "is", "not", "hide", "show", "js"}, {"enabled", "disabled", "on", "off", "open", "opened", "closed", "active", "visible", "ready", "loaded"}
+HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
 GOOD = re.compile(r"article|content|entry|story|post|main|body|text|blog", re.I)
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "skip", "weight", "length", "linked", "score", "commas", "inherited")
+    __slots__ = ("tag", "parent", "children", "skip", "weight", "length", "linked", "score", "commas", "doubt", "factor")
+
+    def __init__(self, tag, parent, skip, weight, doubt=0):
+        self.tag, self.parent, self.skip, self.weight, self.doubt = tag, parent, skip, weight, doubt
+        self.children, self.length, self.linked, self.score, self.commas, self.factor = [], 0, 0, 0.0, 0, 1.0
+
 
-    def __init__(self, tag, parent, skip, weight):
-        self.tag, self.parent, self.skip, self.weight = tag, parent, skip, weight
-        self.children, self.length, self.linked, self.score, self.commas, self.inherited = [], 0, 0, 0.0, 0, 0.0
+def _doubt(value: str, anchor: bool) -> int:
+    """What a class, role or id (`anchor`) says: 0 nothing, 1 a word of boilerplate among others, 2 boilerplate, 3 comments."""
+    most = 0
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        words = [w for w in (re.sub(r"\d+$", "", w) for w in re.split(r"[-_:]+", token)) if w]
+        if not words or words[0] in MODIFIER_FIRST or words[-1] in MODIFIER_LAST:
+            continue
+        if token in ("side-bar", "sr-only", "skip-link"):
+            most = max(most, 2)
+            continue
+        hard = [bool(HARD.fullmatch(w) or not anchor and TOPIC.fullmatch(w)) for w in words]
+        if any(hard) and all(h or w in FILLER or TOPIC.fullmatch(w) or SOFT.fullmatch(w) for w, h in zip(words, hard)):
+            most = max(most, 3 if any(COMMENTS.fullmatch(w) for w in words) else 2)
+        elif any(h or TOPIC.fullmatch(w) or SOFT.fullmatch(w) for w, h in zip(words, hard)):
+            most = max(most, 1)
+    return most
 
 
 def _open(tag: str, attrs: str, parent: _Node) -> _Node:
-    skip, weight = tag in NEVER, 0.0
+    skip, weight, doubt = tag in NEVER, 0.0, 0
     if attrs.strip(" /\t\r\n"):
         names = ""
         for m in ATTRIBUTE.finditer(attrs):
             key, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id", "role"):
                 names += " " + value
+                doubt = max(doubt, _doubt(value, key == "id"))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 skip = True
-        if names and tag not in ("html", "body", "article", "main"):
-            if BAD.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", names)):
-                skip = True
+        if tag in ("html", "body", "article", "main", "p", "pre") or tag in HEADING:
+            doubt = 0
         if names and GOOD.search(names):
             weight = 25.0
     if tag == "header" and not _inside(parent, ("article", "main")):
         skip = True
-    return _Node(tag, parent, skip, weight)
+    return _Node(tag, parent, skip, weight, doubt)
 
 
 def _inside(node: _Node, tags: tuple[str, ...]) -> bool:
@@ -138,8 +167,8 @@ def _tree(html: str) -> _Node:
     return root
 
 
-def _measure(root: _Node) -> list[_Node]:
-    """Lengths and points of all elements that aren't skipped, parents first."""
+def _lengths(root: _Node) -> list[_Node]:
+    """Lengths of all elements that aren't skipped, parents first."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
@@ -147,6 +176,7 @@ def _measure(root: _Node) -> list[_Node]:
             order.append(x)
             todo += [c for c in x.children if type(c) is _Node]
     for x in reversed(order):
+        x.length = x.linked = x.commas = 0
         for c in x.children:
             if type(c) is str:
                 s = c.strip()
@@ -158,6 +188,44 @@ def _measure(root: _Node) -> list[_Node]:
                 x.commas += c.commas
         if x.tag == "a":
             x.linked = x.length
+    return order
+
+
+def _holds(x: _Node, tags: set[str]) -> bool:
+    todo = [x]
+    while todo:
+        y = todo.pop()
+        if y.tag in tags and y.length and not y.skip:
+            return True
+        todo += [c for c in y.children if type(c) is _Node and not c.skip]
+    return False
+
+
+def _judge(root: _Node, order: list[_Node]) -> bool:
+    """Skip doubtful elements by their names and by what they hold, parents first; whether there were any.
+
+    What holds the larger part of the page's unlinked text stays, but counts less than other containers.
+    """
+    doubtful = [x for x in order if x.doubt]
+    text = root.length - root.linked
+    for x in doubtful:
+        own = x.length - x.linked
+        if x.doubt == 1:
+            x.skip = not _holds(x, {"h1"}) and (_density(x) >= 0.33 or own < 80 and not _holds(x, HEADING | {"p", "pre"}))
+        else:
+            stays = own > text - own and (x.doubt == 2 or text - own < 140 or _holds(x, {"h1", "article", "main"}))
+            x.skip, x.factor = not stays, 0.25
+    for x in order:
+        if x.parent is not None:
+            x.factor *= x.parent.factor
+    return bool(doubtful)
+
+
+def _measure(root: _Node) -> list[_Node]:
+    """Lengths and points of all elements that aren't skipped, parents first."""
+    order = _lengths(root)
+    if _judge(root, order):
+        order = _lengths(root)
     for x in order:
         own = x.tag in PARAGRAPH or x.tag in CONTAINER and any(type(c) is str and len(c.strip()) >= 25 for c in x.children)
         if own and x.length >= 10:
@@ -183,7 +251,7 @@ def _best(root: _Node) -> list[_Node]:
     pool = [x for x in order if x.tag in CONTAINER and x.length]
     if not pool:
         return [root]
-    value = lambda x: (x.score + x.weight * (x.score > 0)) * (1 - _density(x))
+    value = lambda x: (x.score + x.weight * (x.score > 0)) * (1 - _density(x)) * x.factor
     top = max(pool, key=value)
     whole = max(named, key=lambda x: x.length * (1 - _density(x)), default=None)
     if whole is not None and whole.length and whole.length >= 0.2 * top.length:

@@ -416,6 +416,27 @@ def test_main_text_of_layouts(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and html.extract(df.limit(0), ["page_id"]).count() == 0
 
 
+@pytest.mark.parametrize(
+    "opening, closing",
+    [
+        ("<div class='post-content has-sidebar'>", "</div>"), ("<div class='entry-content share-enabled'>", "</div>"), ("<div class='post no-footer with-comments'>", "</div>"),
+        ("<div class='sidebar'>", "</div>"), ("<div id='search'>", "</div>"), ("<div id='page' class='menu-open'>", "</div>"),
+    ],
+)
+def test_names_do_not_hide_the_article(opening, closing):
+    para = "Some words of an article, with a comma and more to read than in any list of links."
+    lines = ["The head", "First section", para, "Social impact", para, "Rail", para, "Discussion", para]
+    inner = (
+        f"<div class='article-header'><h1>{lines[0]}</h1></div><h2>{lines[1]}</h2><p class='notice'>{para}</p><h2 id='social-impact'>{lines[3]}</h2><p>{para}</p>"
+        f"<section id='rail-transport'><h2>{lines[5]}</h2><p>{para}</p></section><section id='discussion'><h2>{lines[7]}</h2><p>{para}</p></section>"
+    )
+    around = "<div class='site-footer'><p>All rights, of this site, are with its owners, see below.</p></div>"
+    menu = "<div class='menu'><ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul></div><div class='social'><a href=z>Follow us</a></div><div class='ad'>Buy this, and that.</div>"
+    assert html.main_text(f"<html><body>{menu}{opening}{inner}{closing}{around}</body></html>") == " ".join(lines)
+    inside = f"<article>{inner}{menu}<div id='comments'><p>{para}</p></div></article>"
+    assert html.main_text(f"<html><body>{menu}{inside}{around}</body></html>") == " ".join(lines)
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     from html import unescape
 
