@@ -1,8 +1,8 @@
 """Main text of web pages by scores in the tree.
 
 Paragraphs give points for their length and commas to the containers above them, less with each step up. A
-container's points are discounted by the share of its text that stands in links. The best container and those of its
-siblings that read like text are kept; parts that are never text (menus, forms, comments ...) are skipped. A name of
+container's points are discounted by the share of its text that stands in links. An <article> or <main> goes first if it holds most
+of the best container's unlinked text. The best container and its siblings of few links are kept in page order; parts that are never text (menus, forms, comments ...) are skipped. A name of
 boilerplate skips no heading, no paragraph and nothing that holds the larger part of the page's unlinked text.
 """
 
@@ -204,7 +204,8 @@ def _holds(x: _Node, tags: set[str]) -> bool:
 def _judge(root: _Node, order: list[_Node]) -> bool:
     """Skip doubtful elements by their names and by what they hold, parents first; whether there were any.
 
-    What holds the larger part of the page's unlinked text stays, but counts less than other containers.
+    What holds the larger part of the page's unlinked text stays, but counts less than other containers; if it holds no h1,
+    article or main itself, it gives way to one elsewhere.
     """
     doubtful = [x for x in order if x.doubt]
     text = root.length - root.linked
@@ -213,7 +214,10 @@ def _judge(root: _Node, order: list[_Node]) -> bool:
         if x.doubt == 1:
             x.skip = not _holds(x, {"h1"}) and (_density(x) >= 0.33 or own < 80 and not _holds(x, HEADING | {"p", "pre"}))
         else:
-            stays = own > text - own and (x.doubt == 2 or text - own < 140 or _holds(x, {"h1", "article", "main"}))
+            rest = text - own
+            stays = own > rest
+            if stays and not _holds(x, {"h1", "article", "main"}):
+                stays = not _holds(root, {"article", "main"}) and (own > 10 * rest or not _holds(root, {"h1"})) and (x.doubt == 2 or rest < 140)
             x.skip, x.factor = not stays, 0.25
     for x in order:
         if x.parent is not None:
@@ -245,6 +249,10 @@ def _density(x: _Node) -> float:
     return x.linked / x.length if x.length else 0.0
 
 
+def _unlinked(x: _Node) -> int:
+    return x.length - x.linked
+
+
 def _best(root: _Node) -> list[_Node]:
     order = _measure(root)
     named = [x for x in order if x.tag == "article" or x.tag == "main"]
@@ -253,20 +261,36 @@ def _best(root: _Node) -> list[_Node]:
         return [root]
     value = lambda x: (x.score + x.weight * (x.score > 0)) * (1 - _density(x)) * x.factor
     top = max(pool, key=value)
-    whole = max(named, key=lambda x: x.length * (1 - _density(x)), default=None)
-    if whole is not None and whole.length and whole.length >= 0.2 * top.length:
+    whole = max(named, key=_unlinked, default=None)
+    if whole is not None and _unlinked(whole) and 2 * _unlinked(whole) > _unlinked(top):
         top = whole
     if top.parent is None or top.tag in ("body", "html"):
         return [top]
-    limit, kept = max(10.0, value(top) * 0.2), []
+    limit, kept, run = max(10.0, value(top) * 0.2), [], []
+
+    def loose():
+        """Text between elements stays with its inline elements unless most of it is links."""
+        length = sum(len(c.strip()) if type(c) is str else c.length for c in run)
+        if length and 2 * sum(c.linked for c in run if type(c) is _Node) < length:
+            kept.extend(run)
+        run.clear()
+
     for c in top.parent.children:
+        if type(c) is str or c.tag not in BLOCK and c is not top:
+            if type(c) is str or not c.skip:
+                run.append(c)
+            continue
+        loose()
         if c is top:
             kept.append(c)
-        elif type(c) is _Node and not c.skip and c.length and _density(c) < 0.25:
-            if top.tag in ("article", "main") and c.tag not in (top.tag, "p", "section"):
+        elif c.skip or not c.length:
+            continue
+        elif c.tag == "h1" or _density(c) < (0.5 if c.tag in PARAGRAPH else 0.25):
+            # an article says itself where it ends: beside it, other boxes stay if they score
+            if top.tag in ("article", "main") and c.tag in CONTAINER - {top.tag, "section", "blockquote", "ul", "ol", "dl", "table"} and value(c) < limit:
                 continue
-            if c.tag in CONTAINER and value(c) >= limit or c.tag == "p" and c.length > 80:
-                kept.append(c)
+            kept.append(c)
+    loose()
     return kept
 
 

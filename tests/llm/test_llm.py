@@ -437,6 +437,20 @@ def test_names_do_not_hide_the_article(opening, closing):
     assert html.main_text(f"<html><body>{menu}{inside}{around}</body></html>") == " ".join(lines)
 
 
+def test_article_is_whole_beside_its_best_container():
+    long = "Some words of an article, with a comma and more to read, than in any list of links there is. " * 4
+    long, teaser = " ".join(long.split()), "A teaser, of another article, that is shorter than the post but long enough to have a fifth of its length, as teasers are."
+    page = f"<body><div class=post><p>{long}</p><p>{long}</p><p>{long}</p></div><article><p>{teaser}</p><p>{teaser}</p></article></body>"
+    assert html.main_text(page).startswith(" ".join([long] * 3))
+    parts = f"<h1><a href=x>Head</a></h1><p>Short.</p>Loose <a href=y>text</a> here<div>By me</div><div class=x><p>{long}</p><p>{long}</p></div><h2>Code</h2><pre>a = 1</pre><ul><li>One<li>Two</ul>"
+    parts += f"<table><tr><td>1</td></tr></table><section><h3>More</h3><p>Few.</p></section><ul><li><a href=a>Link</a><li><a href=b>Link</a></ul><p>End.</p>"
+    want = f"Head Short. Loose text here By me {long} {long} Code a = 1 One Two 1 More Few. End."
+    for opening, closing in (("<div id=all>", "</div>"), ("<body>", "</body>"), ("<div id=all><div class=y>", "</div></div>")):
+        assert html.main_text(f"{opening}{parts}{closing}") == want
+    assert html.main_text(f"<body><h1>Head</h1><article><p>{long}</p></article><p>Short.</p><div>Imprint</div></body>") == f"Head {long} Short."
+    assert html.main_text(f"<body><div class=ad>{long}</div><article><h1>Head</h1><p>Few words.</p></article></body>") == "Head Few words."
+
+
 def test_articles_of_the_given_pages(spark, sf_dir):
     from html import unescape
 
