@@ -1,8 +1,8 @@
 """Hidden Markov language model.
 
 Latent states emit classes of words, and a class emits its words in proportion to their counts in the corpus; a class is a
-fixed hash of the word, so the tables of the states do not grow with the corpus. Baum-Welch counts are summed over
-partitions; the likelihood of a text is computed exactly by the scaled forward recursion.
+hash of the word, and there are more of them with more different words. Every Baum-Welch round runs over all training
+texts, its counts summed over partitions, until the likelihood hardly rises; the likelihood of a text is computed exactly by the scaled forward recursion.
 
 Texts are staged once, as blocks of word numbers with the words (as 64-bit hashes) that occur in the block. Corpus
 counts cross the network as one row for each word of a block.
@@ -10,6 +10,7 @@ counts cross the network as one row for each word of a block.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,19 +27,22 @@ from helicase.llm.common import ship, staged
 ship(__name__)
 
 STATES = 6
-#: Classes of words, a power of two; one more holds the end of a text.
+#: Classes of words at least, a power of two; one more holds the end of a text.
 CLASSES = 1 << 14
 #: Bytes of text in a block.
 BLOCK_BYTES = 10 << 20
 #: Tokens whose forward values are held at once, unless one text has more.
 PART_TOKENS = 150_000
-#: The states are told apart on this many texts of one block before all texts are used.
-FIRST_TEXTS, FIRST_ROUNDS = 400, 12
-#: Baum-Welch rounds over all training texts.
-ROUNDS = 2
+#: Baum-Welch ends when PATIENCE rounds in turn gain less than LEAST_GAIN of log-likelihood (natural) a token.
+LEAST_GAIN, PATIENCE = 1e-3, 2
 SMOOTHING = 0.5
 
 
+def n_classes(types: int) -> int:
+    """Classes for so many different words: the power of two from 16 times their root, so that a model fits a task."""
+    return max(CLASSES, 1 << math.ceil(math.log2(16 * math.sqrt(max(types, 1)))))
+
+
 def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
     """Blocks of texts: ids, held-out flags, word counts, the distinct words with their counts in training texts, and the words' numbers.
 
@@ -75,9 +79,9 @@ def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
 
 
 class _Texts:
-    """Texts of a block side by side, longest first: entry `first[t] + r` is token t of the r-th longest; ends included."""
+    """Texts of a block side by side, longest first: entry `first[t] + r` is token t of the r-th longest; ends included, as class `end`."""
 
-    def __init__(self, n: np.ndarray, classes: np.ndarray):
+    def __init__(self, n: np.ndarray, classes: np.ndarray, end: int = CLASSES):
         self.order = np.argsort(-n, kind="stable")
         length = n[self.order] + 1
         begin = np.concatenate([[0], np.cumsum(n)])[self.order]
@@ -87,7 +91,7 @@ class _Texts:
         self.row = np.arange(self.first[-1]) - self.first[step]
         ended = step == length[self.row] - 1
         self.token = np.where(ended, 0, begin[self.row] + step) if len(classes) else np.zeros(len(step), np.int64)
-        self.kind = np.where(ended, CLASSES, classes[self.token] if len(classes) else CLASSES)
+        self.kind = np.where(ended, end, classes[self.token] if len(classes) else end)
         self.before = self.first[np.maximum(step - 1, 0)] + self.row
         self.later = step > 0
 
@@ -119,9 +123,13 @@ class Model:
 
     def counts(self, x: _Texts) -> np.ndarray:
         """Expected starts, moves and emissions of one Baum-Welch step, in one row of numbers."""
-        k = len(self.start)
+        return self.step(x)[:-2]
+
+    def step(self, x: _Texts) -> np.ndarray:
+        """`counts`, and then the texts' log-likelihood (natural) and their number of tokens."""
+        k, n = len(self.start), len(self.emit)
         if not len(x.row):
-            return np.zeros(k + k * k + k * (CLASSES + 1))
+            return np.zeros(k + k * k + k * n + 2)
         a, scale, e = self.forward(x)
         later = np.ones_like(a)
         e /= scale[:, None]
@@ -131,8 +139,8 @@ class Model:
         moves = self.move * (a[x.before[x.later]].T @ (later * e)[x.later])
         a *= later
         a /= a.sum(1)[:, None]
-        emitted = [np.bincount(x.kind, a[:, s], CLASSES + 1) for s in range(k)]
-        return np.concatenate([a[: x.at_step[0]].sum(0), moves.ravel(), *emitted])
+        emitted = [np.bincount(x.kind, a[:, s], n) for s in range(k)]
+        return np.concatenate([a[: x.at_step[0]].sum(0), moves.ravel(), *emitted, [np.log(scale).sum(), len(scale)]])
 
     @staticmethod
     def of(counts: np.ndarray, more: np.ndarray, k: int = STATES) -> Model:
@@ -150,11 +158,11 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     )
 
 
-def _class(words: np.ndarray) -> np.ndarray:
-    return (words & np.uint64(CLASSES - 1)).astype(np.int64)
+def _class(words: np.ndarray, classes: int) -> np.ndarray:
+    return (words & np.uint64(classes - 1)).astype(np.int64)
 
 
-def _parts(n: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, _Texts]]:
+def _parts(n: np.ndarray, classes: np.ndarray, end: int) -> Iterator[tuple[np.ndarray, _Texts]]:
     """A block's texts in parts of similar lengths and limited size: their numbers, and the texts side by side."""
     order = np.argsort(-n, kind="stable")
     begin = np.concatenate([[0], np.cumsum(n)])
@@ -162,21 +170,30 @@ def _parts(n: np.ndarray, classes: np.ndarray) -> Iterator[tuple[np.ndarray, _Te
     for own in np.split(order, np.flatnonzero(np.diff(part)) + 1) if len(n) else ():
         k = n[own]
         at = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-        yield own, _Texts(k, classes[at])
+        yield own, _Texts(k, classes[at], end)
 
 
-def _training(row: dict, most: int | None = None) -> Iterator[_Texts]:
+def _training(row: dict, classes: int) -> Iterator[_Texts]:
     held, n, vocabulary, numbers = _unpack(row)
-    use = ~held if most is None else ~held & (np.cumsum(~held) <= most)
-    for _, texts in _parts(n[use], _class(vocabulary)[numbers[np.repeat(use, n)]]):
+    for _, texts in _parts(n[~held], _class(vocabulary, classes)[numbers[np.repeat(~held, n)]], classes):
         yield texts
 
 
-def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts, begun from states that are told apart on a few texts of one block.
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for b in batches:
+        for x in b.column(0):
+            own = np.frombuffer(zlib.decompress(x.as_py()), "float64")
+            total = own.copy() if total is None else total + own
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+
+
+def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray) -> tuple[Model, list[float]]:
+    """Baum-Welch over all training texts from a random model that depends on the number of classes only, and the log-likelihood a token before each round.
 
     `tokens` and `types` are the classes' words in training texts, all and different ones. Each state adds SMOOTHING to its count
-    of a class for every type and for one word that never occurred.
+    of a class for every type and for one word that never occurred. How rows lie in files and blocks doesn't matter, but for rounding.
     """
     rng = np.random.default_rng(7)
     more = SMOOTHING * (types + 1.0)
@@ -184,30 +201,35 @@ def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray, rounds: int
     stay = np.full((STATES, STATES), 0.1 / STATES) + np.eye(STATES) * 0.9
     m = Model(np.full(STATES, 1 / STATES), stay, prior[:, None] * rng.uniform(0.5, 1.5, (len(prior), STATES)))
     m.emit /= m.emit.sum(0)
-    one = blocks.agg(F.min("block")).first()[0]
-    for row in blocks.filter(F.col("block") == one).select("held", "n", "vocabulary", "words").collect():
-        few = list(_training(row.asDict(), FIRST_TEXTS))
-        seen = sum(len(x.row) for x in few)
-        for _ in range(FIRST_ROUNDS if few else 0):
-            m = Model.of(sum(m.counts(x) for x in few), more * min(1, seen / max(1, tokens.sum())))
-    for _ in range(rounds):
-        now = blocks.sparkSession.sparkContext.broadcast(m)
+    context = blocks.sparkSession.sparkContext
+    # each task adds up many blocks, so the tables that cross the network don't grow in number with the input
+    few = 3 * context.defaultParallelism
+    texts = blocks.select("held", "n", "vocabulary", "words").coalesce(few)
+    likelihoods: list[float] = []
+    small = 0
+    while small < PATIENCE:
+        now = context.broadcast(m)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, total = now.value, None  # noqa: B023
             for b in batches:
                 for row in b.to_pylist():
-                    for texts in _training(row):
-                        own = model.counts(texts)
-                        total = own if total is None else total + own
+                    for x in _training(row, len(model.emit) - 1):
+                        own = model.step(x)
+                        total = own if total is None else np.add(total, own, out=total)
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
 
-        partial = staged(blocks.select("held", "n", "vocabulary", "words").mapInArrow(run, "counts binary"), "hmm-counts")
-        total = common.tree_sum(partial, "counts", "float64")
-        if total is not None:
-            m = Model.of(total, more)
-    return m
+        some = texts.mapInArrow(run, "counts binary").repartition(math.isqrt(few)).mapInArrow(_added, "counts binary")
+        found = some.repartition(1).mapInArrow(_added, "counts binary").first()
+        now.unpersist()
+        if found is None:
+            break
+        total = np.frombuffer(zlib.decompress(found["counts"]), "float64")
+        likelihoods.append(total[-2] / total[-1])
+        m = Model.of(total[:-2], more)
+        small = small + 1 if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < LEAST_GAIN else 0
+    return m, likelihoods
 
 
 def score(docs: DataFrame, held: Column) -> DataFrame:
@@ -233,17 +255,18 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
     rows = blocks.select("block", "vocabulary", "trained").mapInArrow(words_of, "word bigint, trained bigint, block bigint, number int")
     rows = rows.withColumn("c", F.sum("trained").over(Window.partitionBy("word")))
     rows = staged(rows.withColumn("is_first", F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1), "hmm-words")
-    known = rows.filter("is_first and c > 0").groupBy(F.col("word").bitwiseAND(F.lit(CLASSES - 1)).alias("class")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).collect()
-    tokens, types = np.zeros(CLASSES + 1, np.int64), np.zeros(CLASSES + 1, np.int64)
-    for r in known:
-        tokens[r["class"]], types[r["class"]] = r["tokens"], r["types"]
+    known = rows.filter("is_first and c > 0")
+    classes = n_classes(known.count())
+    found = known.groupBy(F.col("word").bitwiseAND(F.lit(classes - 1)).alias("class")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types")).toArrow()
+    tokens, types = np.zeros(classes + 1, np.int64), np.zeros(classes + 1, np.int64)
+    tokens[found["class"].to_numpy()], types[found["class"].to_numpy()] = found["tokens"].to_numpy(), found["types"].to_numpy()
     held_texts = F.length(F.regexp_replace(F.hex("held"), "00", ""))
     ends = int(blocks.agg(F.sum(F.size("doc_id") - held_texts / 2)).first()[0] or 0)
-    tokens[CLASSES], types[CLASSES] = ends, int(ends > 0)
+    tokens[classes], types[classes] = ends, int(ends > 0)
     n_all, v_all = int(tokens.sum()), int(types.sum())
-    model = train(blocks, tokens, types)
+    model, _ = train(blocks, tokens, types)
     # of a class's probability, a word it never had in training gets the share of one token
-    given = spark.sparkContext.broadcast((model, tokens[:CLASSES] + types[:CLASSES] + 1))
+    given = spark.sparkContext.broadcast((model, tokens[:classes] + types[:classes] + 1))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m, of_class = given.value
@@ -252,11 +275,11 @@ def score(docs: DataFrame, held: Column) -> DataFrame:
             held_out, n, vocabulary, numbers = _unpack(row)
             c = np.zeros(len(vocabulary), np.int64)
             c[right["number"].to_numpy()] = right["c"].to_numpy()
-            kind = _class(vocabulary)
+            kind = _class(vocabulary, len(of_class))
             owner = np.repeat(np.arange(len(n)), n)
             per_text = lambda x: np.bincount(owner, x[numbers], len(n))  # noqa: E731, B023
             path = np.zeros(len(n))
-            for i, texts in _parts(n, kind[numbers]):
+            for i, texts in _parts(n, kind[numbers], len(of_class)):
                 path[i] = m.log10(texts)
             base = per_text(np.log10((c + 1) / (n_all + v_all + 1))) + np.log10((ends + 1) / (n_all + v_all + 1))
             own = path + per_text(np.log10((c + 1) / of_class[kind]))

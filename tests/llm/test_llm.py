@@ -309,6 +309,28 @@ def test_model_beats_counts_on_held_out_texts(spark, sf_dir):
     assert r.own > r.base
 
 
+def test_model_does_not_depend_on_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen, train = [], hmm.train
+
+    def kept(blocks, tokens, types):
+        seen.append((blocks.count(), len(tokens), train(blocks, tokens, types)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(hmm, "train", kept)
+    docs = spark.createDataFrame([(i, " ".join(random.Random(i).choices([f"{'ab'[i < 30]}{j}" for j in range(40)], k=30))) for i in range(60)], "doc_id bigint, text string")
+    held = F.col("doc_id") % 7 == 2
+    got = [sorted((r.doc_id, r.score) for r in hmm.score(d, held).collect()) for d in (docs.coalesce(1), docs.repartitionByRange(5, F.col("doc_id").desc()), docs.repartitionByRange(3, held))]
+    assert [x[0] for x in seen] == [1, 5, 2]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-6 for other in got[1:] for a, b in zip(got[0], other))
+    for _, _, (_, likelihoods) in seen:
+        assert len(likelihoods) > 3 and likelihoods[-1] > likelihoods[0] and likelihoods[-1] - likelihoods[-2] < hmm.LEAST_GAIN
+    monkeypatch.setattr(hmm, "CLASSES", 64)
+    assert hmm.n_classes(1) == 64 and hmm.n_classes(80) == 256 and hmm.n_classes(10**8) == 1 << 18
+    assert len(sorted(hmm.score(docs, held).collect())) == 60 and seen[-1][1] == 257
+
+
 # licences
 
 
