@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helicase.llm import chat, decontaminate, hmm, html, jaccard, licenses, packing, quality, sharding, simhash
+from helicase.llm import chat, decontaminate, hmm, html, jaccard, licenses, merkle, packing, quality, sharding, simhash
 from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
@@ -172,3 +172,11 @@ reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, l.y FROM reach r
 SELECT n.doc_id, n.n AS n_shingles, greatest((SELECT count(*) FROM link WHERE link.x = n.doc_id AND same), 1) AS n_equal, c.component_id
 FROM n JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY x) c ON c.x = n.doc_id
 """
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op12_merkle": op12_merkle}
+SQL["op12_merkle"] = merkle.SQL
