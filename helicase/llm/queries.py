@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from helicase.llm import chat, decontaminate, hmm, html, jaccard, licenses, merkle, packing, quality, sharding, simhash
+from helicase.llm import chat, decontaminate, hmm, html, jaccard, kmeans_tree, licenses, merkle, negatives, packing, quality, sharding, simhash
 from helicase.llm.common import crc_of_id, read
 
 #: Production parameters.
@@ -180,3 +180,21 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES |= {"op12_merkle": op12_merkle}
 SQL["op12_merkle"] = merkle.SQL
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"))
+    return negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+QUERIES |= {"op13_hard_negatives": op13_hard_negatives}
+SQL["op13_hard_negatives"] = negatives.SQL
+
+
+def op11_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return kmeans_tree.Index(rows).search(F.col("id") % 20 == 0, k=20, recall=0.97)
+
+
+QUERIES |= {"op11_kmeans_tree": op11_kmeans_tree}
