@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helicase import session
@@ -40,6 +40,21 @@ def crc_of_id(column: str | Column) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) if isinstance(column, str) else F.crc32(column.cast("string").cast("binary"))
 
 
+def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """`rows` (a written table) with idx, a row's number inside its (non-null) group in the given order, and n, the group's number of rows.
+
+    One sort by range, the counts of (range, group) and running sums of those counts: no group is sorted in one task.
+    Rows that agree in group and order are numbered in any way.
+    """
+    last = F.monotonically_increasing_id()  # equal rows may fall into several ranges
+    ranges = rows.withColumn("tie", last).repartitionByRange(group, *order, "tie").sortWithinPartitions(group, *order, "tie").drop("tie")
+    placed = staged(ranges.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)), "numbered")
+    spans = placed.groupBy(group, "range").agg(F.min("at").alias("first"), F.count("*").alias("m"))
+    every = Window.partitionBy(group)
+    spans = spans.select(group, "range", "first", F.sum("m").over(every).alias("n"), (F.sum("m").over(every.orderBy("range")) - F.col("m")).alias("before"))
+    return placed.join(spans, [group, "range"]).withColumn("idx", F.expr("before + at - first")).drop("range", "first", "before", "at")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over all 64 (public splitmix64 constants)."""
     h = h ^ (h >> np.uint64(30))

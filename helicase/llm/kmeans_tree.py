@@ -203,7 +203,7 @@ class Index:
                     yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), tiles.lists(x, pa.float64()), pa.array(tree.leaves_of(x), pa.int32())], ["id", "key", "v", "leaf"])
 
         leaves = staged(self.rows.mapInArrow(run, "id bigint, key bigint, v array<double>, leaf int"), "ann-leaves")
-        self.tiles = tiles.dealt(leaves, TILE, "ann-tiles", "leaf", "id", "key")
+        self.tiles = tiles.dealt(leaves, TILE, "leaf", "id", "key")
         held = self.tiles.groupBy("leaf").count().toArrow()
         self.sizes = np.zeros(tree.n_leaves, np.int64)
         self.sizes[held["leaf"].to_numpy()] = held["count"].to_numpy()
@@ -238,6 +238,6 @@ class Index:
         """
         n = self.calibrated(k, recall)
         asking = staged(_asking(self.rows.filter(queries), self.tree, n, k + self.copies, self.sizes), "ann-asking")
-        asking = tiles.dealt(asking, QUERIES, "ann-query-tiles", "leaves", "id", "key")
+        asking = tiles.dealt(asking, QUERIES, "leaves", "id", "key")
         found = _best(tiles.products(asking, self.tiles, _search(k), FOUND), k)
         return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")

@@ -12,12 +12,10 @@ those counts, so that no group is sorted in one task.
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helicase.llm.common import crc_of_id, staged
+from helicase.llm.common import crc_of_id, numbered, staged
 
 
 def digest_of(*parts: Column) -> Column:
@@ -31,20 +29,6 @@ def field(value: Column) -> Column:
     return F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
 
 
-def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` (a written table with `key`) with idx, a row's number inside its key in the given order, and n, the key's number of rows.
-
-    Rows that agree in key and order are numbered in any way.
-    """
-    last = F.monotonically_increasing_id()  # equal rows may fall into several ranges
-    ranges = rows.withColumn("tie", last).repartitionByRange("key", *order, "tie").sortWithinPartitions("key", *order, "tie").drop("tie")
-    placed = staged(ranges.withColumn("at", F.monotonically_increasing_id()).withColumn("range", F.shiftright("at", 33)), "merkle-order")
-    spans = placed.groupBy("key", "range").agg(F.min("at").alias("first"), F.count("*").alias("m"))
-    every = Window.partitionBy("key")
-    spans = spans.select("key", "range", "first", F.sum("m").over(every).alias("n"), (F.sum("m").over(every.orderBy("range")) - F.col("m")).alias("before"))
-    return placed.join(spans, ["key", "range"]).withColumn("idx", F.expr("before + at - first")).drop("range", "first", "before", "at")
-
-
 def _with_others(nodes: DataFrame, arity: int) -> DataFrame:
     """Nodes of one level with `slot` in their run and `others`, the digests of the run's other nodes from left to right."""
     slot = F.col("idx") % arity
@@ -127,10 +111,10 @@ def manifest(rows: DataFrame, arity: int = 2) -> DataFrame:
     """
     key = F.coalesce(F.concat(F.lit("="), F.col("group")), F.lit(""))  # null in front, never equal to a name
     leaves = staged(rows.select(*rows.columns, key.alias("key"), F.col("leaf").alias("digest")), "merkle-leaves")
-    leaves = staged(numbered(leaves, "id", "leaf"), "merkle-numbered")
+    leaves = staged(numbered(leaves, "key", "id", "leaf"), "merkle-numbered")
     levels, roots = tree(leaves, arity, "merkle")
     groups = roots.select(F.lit("").alias("key"), F.col("key").alias("name"), "digest")
-    top_levels, top = tree(staged(numbered(staged(groups, "merkle-groups"), "name"), "merkle-subroots"), arity, "merkle-top")
+    top_levels, top = tree(staged(numbered(staged(groups, "merkle-groups"), "key", "name"), "merkle-subroots"), arity, "merkle-top")
     if not levels:
         return rows.select("*", F.lit("").alias("subroot"), F.lit("").alias("root"), F.array().cast(STEP).alias("proof")).limit(0)
     root = top.select("key", F.col("digest").alias("root"))

@@ -215,9 +215,9 @@ def mine(rows: DataFrame, anchors: Column, scale: float = 256.0, n_positives: in
     positive or negative. Shorter vectors end in zeros; zero vectors score 0. A score that doesn't fit a long is an error.
     """
     every = prepared(rows, scale)
-    candidates = tiles.dealt(every, TILE, "negatives-tiles", "label", "cell", "near", "id", "key")
+    candidates = tiles.dealt(every, TILE, "label", "cell", "near", "id", "key")
     asking = staged(every.filter(anchors), "negatives-anchors")
-    asking = tiles.dealt(asking, ANCHORS, "negatives-anchor-tiles", "label", "cell", "near", "id", "key")
+    asking = tiles.dealt(asking, ANCHORS, "label", "cell", "near", "id", "key")
     found = tiles.products(asking, candidates, _positives(n_positives), "anchor bigint, key bigint, id bigint, score bigint")
     best = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
     found = found.withColumn("rank", best("anchor", "key")).filter(F.col("rank") <= n_positives)

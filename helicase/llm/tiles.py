@@ -1,12 +1,11 @@
 """Vectors of two tables against each other, in bounded tiles.
 
-A table is dealt by range into tiles of about equal size; the tiles of two tables meet in pairs, as grouped tasks. A task
+A table is dealt into tiles of equal size by row numbers in an order; the tiles of two tables meet in pairs, as grouped tasks. A task
 holds one tile of each side, whatever the size of the tables and of any group in them.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helicase.llm.common import ship, staged
+from helicase.llm.common import numbered, ship
 
 ship(__name__)
 
@@ -50,10 +49,10 @@ def lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(rows).ravel(), kind))
 
 
-def dealt(rows: DataFrame, size: int, name: str, *order: str) -> DataFrame:
-    """`rows` (a written table) written with `tile`: about `size` rows each, neighbours in `order` together."""
-    n = rows.count()
-    return staged(rows.repartitionByRange(max(1, math.ceil(n / size)), *order).withColumn("tile", F.spark_partition_id()), name)
+def dealt(rows: DataFrame, size: int, *order: str) -> DataFrame:
+    """`rows` (a written table) with `tile`: `size` rows each, neighbours in `order` together."""
+    placed = numbered(rows.withColumn("all", F.lit(0)), "all", *order)
+    return placed.withColumn("tile", F.expr(f"cast(idx div {size} as int)")).drop("all", "idx", "n")
 
 
 def products(left: DataFrame, right: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
