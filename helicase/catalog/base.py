@@ -209,12 +209,12 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
             FROM fuzzy0 f LEFT JOIN ({indels('SELECT o, g FROM fuzzy0 WHERE score >= 5')}) i ON f.score >= 5 AND f.o = i.o AND f.g = i.g""",
     ),
     "cands": (("exact", "fuzzy"), "SELECT * FROM exact UNION ALL SELECT * FROM fuzzy"),
+    "first_mates": (("cands",), "SELECT pair_id, ref, pos, reverse, score, NOT reverse AS facing FROM cands WHERE mate = 1"),
+    "second_mates": (("cands",), "SELECT pair_id, ref, pos, reverse, score FROM cands WHERE mate = 2"),
     "pairs": (
-        ("cands",),
-        """SELECT a.pair_id, a.ref, a.pos AS pos1, a.reverse AS reverse1, a.score AS score1,
-             b.pos AS pos2, b.reverse AS reverse2, b.score AS score2
-           FROM cands a JOIN cands b ON a.pair_id = b.pair_id AND a.ref = b.ref AND a.mate = 1 AND b.mate = 2
-             AND a.reverse <> b.reverse AND abs(a.pos - b.pos) < 1400""",
+        ("first_mates", "second_mates"),
+        """SELECT * FROM (SELECT a.pair_id, a.ref, a.pos AS pos1, a.reverse AS reverse1, a.score AS score1, b.pos AS pos2, b.reverse AS reverse2, b.score AS score2
+           FROM first_mates a JOIN second_mates b ON a.pair_id = b.pair_id AND a.ref = b.ref AND a.facing = b.reverse) WHERE abs(pos1 - pos2) < 1400""",
     ),
     "best": (
         ("pairs",),
@@ -305,7 +305,7 @@ STEPS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 # Steps that several later ones read.
-SHARED = {"chunks", "ext", "reads", "kept", "kmers", "exact", "leftover", "hits", "cands", "best", "placed", "rows0", "base_rows", "cov", "diffs", "loci", "dense", "fuzzy0", "laid0", "laid"}
+SHARED = {"chunks", "ext", "reads", "kept", "kmers", "exact", "leftover", "hits", "cands", "first_mates", "second_mates", "pairs", "best", "placed", "rows0", "base_rows", "cov", "diffs", "loci", "dense", "fuzzy0", "laid0", "laid"}
 
 
 def sql(select: str, *needs: str, extra: dict[str, str] | None = None) -> str:

@@ -192,7 +192,7 @@ def _(spark, d):
 @query(
     "s27_gc_coverage_tsv",
     sql(
-        """SELECT printf('%.4f', gc / 40) || chr(9) || printf('%.4f', round(avg(depth), 6)) || chr(9) || printf('%.4f', round(stddev_pop(depth), 6)) AS value FROM (
+        """SELECT printf('%.4f', gc / 40) || chr(9) || printf('%.4f', round(avg(depth)::DECIMAL(38, 12), 4)::DOUBLE) || chr(9) || printf('%.4f', round(stddev_pop(depth)::DECIMAL(38, 12), 4)::DOUBLE) AS value FROM (
              SELECT length(w) - length(translate(w, 'CG', '')) AS gc, coalesce(depth, 0) AS depth
              FROM (SELECT ref, chunk * 32 + i + 21 AS pos, substr(ext, (i + 1)::INT, 40) AS w FROM ext, (SELECT unnest(generate_series(0, 31)) AS i)
                    WHERE length(ext) >= i + 40) LEFT JOIN cov USING (ref, pos)) GROUP BY gc""",
@@ -201,7 +201,9 @@ def _(spark, d):
 )
 def _(spark, d):
     g = coverage.depth_by_gc(S.mapping(spark, d).coverage, S.reference_ext(spark, d), T.CHUNK)
-    return g.select(F.format_string("%.4f\t%.4f\t%.4f", "gc", F.round("depth", 6), F.round("sd", 6)).alias("value"))
+    # one rounding, of decimals, so that halves go the same way everywhere
+    four = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 4).cast("double")
+    return g.select(F.format_string("%.4f\t%.4f\t%.4f", "gc", four("depth"), four("sd")).alias("value"))
 
 
 LOW = {
@@ -314,9 +316,8 @@ def _(spark, d):
 @query(
     "i03_region_depth",
     sql(
-        """SELECT r.ref, r.start, p AS pos, coalesce(depth, 0) AS depth FROM (SELECT ref, start, unnest(generate_series(start, stop - 1)) AS p FROM reg) r
-           LEFT JOIN cov ON cov.ref = r.ref AND cov.pos = r.p""",
-        "loci", "diffs", "chroms", "cov", extra=REGIONS,
+        """SELECT ref, start, pos, coalesce(depth, 0) AS depth FROM spots LEFT JOIN cov USING (ref, pos)""",
+        "loci", "diffs", "chroms", "cov", extra=REGIONS | {"spots": "SELECT ref, start, unnest(generate_series(start, stop - 1)) AS pos FROM reg"},
     ),
 )
 def _(spark, d):

@@ -58,16 +58,14 @@ def _(spark, d):
 @query(
     "j13_earlier_places",
     sql(
-        """SELECT q.ref, q.pos AS at_pos, k.pos AS hit, k.kmer <> q.kmer AS reverse FROM k16 q JOIN k16 k ON least(q.kmer, q.turned) = least(k.kmer, k.turned) AND k.ref = q.ref
-           AND k.pos < q.pos""",
-        "ext", extra=K16,
+        """SELECT q.ref, q.pos AS at_pos, k.ref AS hit_ref, k.pos AS hit, k.kmer <> q.kmer AS reverse FROM placed16 q JOIN placed16 k ON least(q.kmer, q.turned) = least(k.kmer, k.turned)
+           AND k.place < q.place""",
+        "ext", "chroms", extra=K16 | {"starts16": "SELECT ref, sum(len) OVER (ORDER BY ref) - len AS start FROM chroms", "placed16": "SELECT *, start + pos AS place FROM k16 JOIN starts16 USING (ref)"},
     ),
 )
 def _(spark, d):
-    w = _windows(spark, d)
-    q = w.select(F.col("ref").alias("qref"), F.col("pos").alias("at_pos"), "kmer")
-    hits = kmers.lookup_positions(q, w, F.col("at_pos")).where(F.col("ref") == F.col("qref"))
-    return hits.select("ref", "at_pos", F.col("pos").alias("hit"), "reverse")
+    hits = kmers.earlier_places(_windows(spark, d), _order(spark, d))
+    return hits.select("ref", F.col("pos").alias("at_pos"), "hit_ref", F.col("hit_pos").alias("hit"), "reverse")
 
 
 SHORT = """SELECT kmer, count(*) AS n FROM (SELECT substr(ext, (i + 1)::INT, 8) AS kmer FROM ext, (SELECT unnest(generate_series(0, 31)) AS i)
@@ -131,6 +129,17 @@ def _(spark, d):
     return w.where("pos <= 3200").select("kmer").intersect(w.where("pos > 3200").select("kmer"))
 
 
+@query(
+    "u01_chromosome_overlap",
+    sql(
+        """SELECT a.ref AS x, b.ref AS y, count(*) AS shared FROM own a JOIN own b USING (kmer) GROUP BY a.ref, b.ref""",
+        "ext", extra=K16 | {"own": "SELECT DISTINCT ref, kmer FROM k16"},
+    ),
+)
+def _(spark, d):
+    return similarity.shared_by_name(_windows(spark, d), "ref")
+
+
 RRNA = {
     "entries": f"""SELECT id, name, CASE WHEN id % 7 = 2 THEN left(x, 29) || 'N' || substr(x, 31) WHEN id % 3 = 1 THEN left(x, 49) || translate(substr(x, 50, 1), 'ACGT', 'GTAC') || substr(x, 51) ELSE x END AS nucs
         FROM (SELECT c_custkey AS id, c_name AS name, left(sample, 120 + c_custkey % 40) AS x FROM (SELECT c_custkey, c_name, (c_custkey * 53) % (SELECT count(*) FROM part) AS gk FROM customer) c
@@ -166,7 +175,7 @@ def _(spark, d):
 
 @query("j12_rrna_first_match", sql("SELECT id, n, pair_id, mate, read FROM fits", "sample", "reads", extra=RRNA))
 def _(spark, d):
-    m = prefixes.rrna_matches(T.rrna_entries(spark, d), S.reads(spark, d), longest=T.MAX_SPAN)
+    m = prefixes.rrna_matches(T.rrna_entries(spark, d), S.reads(spark, d))
     return m.select("id", F.col("n").cast("long").alias("n"), "pair_id", "mate", "read")
 
 
@@ -179,7 +188,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    s = prefixes.rrna_scores(T.rrna_entries(spark, d), S.reads(spark, d), gaps=60, longest=T.MAX_SPAN, stage=materialise)
+    s = prefixes.rrna_scores(T.rrna_entries(spark, d), S.reads(spark, d), gaps=60, stage=materialise)
     return s.withColumn("share", F.round("share", 6))
 
 
@@ -296,11 +305,69 @@ def _(spark, d):
     return pools.classify(T.pool_loci(spark, d), deletes_only=True).select("pool", "locus", "num_diff", "dels")
 
 
-@query("i01_stitch")
+STITCH = {
+    "seeds": "SELECT ref || ':' || chunk AS seed_id, left(ext, 100) AS seed FROM ext",
+    "idx": RRNA["idx"],
+}
+
+
+def _stitched(texts: str) -> str:
+    """One step for the column `text` of a query: (text, col, w, base) of the winning votes, N without any."""
+    m = "least(length(nucs), length(rest))"
+    return f"""SELECT c.text, c.col, coalesce(max(w), 0) AS w, coalesce(arg_max(base, (w, base)), 'N') AS base FROM (SELECT text, unnest(range(0, length(text) * 3 // 2)) AS col FROM {texts}) c
+        LEFT JOIN (SELECT text, col, base, sum(w) AS w FROM (
+          SELECT text, i - 1 AS col, substr(text, i::INT, 1) AS base, 40 AS w FROM (SELECT text, unnest(range(1, length(text) + 1)) AS i FROM {texts})
+          UNION ALL SELECT text, n + p - 1, substr(nucs, p::INT, 1), ascii(substr(qual, p::INT, 1)) - 33 FROM (
+            SELECT text, n, nucs, qual, unnest(range(1, length(nucs) + 1)) AS p FROM (SELECT text, n, substr(text, n::INT + 1) AS rest FROM (SELECT text, unnest(range(0, length(text) - 35)) AS n FROM {texts})) s
+            JOIN idx ON idx.prefix = left(rest, 35) WHERE NOT contains(left(rest, 35), 'N') AND hamming(left(nucs, {m}), left(rest, {m})) < 5))
+          WHERE base IN ('A', 'C', 'G', 'T') GROUP BY ALL HAVING sum(w) > 0) v ON v.text = c.text AND v.col = c.col GROUP BY c.text, c.col"""
+
+
+def _seeds(spark, d):
+    return S.reference_ext(spark, d).select(F.concat_ws(":", "ref", "chunk").alias("seed_id"), F.left("ext", F.lit(100)).alias("seed"))
+
+
+WALK = STITCH | {
+    "votes": _stitched("walk"),
+    "steps": """SELECT text, substr(t, 1, length(text) // 2) AS emit, substr(t, length(text) // 2 + 1, length(text)) AS next, depths[:length(text) // 2] AS depths
+        FROM (SELECT text, string_agg(base, '' ORDER BY col) AS t, list(w ORDER BY col) AS depths FROM votes GROUP BY text)""",
+    "path": """SELECT seed_id, 0 AS step, seed AS text, length(seed) // 2 AS half FROM seeds
+        UNION ALL SELECT seed_id, step + 1, next, half FROM path JOIN steps USING (text) WHERE (step + 1) * half <= 10000""",
+    "walked": "SELECT * FROM path",
+}
+_NEXT = f"""SELECT substr(string_agg(base, '' ORDER BY col), length(text) // 2 + 1, length(text)) FROM ({_stitched('walk')}) GROUP BY text"""
+
+
+def _walk(select: str) -> str:
+    """A statement over the recursive steps of all seeds."""
+    whole = sql(select, "ext", "reads", extra=STITCH | {"walk": "", **{k: v for k, v in WALK.items() if k not in STITCH}})
+    walk = f"walk(text) AS (SELECT seed FROM seeds UNION {_NEXT})"
+    whole = whole.replace("walk AS MATERIALIZED ()", walk).replace("path AS MATERIALIZED (", "path AS (")
+    return whole.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("i01_stitch", _walk("SELECT seed_id, string_agg(emit, '' ORDER BY step) AS consensus, false AS found_end FROM walked JOIN steps USING (text) GROUP BY seed_id"))
+def _(spark, d):
+    return prefixes.stitch(_seeds(spark, d), S.reads(spark, d))
+
+
+@query("s33_stitch_depth", _walk("""SELECT seed_id, step * half AS "at", array_to_string(depths, ',') AS depths FROM walked JOIN steps USING (text)"""))
+def _(spark, d):
+    s = prefixes.stitch_depths(_seeds(spark, d), S.reads(spark, d))
+    return s.select("seed_id", F.col("at").cast("long").alias("at"), F.array_join(F.col("depths").cast("array<string>"), ",").alias("depths"))
+
+
+@query(
+    "s33_rrna_depth",
+    sql(
+        """SELECT e.id, e.idx, coalesce(s, 0)::BIGINT AS depth FROM (SELECT id, unnest(generate_series(0, length(nucs) - 1)) AS idx FROM entries JOIN scored USING (id) WHERE holes <= 60) e
+           LEFT JOIN per_idx p ON p.id = e.id AND p.idx = e.idx""",
+        "sample", "reads", extra=RRNA,
+    ),
+)
 def _(spark, d):
-    ext = S.reference_ext(spark, d)
-    seeds = ext.select(F.concat_ws(":", "ref", "chunk").alias("seed_id"), F.left("ext", F.lit(100)).alias("seed"))
-    return prefixes.stitch(seeds, S.reads(spark, d), maxlen=200)
+    s = prefixes.rrna_depths(T.rrna_entries(spark, d), S.reads(spark, d), gaps=60, stage=materialise)
+    return s.select("id", F.col("idx").cast("long").alias("idx"), "depth")
 
 
 def _order(spark, d):

@@ -170,6 +170,29 @@ def _(spark, d):
     return t.select("ref", "chunk", "strand", frames)
 
 
+RANGES = "SELECT ref, chunk * 32 + 5 AS start, chunk * 32 + 112 + chunk % 7 AS stop FROM chunks JOIN chroms USING (ref) WHERE chunk * 32 + 112 + chunk % 7 <= len"
+RANGE_FRAMES = {
+    "ranges": RANGES,
+    "texts": "SELECT e.ref, e.start, e.stop, string_agg(base, '' ORDER BY g.pos) AS fwd FROM ranges e JOIN genome g ON g.ref = e.ref AND g.pos >= e.start AND g.pos < e.stop GROUP BY ALL",
+    "turned": "SELECT ref, start, stop, strand, frame, substr(CASE strand WHEN '+' THEN fwd ELSE " + rc("fwd") + " END, frame + 1) AS t FROM texts, (SELECT unnest(['+', '-']) AS strand), (SELECT unnest([0, 1, 2]) AS frame)",
+    "codons": "SELECT ref, start, stop, strand, frame, i, substr(t, (i * 3 + 1)::INT, 3) AS codon FROM (SELECT *, unnest(generate_series(0, (length(t) + 2) // 3 - 1)) AS i FROM turned)",
+}
+
+
+@query(
+    "v24_range_frames",
+    sql(f"SELECT ref, start, stop, strand, frame::INT AS frame, string_agg({amino('codon')}, '' ORDER BY i) AS protein FROM codons GROUP BY ALL", "chunks", "chroms", "genome", extra=RANGE_FRAMES),
+)
+def _(spark, d):
+    chunks = S.reference(spark, d)
+    stop = F.col("chunk") * T.CHUNK + 112 + F.col("chunk") % 7
+    ranges = chunks.join(genome.chromosomes(chunks), "ref").select("ref", (F.col("chunk") * T.CHUNK + 5).alias("start"), stop.alias("stop"), "len").where("stop <= len").drop("len")
+    rows = coverage.six_frames(ranges, S.reference_ext(spark, d), T.CHUNK)
+    order = F.when(F.col("strand") == "+", F.col("chunk")).otherwise(-F.col("chunk"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "protein"))), lambda x: x["protein"])
+    return rows.groupBy("ref", "start", "stop", "strand", "frame").agg(F.array_join(parts, "").alias("protein"))
+
+
 @query("p13_snippets", sql("SELECT r.ref, r.chunk * 32 + 9 AS pos, substr(ext, 9, 50) AS snippet FROM ext r", "ext"))
 def _(spark, d):
     want = S.reference(spark, d).select("ref", (F.col("chunk") * 32 + 9).alias("pos"))

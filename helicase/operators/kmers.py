@@ -135,6 +135,17 @@ def lookup_positions(queries: DataFrame, kmers: DataFrame, before: Column | None
     return j.withColumn("reverse", F.col("_hit") != F.col("kmer")).drop("_key", "_hit")
 
 
+def earlier_places(kmers: DataFrame, order: DataFrame) -> DataFrame:
+    """All places of each k-mer, on either strand, in front of it in the whole genome: ``(ref, pos, hit_ref, hit_pos, reverse)``.
+
+    ``kmers(kmer, ref, pos)``; ``order(ref, offset)`` places chromosomes in the concatenated genome, so hits may lie on other chromosomes.
+    """
+    placed = kmers.join(order.select("ref", "offset"), "ref").select("kmer", "ref", "pos", (F.col("pos") + F.col("offset")).alias("place"))
+    queries = placed.select(F.col("kmer").alias("kmer"), F.col("ref").alias("_ref"), F.col("pos").alias("_pos"), "place")
+    hits = lookup_positions(queries, placed.select("kmer", F.struct("ref", "pos").alias("ref"), F.col("place").alias("pos")), F.col("place"))
+    return hits.select(F.col("_ref").alias("ref"), F.col("_pos").alias("pos"), F.col("ref.ref").alias("hit_ref"), F.col("ref.pos").alias("hit_pos"), "reverse")
+
+
 def single_change_upgrades(counts: DataFrame, k: int, count: int = 2) -> DataFrame:
     """K-mers seen ``count`` times that one substitution, or turning round, makes more frequent.
 

@@ -56,6 +56,20 @@ def shared_kmers(kmers: DataFrame, piece: Column, grid: int) -> DataFrame:
     )
 
 
+def shared_by_name(kmers: DataFrame, name: str) -> DataFrame:
+    """Sizes of the intersections of named sets of k-mers: ``(x, y, shared)`` for each ordered pair that shares any, a set with itself included.
+
+    K-mers with the same names collapse into one weighted set before pairs of names are formed, so the pairs grow with
+    the different sets of names and not with the k-mers.
+    """
+    sets = (
+        kmers.groupBy("kmer").agg(F.array_sort(F.collect_set(name)).alias("names"))
+        .groupBy("names").agg(F.count("*").alias("n"))
+    )
+    x = sets.select("n", "names", F.explode("names").alias("x"))
+    return x.select("n", "x", F.explode("names").alias("y")).groupBy("x", "y").agg(F.sum("n").alias("shared"))
+
+
 @F.pandas_udf(T.IntegerType())
 def bz2_size(text: pd.Series) -> pd.Series:
     """Size of the bzip2 form of each text."""

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -10,7 +11,7 @@ import __spark_entry__ as entry
 # lengths and positions, top lists.
 SMALL_WINDOWS = {
     "w09_chromosome_offsets", "a03_qhisto", "a09_duplicates", "a09_document_copies", "a25_start_codons", "w04_begin_trim",
-    "w06_index_lengths", "a27_kmer_top", "j15_best_reference",
+    "w06_index_lengths", "a27_kmer_top", "j15_best_reference", "j13_earlier_places",
 }
 EAGER = {"i01_stitch", "i02_self_encoding", "a36_encoding_totals"}
 
@@ -37,9 +38,13 @@ def test_filters_reach_the_prefix_index(spark, sf_dir, tmp_path):
     from helicase.operators import prefixes
     from helicase.plans import stages
 
-    prefixes.write_prefix_index(stages.reads(spark, sf_dir), str(tmp_path / "idx"), files=4)
-    hit = spark.read.parquet(str(tmp_path / "idx")).where("prefix = 'ACGT'")
-    assert "PushedFilters: [IsNotNull(prefix), EqualTo(prefix,ACGT)]" in plan(hit)
+    prefixes.write_prefix_index(stages.reads(spark, sf_dir), str(tmp_path / "idx"), buckets=8)
+    index = prefixes.read_prefix_index(spark, str(tmp_path / "idx"), 8)
+    hit = plan(index.where("prefix = 'ACGT'"))
+    assert "PushedFilters: [IsNotNull(prefix), EqualTo(prefix,ACGT)]" in hit and "SelectedBucketsCount: 1 out of 8" in hit
+    texts = stages.reads(spark, sf_dir).select(F.xxhash64("nucs").alias("text_id"), F.col("nucs").alias("text"))
+    round_of = plan(prefixes.stitch_step(texts, index))
+    assert "Bucketed: true" in round_of and len(re.findall(r"Exchange hashpartitioning\(prefix", round_of)) <= 1
 
 
 @pytest.mark.parametrize("name", ["j02_exact_map", "j04_seed_triplets", "j13_earlier_places", "j15_best_reference", "a37_neighbour_upgrade"])
