@@ -9,6 +9,7 @@ from helicase.catalog.mapping import _loci
 from helicase.functions import dna
 from helicase.operators import annotations as A, loci
 from helicase.plans import stages as S
+from helicase.session import shared_path
 from helicase.sources import annotations as parse, genome, tables as T
 
 QUERIES, SQL = {}, {}
@@ -250,15 +251,8 @@ def _(spark, d):
     return u.select("codon", a.alias("amino"), dna.amino_name(a).alias("name"), "n")
 
 
-@query(
-    "s12_genbank",
-    sql(
-        """SELECT 'REC' || s_nationkey AS chromosome, CASE WHEN s_suppkey % 3 = 0 THEN 'CDS' WHEN s_suppkey % 3 = 1 THEN 'gene' ELSE 'tRNA' END AS type,
-             s_suppkey * 100 + 1 + CASE WHEN s_suppkey % 4 = 2 THEN 60 ELSE 0 END AS start, s_suppkey * 100 + 50 + CASE WHEN s_suppkey % 4 = 2 THEN 40 ELSE 0 END AS stop,
-             s_suppkey % 2 = 0 AS strand, s_name || ', 11, ' AS tag, s_suppkey % 3 <> 2 AS gene FROM supplier""",
-    ),
-)
-def _(spark, d):
+def _genbank_feature():
+    """GenBank text of a supplier as a feature."""
     k = F.col("s_suppkey")
     n = lambda x: (k * 100 + x).cast("string")
     loc = F.when(
@@ -267,10 +261,22 @@ def _(spark, d):
     loc = F.when(k % 2 == 1, F.concat(F.lit("complement("), loc, F.lit(")"))).otherwise(loc)
     kind = F.when(k % 3 == 0, "CDS").when(k % 3 == 1, "gene").otherwise("tRNA")
     pad = F.lit("\n                     /")
-    feature = F.concat(
+    return F.concat(
         F.lit("     "), F.rpad(kind, 16, " "), loc, pad, F.lit('product="'), "s_name", F.lit('"'), pad, F.lit("transl_table=11"),
         pad, F.lit('translation="MKV\n                     LLA"'),
     )
+
+
+@query(
+    "s12_genbank",
+    sql(
+        """SELECT 'REC' || s_nationkey AS chromosome, CASE WHEN s_suppkey % 3 = 0 THEN 'CDS' WHEN s_suppkey % 3 = 1 THEN 'gene' ELSE 'tRNA' END AS type,
+             s_suppkey * 100 + 1 + CASE WHEN s_suppkey % 4 = 2 THEN 60 ELSE 0 END AS start, s_suppkey * 100 + 50 + CASE WHEN s_suppkey % 4 = 2 THEN 40 ELSE 0 END AS stop,
+             s_suppkey % 2 = 0 AS strand, s_name || ', 11, ' AS tag, s_suppkey % 3 <> 2 AS gene FROM supplier""",
+    ),
+)
+def _(spark, d):
+    feature = _genbank_feature()
     recs = (
         T.table(spark, d, "supplier")
         .groupBy("s_nationkey")
@@ -283,3 +289,18 @@ def _(spark, d):
         )
     )
     return parse.parse_genbank(recs)
+
+
+@query(
+    "s13_genbank_file",
+    SQL["s12_genbank"].replace("'REC' || s_nationkey", "'REC' || s_suppkey"),
+)
+def _(spark, d):
+    # a record of many lines for each supplier, its sequence included, in files that are split like any text
+    key = F.col("s_suppkey").cast("string")
+    sequence = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("        "), i.cast("string"), F.lit(" acgtacgtac gtacgtacgt"))), "\n")
+    head = F.lit("  900 bp\nFEATURES             Location/Qualifiers\n     source          1..900\n                     /organism=\"x\"\n")
+    record = F.concat(F.lit("LOCUS       REC"), key, head, _genbank_feature(), F.lit("\nORIGIN\n"), sequence, F.lit("\n//"))
+    path = shared_path(spark, "genbank")
+    T.table(spark, d, "supplier").select(record.alias("value")).write.text(path)
+    return parse.read_genbank(spark, path)

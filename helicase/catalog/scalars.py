@@ -9,6 +9,7 @@ from helicase.catalog.mapping import _loci
 from helicase.functions import dna, edit
 from helicase.operators import coverage, pairing
 from helicase.plans import stages as S
+from helicase.session import shared_path
 from helicase.sources import fasta, fastq, genome, sam, tables as T
 
 QUERIES, SQL = {}, {}
@@ -272,6 +273,13 @@ def _(spark, d):
     return fastq.parse_fastq(lines).select("header", "nucs", "qual")
 
 
+@query("s01_fastq_file", sql("SELECT name AS header, nucs, qual FROM reads WHERE length(nucs) > 0", "reads"))
+def _(spark, d):
+    path = shared_path(spark, "fastq")
+    fastq.write_fastq(rd(spark, d).where(F.length("nucs") > 0), path)
+    return fastq.read_fastq(spark, path).select("header", "nucs", "qual")
+
+
 def _sam_rows(spark, d):
     m = S.mapping(spark, d)
     dist = pairing.pair_distances(m.best_pairs, m.kept)

@@ -61,6 +61,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{ensure_checkpoint_dir(spark)}/helicase-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, name: str = "stage", spread: int = 0) -> DataFrame:
     """Write an intermediate result as a table in the shared folder and read it back.
 
@@ -71,8 +76,7 @@ def materialise(df: DataFrame, name: str = "stage", spread: int = 0) -> DataFram
     their bytes suggest.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root}/helicase-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     if spread:
         df = df.repartition(spread * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from helicase.sources.lines import blocks, carried
+
 # Attributes that make up the tag, in the order they appear in it.
 TAG_KEYS = ["Name", "Note", "Product", "product"]
 GENE_TYPES = ["gene", "CDS", "cds"]
@@ -92,9 +94,13 @@ def parse_genbank(records: DataFrame) -> DataFrame:
     """
     table = F.regexp_extract("value", r"(?s)(?:^|\n)FEATURES[^\n]*\n(.*?)(?=\n\S|$)", 1)
     name = F.regexp_extract("value", r"(?:^|\n)LOCUS\s+(\S+)", 1)
-    feature = records.select(
-        name.alias("chromosome"), F.explode(F.split(F.concat(F.lit("\n"), table), r"\n {1,20}(?=\S)")).alias("_f")
-    ).where(F.trim("_f") != "")
+    return _features(
+        records.select(name.alias("chromosome"), F.explode(F.split(F.concat(F.lit("\n"), table), r"\n {1,20}(?=\S)")).alias("_f")).where(F.trim("_f") != "")
+    )
+
+
+def _features(feature: DataFrame) -> DataFrame:
+    """Feature rows of ``(chromosome, _f)``, one feature's text a row."""
     quals = F.split("_f", r"\n\s+/(?=[A-Za-z_])")
     head = F.element_at(quals, 1)
     ranges = F.regexp_extract_all(F.regexp_replace(head, r"\s+", ""), F.lit(r"<?(\d+\.\.>?\d+)"), F.lit(1))
@@ -122,10 +128,27 @@ def parse_genbank(records: DataFrame) -> DataFrame:
     ).where((F.col("type") != "source") & F.col("start").isNotNull())
 
 
+def genbank_lines(lines: DataFrame) -> DataFrame:
+    """Feature rows of GenBank flat files given as lines ``(file, block, mid, value)``.
+
+    Which record and which feature a line belongs to is carried along the lines of each split and over its borders, so a record
+    of any length, with its sequence, is never one row; a feature is.
+    """
+    section = F.rlike("value", F.lit(r"^\S"))
+    marked = carried(
+        lines,
+        chromosome=F.when(section & F.startswith("value", F.lit("LOCUS")), F.regexp_extract("value", r"^LOCUS\s+(\S+)", 1)),
+        table=F.when(section, F.startswith("value", F.lit("FEATURES"))),
+        feature=F.when(section, F.lit(-1).cast("long")).when(F.rlike("value", F.lit(r"^ {1,20}\S")), F.col("mid")),
+    )
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "mid", "value"))), lambda x: x["value"]), "\n")
+    own = marked.where(F.col("table") & (F.col("feature") >= 0)).groupBy("file", "feature").agg(F.first("chromosome").alias("chromosome"), text.alias("_f"))
+    return _features(own.select(F.coalesce("chromosome", F.lit("")).alias("chromosome"), F.ltrim("_f").alias("_f")))
+
+
 def read_genbank(spark: SparkSession, path: str) -> DataFrame:
-    """One task reads one record; records end with a line of two slashes."""
-    recs = spark.read.option("lineSep", "\n//\n").text(path)
-    return parse_genbank(recs.select(F.regexp_replace("value", "\r", "").alias("value")))
+    """Files or folders of GenBank records, split like any text."""
+    return genbank_lines(blocks(spark, path))
 
 
 def gff_lines(rows: DataFrame) -> DataFrame:

@@ -26,15 +26,29 @@ def numbered(spark: SparkSession, path: str) -> DataFrame:
     row per split) gives each its first number.
     """
     b = blocks(spark, path)
-    first = (
-        b.groupBy("file", "block")
-        .agg(F.min("mid").alias("_lo"), F.count("*").alias("_n"))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
-        )
-        .drop("_n")
-    )
+    first = first_lines(b.groupBy("file", "block").agg(F.min("mid").alias("_lo"), F.count("*").alias("_n")))
     return b.join(first, ["file", "block"]).select(
         "file", (F.col("mid") - F.col("_lo") + F.col("_before")).alias("line_no"), "value"
     )
+
+
+def first_lines(counts: DataFrame) -> DataFrame:
+    """``counts(file, block, _n)``, a row for each split, with the lines ``_before`` it instead of ``_n``."""
+    w = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+
+
+def carried(lines: DataFrame, **marks) -> DataFrame:
+    """Adds, for every named column expression, its last value that isn't null at or before each line of a file.
+
+    ``lines(file, block, mid, value)``. Values run on inside a split by a window over the split, and from split to split by a
+    window over one row per split.
+    """
+    names = list(marks)
+    marked = lines.select("*", *[e.alias(f"_m_{n}") for n, e in marks.items()])
+    at = W.partitionBy("file", "block").orderBy("mid")
+    own = marked.select(*lines.columns, *[F.last(f"_m_{n}", ignorenulls=True).over(at).alias(f"_o_{n}") for n in names])
+    ends = marked.groupBy("file", "block").agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), F.col("mid"))).alias(f"_e_{n}") for n in names])
+    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("file", "block", *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in names])
+    return own.join(ends, ["file", "block"]).select(*lines.columns, *[F.coalesce(f"_o_{n}", f"_c_{n}").alias(n) for n in names])
