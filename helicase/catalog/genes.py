@@ -251,6 +251,32 @@ def _(spark, d):
     return u.select("codon", a.alias("amino"), dna.amino_name(a).alias("name"), "n")
 
 
+ANNOTATED = CHANGES | {
+    "inserted": """SELECT ref, pos, string_agg(inserted || ': ' || n, ', ' ORDER BY inserted) AS insert_report
+        FROM (SELECT ref, pos, inserted, count(*) AS n FROM diffs WHERE inserted IS NOT NULL GROUP BY ALL) GROUP BY ref, pos""",
+    "told": "SELECT l.ref, l.pos, string_agg(id || chr(9) || '[' || tag || ']' || chr(9), '' ORDER BY start, stop, id) AS annotation FROM loci l JOIN ann ON ann.ref = l.ref AND l.pos BETWEEN start AND stop GROUP BY l.ref, l.pos",
+    "acids": f"SELECT DISTINCT ref, pos, start, stop, strand, residue, base, codon, new_codon, {amino('codon')} AS x, {amino('new_codon')} AS y FROM changes WHERE codon <> new_codon",
+    "spoken": f"""SELECT ref, pos, string_agg(report, ' ' ORDER BY start, stop, strand) AS amino FROM (
+        SELECT ref, pos, start, stop, strand, 'R' || residue || '/' || (stop - start + 1) // 3 || ' ' || string_agg(line, '; ' ORDER BY line) AS report
+        FROM (SELECT *, base || ': ' || codon || ' -> ' || new_codon || ', ' || {amino_name('x')} || ' -> ' || {amino_name('y')} AS line FROM acids) GROUP BY ref, pos, start, stop, strand, residue) GROUP BY ref, pos""",
+}
+
+
+@query(
+    "s26_annotated_loci_tsv",
+    sql(
+        """SELECT concat_ws(chr(9), ref, pos, num_diff, depth, a, aq, c, cq, g, gq, t, tq, dels, tot_q, printf('%.4f', round(frac_head, 4)), coalesce(insert_report, ''),
+             '#' || coalesce(annotation, ''), coalesce(amino, '')) AS value
+           FROM loci LEFT JOIN inserted USING (ref, pos) LEFT JOIN told USING (ref, pos) LEFT JOIN spoken USING (ref, pos)""",
+        "loci", "diffs", "ext", extra=ANNOTATED,
+    ),
+)
+def _(spark, d):
+    m = S.mapping(spark, d)
+    rows = loci.loci(m.differences, m.coverage, S.reference_ext(spark, d), T.CHUNK)
+    return loci.loci_tsv(loci.annotated(rows, ann(spark, d), S.reference_ext(spark, d), T.CHUNK))
+
+
 def _genbank_feature():
     """GenBank text of a supplier as a feature."""
     k = F.col("s_suppkey")

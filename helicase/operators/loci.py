@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helicase.functions import dna
+from helicase.operators.annotations import stab
 from helicase.operators.clusters import cluster_ids
 from helicase.sources import genome
 
@@ -194,6 +195,33 @@ def amino_text(changes: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def annotated(locus_rows: DataFrame, annotations: DataFrame, chunks_ext: DataFrame, size: int) -> DataFrame:
+    """Locus rows with what their genes say: adds ``annotation``, ``gene`` and ``amino_report``, empty outside of features.
+
+    ``annotations(ref, start, stop, strand, id, tag, gene)``. The features of a locus follow each other by start, stop
+    and id, each as its id and its tag in brackets; amino reports by the genes' start, stop and strand.
+    """
+    hits = stab(locus_rows, annotations.select("ref", "start", "stop", "strand", "id", "tag", F.col("gene").alias("_gene")))
+    clean = F.replace(F.col("tag"), F.lit("\n"), F.lit("\\n"))
+    one = F.struct("start", "stop", "id", F.concat("id", F.lit("\t["), clean, F.lit("]\t")).alias("t"))
+    named = hits.groupBy("ref", "pos").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["t"]), "").alias("annotation"), F.bool_or("_gene").alias("gene")
+    )
+    changes = amino_changes(hits.where("_gene"), chunks_ext, size).dropDuplicates(["ref", "pos", "start", "stop", "strand", "base"])
+    lines = amino_text(changes, "ref", "pos", "start", "stop", "strand")
+    line = F.struct("start", "stop", "strand", "residue", F.col("amino_report").alias("t"))
+    amino = lines.groupBy("ref", "pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["t"]), " ").alias("amino_report"))
+    out = locus_rows.join(named, ["ref", "pos"], "left").join(amino, ["ref", "pos"], "left")
+    return out.withColumns({"annotation": F.coalesce("annotation", F.lit("")), "gene": F.coalesce("gene", F.lit(False)), "amino_report": F.coalesce("amino_report", F.lit(""))})
+
+
+def loci_tsv(annotated_rows: DataFrame) -> DataFrame:
+    """One line of text per annotated locus: counts, qualities, head share, insertions, then ``#``, annotation and amino report."""
+    counts = "ref pos num_diff depth a aq c cq g gq t tq dels tot_q".split()
+    cells = [F.col(c).cast("string") for c in counts] + [F.format_string("%.4f", F.round("frac_head", 4)), F.coalesce("insert_report", F.lit("")), F.concat(F.lit("#"), "annotation"), F.col("amino_report")]
+    return annotated_rows.select(F.concat_ws("\t", *cells).alias("value"))
+
+
 def locus_report(locus_rows: DataFrame, diffs: DataFrame) -> DataFrame:
     """Text block per locus: samples in order of base and quality, then percentages.
 

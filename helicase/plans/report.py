@@ -12,7 +12,7 @@ from helicase.sources import bam, fastq, genome, sam
 def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0, trim_end: int = 0, undermatched=False, variable=True, inserts=True) -> dict[str, DataFrame]:
     """The report as DataFrames by name; each is lazy.
 
-    ``annotations`` has ``ref, start, stop, type, tag, strand, gene``.
+    ``annotations`` has ``ref, start, stop, type, id, tag, strand, gene``.
     """
     sample = m.reads
     k = max(m.lengths)
@@ -40,6 +40,7 @@ def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0
         out["amino_changes"] = loci.amino_changes(hit, m.chunks_ext, m.size)
         named = A.stab(locus.select("ref", "pos"), annotations)
         out["locus_annotations"] = named.select("ref", "pos", "type", "tag", "start", "stop", "strand", "gene")
+        locus = loci.annotated(locus, annotations, m.chunks_ext, m.size)
     out["loci"] = locus
     out["locus_reports"] = loci.locus_report(locus, m.differences)
     if undermatched:
