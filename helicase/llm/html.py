@@ -52,6 +52,10 @@ FILLER = {
     "outer", "col", "column", "group", "slot", "unit", "panel", "post", "posts", "article", "articles", "entry", "story", "stories", "links", "buttons", "icons", "media", "form", "google", "user", "the",
 }
 COMMENTS = re.compile(r"comments?|commentlist|disqus")
+#: Classes that, standing alone or with FILLER, make even a paragraph or heading boilerplate.
+PLAIN = re.compile(r"notices?|alerts?|ads?|advert\w*|sponsor\w*|disclaimers?|announcements?|promos?")
+#: Names of what readers wrote, and their companions.
+VOICES, READERS = re.compile(r"comments?|commentlist|disqus|discussions?|responses|replies"), {"reader", "readers", "user", "users", "guest", "guests", "visitor", "visitors", "public", "community"}
 #: Words that make a name a layout's or a state's.
 MODIFIER_FIRST, MODIFIER_LAST = {"has", "no", "with", "without", "is", "not", "hide", "show", "js"}, {"enabled", "disabled", "on", "off", "open", "opened", "closed", "active", "visible", "ready", "loaded"}
 HEADING = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -67,7 +71,7 @@ class _Node:
 
 
 def _doubt(value: str, anchor: bool) -> int:
-    """What a class, role or id (`anchor`) says: 0 nothing, 1 a word of boilerplate among others, 2 boilerplate, 3 comments."""
+    """What a class, role or id (`anchor`) says: 0 nothing, 1 a word of boilerplate among others, 2 boilerplate, 3 comments, 4 a notice or advert."""
     most = 0
     for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
         words = [w for w in (re.sub(r"\d+$", "", w) for w in re.split(r"[-_:]+", token)) if w]
@@ -76,6 +80,13 @@ def _doubt(value: str, anchor: bool) -> int:
         if token in ("side-bar", "sr-only", "skip-link"):
             most = max(most, 2)
             continue
+        if not anchor and (own := [w for w in words if w not in FILLER]):
+            if all(PLAIN.fullmatch(w) for w in own):
+                most = max(most, 4)
+                continue
+            if any(VOICES.fullmatch(w) for w in own) and all(VOICES.fullmatch(w) or w in READERS for w in own):
+                most = max(most, 3)
+                continue
         hard = [bool(HARD.fullmatch(w) or not anchor and TOPIC.fullmatch(w)) for w in words]
         if any(hard) and all(h or w in FILLER or TOPIC.fullmatch(w) or SOFT.fullmatch(w) for w, h in zip(words, hard)):
             most = max(most, 3 if any(COMMENTS.fullmatch(w) for w in words) else 2)
@@ -95,7 +106,7 @@ def _open(tag: str, attrs: str, parent: _Node) -> _Node:
                 doubt = max(doubt, _doubt(value, key == "id"))
             elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 skip = True
-        if tag in ("html", "body", "article", "main", "p", "pre") or tag in HEADING:
+        if tag in ("html", "body", "article", "main") or (tag in ("p", "pre") or tag in HEADING) and doubt < 4:
             doubt = 0
         if names and GOOD.search(names):
             weight = 25.0
@@ -217,7 +228,7 @@ def _judge(root: _Node, order: list[_Node]) -> bool:
             rest = text - own
             stays = own > rest
             if stays and not _holds(x, {"h1", "article", "main"}):
-                stays = not _holds(root, {"article", "main"}) and (own > 10 * rest or not _holds(root, {"h1"})) and (x.doubt == 2 or rest < 140)
+                stays = not _holds(root, {"article", "main"}) and (own > 10 * rest or not _holds(root, {"h1"})) and (x.doubt != 3 or rest < 140)
             x.skip, x.factor = not stays, 0.25
     for x in order:
         if x.parent is not None:

@@ -127,8 +127,21 @@ def pieces_of(docs: DataFrame, tokenizer: str, end_id: int, size: int, keep_ids:
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 
 
+#: Ways to use complements: pieces that a complement has at most, and the share of a sequence that its longest piece must have.
+WAYS = [(depth, share) for depth in (3, 2, 1) for share in (0.0, 1 / 3, 1 / 2)] + [(0, 0.0)]
+
+
 def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
-    """Contents of sequences (lengths, longest first) and how many sequences have each; every piece is in one."""
+    """Contents of sequences (lengths, longest first) and how many sequences have each; every piece is in one.
+
+    Complements that are too eager use up the short pieces that best-fit needs later, so the plan is made in each of WAYS, on
+    counts alone, and the one with the fewest sequences is taken; the last way is best-fit decreasing without complements.
+    """
+    return min((_plan(counts, size, depth, int(share * size)) for depth, share in WAYS), key=lambda groups: sum(n for _, n in groups))
+
+
+def _plan(counts: dict[int, int], size: int, depth: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of up to `depth` pieces for pieces longer than `least`, longest first; then best-fit."""
     have = np.zeros(size + 1, np.int64)
     for length, n in counts.items():
         have[length] = n
@@ -149,10 +162,12 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
         gap = size - a
         if gap == 0:
             return ()
-        if enough(a, gap):
+        if depth and enough(a, gap):
             return (gap,)
-        if pair := pair_for(gap, a):
+        if depth > 1 and (pair := pair_for(gap, a)):
             return pair
+        if depth < 3:
+            return None
         there = (have > 0).astype(np.int64)
         sums = np.convolve(there, there)  # in how many ways two lengths give each sum
         for b in range(gap - 2, 0, -1):
@@ -162,7 +177,7 @@ def plan(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]
 
     for a in range(size, 0, -1):
         while have[a]:
-            rest = complement(a)
+            rest = complement(a) if a > least else None
             if rest is None:
                 left[a] = int(have[a])
                 have[a] = 0

@@ -449,7 +449,7 @@ def test_names_do_not_hide_the_article(opening, closing):
     para = "Some words of an article, with a comma and more to read than in any list of links."
     lines = ["The head", "First section", para, "Social impact", para, "Rail", para, "Discussion", para]
     inner = (
-        f"<div class='article-header'><h1>{lines[0]}</h1></div><h2>{lines[1]}</h2><p class='notice'>{para}</p><h2 id='social-impact'>{lines[3]}</h2><p>{para}</p>"
+        f"<div class='article-header'><h1>{lines[0]}</h1></div><h2>{lines[1]}</h2><p>{para}</p><p class='notice'>Mind this, please.</p><h2 id='social-impact'>{lines[3]}</h2><p>{para}</p>"
         f"<section id='rail-transport'><h2>{lines[5]}</h2><p>{para}</p></section><section id='discussion'><h2>{lines[7]}</h2><p>{para}</p></section>"
     )
     around = "<div class='site-footer'><p>All rights, of this site, are with its owners, see below.</p></div>"
@@ -459,6 +459,23 @@ def test_names_do_not_hide_the_article(opening, closing):
     assert html.main_text(f"<html><body>{menu}{inside}{around}</body></html>") == " ".join(lines)
 
 
+@pytest.mark.parametrize(
+    "junk",
+    [
+        "<div class='notice'><p>{x}</p></div>", "<div class='alert'>{x}</div>", "<aside class='disclaimer'><p>{x}</p></aside>", "<p class='notice'>{x}</p>", "<p class='ad'>{x}</p>",
+        "<p class='advertisement'>{x}</p>", "<h2 class='ad'>{x}</h2>", "<section class='reader-comments'><h3>Comments</h3><p>{x}</p></section>", "<div class='discussion'><p>{x}</p></div>",
+        "<div class='responses'><p>{x}</p><p>{x}</p></div>", "<div class='announcement'><p>{x}</p></div>", "<ul class='user-replies'><li>{x}</li></ul>",
+    ],
+)
+def test_notices_adverts_and_comments_go(junk):
+    para = "Some words of an article, with a comma and more to read than in any list of links."
+    junk = junk.replace("{x}", "Buy this, now, or say that you did not, dear reader.")
+    for body in (f"<article><h1>Head</h1><p>{para}</p>{junk}<p>{para}</p></article>", f"<div class='post'><h1>Head</h1><p>{para}</p><p>{para}</p>{junk}</div>"):
+        assert html.main_text(f"<html><body>{body}</body></html>") == f"Head {para} {para}"
+    whole = f"<div class='notice'><h1>Head</h1><p>{para}</p><p>{para}</p></div>"  # what holds the larger part of the page stays
+    assert html.main_text(f"<html><body>{whole}</body></html>") == f"Head {para} {para}"
+
+
 def test_article_is_whole_beside_its_best_container():
     long = "Some words of an article, with a comma and more to read, than in any list of links there is. " * 4
     long, teaser = " ".join(long.split()), "A teaser, of another article, that is shorter than the post but long enough to have a fifth of its length, as teasers are."
