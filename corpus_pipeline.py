@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helicase.llm import decontaminate, jaccard, packing, quality
-from helicase.llm.common import read, staged
+from helicase.llm.common import numbered, read, staged
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,17 +18,22 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id.
 
-    Of several rows with one doc_id, one stays if its group keeps that id. Rows with a null doc_id can't be chosen
-    among and stay.
+    Rows with a null doc_id can't be chosen among and stay. Different texts of one doc_id are documents of their own, in the
+    order of their hashes; of rows that agree in doc_id and text one stays, if its group keeps it.
     """
-    groups = staged(jaccard.join(docs, k=5, percent=80), "groups")
-    spare = staged(groups.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "spare")
-    kept = docs.join(spare, "doc_id", "left_anti").select(docs.columns)
-    repeated = staged(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    if repeated.isEmpty():
-        return kept
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        groups = staged(jaccard.join(docs, k=5, percent=80), "groups")
+        spare = staged(groups.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "spare")
+        return docs.join(spare, "doc_id", "left_anti").select(docs.columns)
+    # some ids repeat: the documents are numbered in the order of id and text, and the numbers stand for the ids
+    keyed = staged(docs.select("*", F.xxhash64("text").alias("text_hash")), "keyed")
+    ids = staged(keyed.filter("doc_id is not null").select(F.lit(0).alias("all"), "doc_id", "text_hash").distinct(), "ids")
+    ids = staged(numbered(ids, "all", "doc_id", "text_hash").select("doc_id", "text_hash", "idx"), "numbers")
+    single = keyed.filter("doc_id is not null").dropDuplicates(["doc_id", "text_hash"]).join(ids, ["doc_id", "text_hash"])
+    single = staged(single.unionByName(keyed.filter("doc_id is null").withColumn("idx", F.lit(None).cast("bigint"))), "single")
+    groups = jaccard.join(single.select(F.col("idx").alias("doc_id"), "text"), k=5, percent=80)
+    spare = staged(groups.filter("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("idx")), "spare")
+    return single.join(spare, "idx", "left_anti").select(docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
