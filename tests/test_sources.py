@@ -167,3 +167,41 @@ def test_rrna_db_keeps_last_record(spark, folder):
     text = ">12\nacgt\nAC\n>S7 Some name\tRoot;x\nggg\n"
     got = rows(fasta.read_rrna_db(spark, put(folder, "db", text)), "id", "name", "nucs")
     assert got == [(7, "Some name", "GGG"), (12, "", "ACGTAC")]
+
+
+def test_splits_assemble_their_own_records():
+    """Wherever a file is cut, the splits give every record once, and only lines at the cuts come out loose."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    lines = []
+    for i in range(120):
+        n = r.randint(1, 9)
+        lines += [f"@r{i}", "".join(r.choice("ACGT") for _ in range(n)), "+", "".join(r.choice("@+I#") for _ in range(n))]
+    for _ in range(40):
+        cuts = sorted({0, len(lines), *(r.randrange(len(lines)) for _ in range(r.choice([1, 3])))})
+        got, loose, before = [], [], 0
+        for i, j in zip(cuts, cuts[1:]):
+            split = fastq._Split("f", i)
+            batches = []
+            for k in range(i, j, 37):
+                batches += split.feed(pa.array(lines[k : min(k + 37, j)], pa.string()))
+            batches += split.feed(pa.array([], pa.string()), last=True)
+            rows_of = [x for b in batches for x in b.to_pylist()]
+            assert [x["lines"] for x in rows_of if x["lines"] is not None] == [j - i]
+            for x in rows_of:
+                if x["header"] is not None:
+                    assert (before + x["line"]) % 4 == 0
+                    got.append((before + x["line"], [x["header"], x["nucs"], "+", x["qual"]]))
+                elif x["value"] is not None:
+                    loose.append((before + x["line"], x["value"]))
+            before += j - i
+        whole = dict(got)
+        assert len(whole) == len(got)
+        text = dict(loose) | {at + i: v for at, own in whole.items() for i, v in enumerate(own)}
+        assert [text[i] for i in range(len(lines))] == lines
+        clear = [b - a for a, b in zip(cuts, cuts[1:]) if b - a >= 60]
+        if len(clear) == len(cuts) - 1:
+            assert len(loose) <= 6 * len(cuts)
