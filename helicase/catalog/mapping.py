@@ -154,7 +154,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    s = coverage.depth_summary(S.mapping(spark, d).coverage, S.reference(spark, d))
+    s = coverage.depth_summary(S.mapping(spark, d).depth_runs, S.reference(spark, d))
     return s.select(
         "ref", F.round("mean_depth", 6).alias("mean_depth"), F.round("sd_depth", 6).alias("sd_depth"),
         "undercovered", F.round("undercovered_pct", 6).alias("undercovered_pct"),
@@ -170,7 +170,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    h = coverage.depth_histogram(S.mapping(spark, d).coverage, S.reference(spark, d))
+    h = coverage.depth_histogram(S.mapping(spark, d).depth_runs, S.reference(spark, d))
     return h.select("ref", "depth", F.round("share", 9).alias("share"), F.round("running", 9).alias("running"))
 
 
@@ -185,7 +185,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    g = coverage.depth_by_gc(S.mapping(spark, d).coverage, S.reference_ext(spark, d), T.CHUNK)
+    g = coverage.depth_by_gc(S.mapping(spark, d).depth_runs, S.reference_ext(spark, d), T.CHUNK)
     return g.select(F.round("gc", 6).alias("gc"), F.round("depth", 6).alias("depth"), F.round("sd", 6).alias("sd"))
 
 
@@ -200,7 +200,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    g = coverage.depth_by_gc(S.mapping(spark, d).coverage, S.reference_ext(spark, d), T.CHUNK)
+    g = coverage.depth_by_gc(S.mapping(spark, d).depth_runs, S.reference_ext(spark, d), T.CHUNK)
     # one rounding, of decimals, so that halves go the same way everywhere
     four = lambda c: F.round(F.col(c).cast("decimal(38,12)"), 4).cast("double")
     return g.select(F.format_string("%.4f\t%.4f\t%.4f", "gc", four("depth"), four("sd")).alias("value"))
@@ -322,7 +322,7 @@ def _(spark, d):
 )
 def _(spark, d):
     r = _regions(spark, d)
-    return loci.region_depths(r.withColumn("cluster", F.col("start")), S.mapping(spark, d).coverage).select(
+    return loci.region_depths(r.withColumn("cluster", F.col("start")), S.mapping(spark, d).depth_runs).select(
         "ref", F.col("cluster").alias("start"), "pos", "depth"
     )
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from helicase.functions import dna
+from helicase.operators import pileup
 from helicase.operators.annotations import stab
 from helicase.operators.clusters import cluster_ids
+from helicase.operators.kmers import expanded
 from helicase.sources import genome
 
 LETTERS = "ACGT"
@@ -113,11 +115,24 @@ def regions(locus_rows: DataFrame, chunks: DataFrame, limit: int = 100, flank: i
     )
 
 
-def region_depths(region_rows: DataFrame, cov: DataFrame) -> DataFrame:
-    """Depth of every position of each region: ``(ref, cluster, pos, depth)``."""
-    spread = region_rows.select("ref", "cluster", F.explode(F.sequence("start", F.col("stop") - 1)).alias("pos"))
-    return spread.join(cov, ["ref", "pos"], "left").select(
-        "ref", "cluster", "pos", F.coalesce("depth", F.lit(0).cast("long")).alias("depth")
+def region_depths(region_rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """Depth of every position of each region: ``(ref, cluster, pos, depth)``.
+
+    Regions meet the stretches of equal depth (``pileup.depth_runs``) in their bins; a bin without any has no depth.
+    """
+    size = pileup.DEPTH_BIN
+    bins = F.sequence(genome.chunk_of(F.col("start"), size), genome.chunk_of(F.col("stop") - 1, size))
+    parts = region_rows.where("stop > start").select("ref", "cluster", "start", "stop", F.explode(bins).alias("bin"))
+    parts = parts.select(
+        "ref", "cluster", "bin", F.greatest("start", F.col("bin") * size + 1).alias("_a"), F.least("stop", (F.col("bin") + 1) * size + 1).alias("_b")
+    )
+    r = runs.select("ref", "bin", F.col("pos").alias("_p"), F.col("stop").alias("_q"), "depth")
+    a, b = F.greatest("_a", F.coalesce("_p", "_a")), F.least("_b", F.coalesce("_q", "_b"))
+    return (
+        expanded(parts)
+        .join(r, ["ref", "bin"], "left")
+        .where(b > a)
+        .select("ref", "cluster", F.explode(F.sequence(a, b - 1)).alias("pos"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"))
     )
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from helicase.functions import dna
+from helicase.operators.kmers import expanded
 from helicase.operators.seeds import idiv, mismatch_points, oriented
 from helicase.sources import genome
 
@@ -12,6 +13,8 @@ from helicase.sources import genome
 # bases of low quality.
 MAX_POINTS = 5
 DELETED_QUALITY = 40
+# Depth is summed up inside bins of so many positions.
+DEPTH_BIN = 1024
 
 
 def realign(placed: DataFrame, reads: DataFrame, chunks_ext: DataFrame, size: int, qlimit: int = 30, indels: bool = True) -> DataFrame:
@@ -85,6 +88,46 @@ def coverage(base_rows: DataFrame, qlimit: int = 30) -> DataFrame:
     )
 
 
+def depth_runs(aligned: DataFrame, qlimit: int = 30) -> DataFrame:
+    """Stretches of equal depth ``(ref, bin, pos, stop, depth)``, ``stop`` excluded; they tile every bin that a read touches, zero included.
+
+    A read sends +1 where a stretch of matching bases of sufficient quality begins and -1 where it ends; one that reaches
+    into the next bin begins there anew, so bins need nothing from their neighbours. Changes add up per position before they are
+    shuffled, and a bin has at most ``DEPTH_BIN`` rows, however deep it is.
+    """
+    n = F.least(F.length("nucs"), F.length("ref_bases"))
+    cut = lambda c: F.split(F.left(F.col(c), n), "")
+    same = F.zip_with(cut("nucs"), cut("ref_bases"), lambda a, b: a == b)
+    good = F.zip_with(same, cut("qual"), lambda eq, q: eq & (F.ascii(q) - 33 > qlimit))
+    start = lambda b: b * DEPTH_BIN + 1
+    opens = lambda p: (p - 1) % DEPTH_BIN == 0
+    counts = lambda i: F.coalesce(F.get("_good", i), F.lit(False)).cast("int")
+
+    def change(i):
+        p = F.col("pos") + i
+        return F.struct(p.alias("at"), (counts(i) - F.when(opens(p), 0).otherwise(counts(i - 1))).alias("change"))
+
+    a = aligned.where(n > 0).select("ref", F.col("pos").cast("long").alias("pos"), n.alias("_n"), good.alias("_good"))
+    changes = F.filter(F.transform(F.sequence(F.lit(0), F.col("_n")), change), lambda e: (e["change"] != 0) | opens(e["at"]))
+    origin = F.struct(start(genome.chunk_of(F.col("pos"), DEPTH_BIN)).alias("at"), F.lit(0).alias("change"))
+    summed = (
+        a.select("ref", F.inline(F.concat(F.array(origin), changes)))
+        .groupBy("ref", genome.chunk_of(F.col("at"), DEPTH_BIN).alias("bin"), F.col("at").alias("pos"))
+        .agg(F.sum("change").alias("_change"))
+        .where((F.col("_change") != 0) | opens(F.col("pos")))
+    )
+    w = W.partitionBy("ref", "bin").orderBy("pos")
+    return summed.select(
+        "ref", "bin", "pos", F.coalesce(F.lead("pos").over(w), start(F.col("bin") + 1)).alias("stop"), F.sum("_change").over(w).alias("depth")
+    )
+
+
+def run_positions(runs: DataFrame) -> DataFrame:
+    """Depth per position of :func:`depth_runs`. Sparse: no zero rows."""
+    r = runs.where("depth > 0").select("ref", F.explode(F.sequence("pos", F.col("stop") - 1)).alias("pos"), "depth")
+    return expanded(r)
+
+
 def dense_coverage(cov: DataFrame, chunks: DataFrame, size: int) -> DataFrame:
     """Depth of every reference position, zero included: ``(ref, pos, base, depth)``."""
     return (

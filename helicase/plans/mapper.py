@@ -95,9 +95,14 @@ class Mapping:
     def base_rows(self) -> DataFrame:
         return pileup.bases(self.aligned)
 
+    @cached_property
+    def depth_runs(self) -> DataFrame:
+        """Stretches of equal depth, from which all depth tables are read."""
+        return self.stage(pileup.depth_runs(self.aligned, self.qlimit), "depth")
+
     @cached_property
     def coverage(self) -> DataFrame:
-        return self.stage(pileup.coverage(self.base_rows, self.qlimit), "coverage")
+        return pileup.run_positions(self.depth_runs)
 
     @cached_property
     def dense(self) -> DataFrame:

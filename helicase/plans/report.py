@@ -27,9 +27,9 @@ def tables(m: Mapping, annotations: DataFrame | None = None, trim_begin: int = 0
         "gc_reads": qc.gc_histogram(m.kept),
         "gc_reference": qc.reference_gc_histogram(m.chunks_ext, m.size, k),
         "qualities": qc.quality_by_position(m.reads),
-        "depth_by_gc": coverage.depth_by_gc(m.coverage, m.chunks_ext, m.size),
-        "depth_histogram": coverage.depth_histogram(m.coverage, m.chunks),
-        "depth_summary": coverage.depth_summary(m.coverage, m.chunks),
+        "depth_by_gc": coverage.depth_by_gc(m.depth_runs, m.chunks_ext, m.size),
+        "depth_histogram": coverage.depth_histogram(m.depth_runs, m.chunks),
+        "depth_summary": coverage.depth_summary(m.depth_runs, m.chunks),
         "reference_q": pileup.quality_by_position(m.quality_counts),
         "qq": pileup.quality_calibration(m.quality_counts),
     }
@@ -64,7 +64,7 @@ def region_tables(name: str, regions: DataFrame, m: Mapping) -> dict[str, DataFr
     r = regions.select("ref", "cluster", "start", "stop")
     text = coverage.region_pieces(r.withColumnRenamed("start", "pos"), m.chunks, m.size)
     return {
-        f"{name}_depths": loci.region_depths(r, m.coverage),
+        f"{name}_depths": loci.region_depths(r, m.depth_runs),
         f"{name}_weights": loci.region_weights(r, m.differences),
         f"{name}_text": text.select("ref", "cluster", "at", "bases"),
     }
