@@ -466,6 +466,32 @@ def _(spark, d):
     return g.select("ref", "chunk", edit.edit_text("s", "t").alias("e")).select("ref", "chunk", "e.*")
 
 
-@query("j21_region_picture")
+PICTURE = REGIONS | {
+    "seen": """SELECT r.start, r.stop, l.* FROM reg r JOIN laid l ON l.ref = r.ref AND l.pos >= r.start AND l.pos < r.stop""",
+    "gap": """SELECT ref, start, pos + indel AS p, max(length(inserted)) AS width FROM seen WHERE indel > 0 AND pos + indel < stop GROUP BY ALL""",
+    "cell": """SELECT ref, start, pos, pair_id, mate, reverse, k, indel, inserted, inserted_q, substr(o, (k + 1)::INT, 1) AS x, substr(g, (k + 1)::INT, 1) AS y, ascii(substr(oq, (k + 1)::INT, 1)) - 33 AS q
+        FROM (SELECT *, unnest(range(0, least(length(o), length(g), stop - pos))) AS k FROM seen)""",
+    "drawn": """SELECT c.*, coalesce(width, 0) AS width, CASE WHEN x = y THEN '.' WHEN q > 30 THEN x WHEN q < 22 THEN ' ' ELSE lower(x) END AS ch,
+        CASE WHEN indel <= 0 OR k <> indel THEN '' WHEN inserted_q > 30 THEN inserted WHEN inserted_q < 22 THEN repeat(' ', length(inserted)) ELSE lower(inserted) END AS own
+        FROM cell c LEFT JOIN gap ON gap.ref = c.ref AND gap.start = c.start AND gap.p = c.pos + c.k""",
+    "lines": """SELECT ref, start, pos, pair_id, mate, reverse, string_agg(CASE WHEN k > 0 THEN own || repeat('_', (width - length(own))::INT) ELSE '' END || ch, '' ORDER BY k) AS line FROM drawn GROUP BY ALL""",
+    "lead": """SELECT l.ref, l.start, l.pos, coalesce(sum(width), 0)::BIGINT AS more FROM (SELECT DISTINCT ref, start, pos FROM lines) l LEFT JOIN gap ON gap.ref = l.ref AND gap.start = l.start AND gap.p <= l.pos GROUP BY ALL""",
+    "ground": """SELECT r.ref, r.start, string_agg(repeat('_', coalesce(width, 0)::INT) || base, '' ORDER BY g.pos) AS row FROM reg r JOIN genome g ON g.ref = r.ref AND g.pos >= r.start AND g.pos < r.stop
+        LEFT JOIN gap ON gap.ref = r.ref AND gap.start = r.start AND gap.p = g.pos GROUP BY r.ref, r.start""",
+}
+
+
+@query(
+    "j21_region_picture",
+    sql(
+        """SELECT ref, start, pos, pair_id, mate, repeat(' ', (pos - start + more)::INT) || line || repeat(' ', 17) || CASE WHEN reverse THEN 'R' ELSE ' ' END AS row FROM lines JOIN lead USING (ref, start, pos)
+           UNION ALL SELECT ref, start, start, NULL, 0, row FROM ground""",
+        "loci", "diffs", "chroms", "laid", "genome", extra=PICTURE,
+    ),
+)
 def _(spark, d):
-    return picture.read_rows(_regions(spark, d).select("ref", "start", "stop"), S.mapping(spark, d).aligned)
+    m = S.mapping(spark, d)
+    r = _regions(spark, d).select("ref", "start", "stop")
+    ground = picture.reference_rows(r, m.aligned, m.chunks, T.CHUNK)
+    ground = ground.select("ref", "start", F.col("start").alias("pos"), F.lit(None).cast("long").alias("pair_id"), F.lit(0).alias("mate"), "row")
+    return picture.read_rows(r, m.aligned).unionByName(ground)

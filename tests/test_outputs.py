@@ -99,15 +99,38 @@ def test_report_tables_are_written(spark, small, tmp_path):  # noqa: F811
     assert spark.read.text(str(tmp_path / "r/unfound_fastq")).count() == 4 * summary["unfound"]
 
 
+PICTURE_READS = "ref string, pos long, reverse boolean, pair_id long, mate int, nucs string, ref_bases string, qual string, indel int, inserted string, inserted_q int"
+
+
 def test_picture(spark):
     region = spark.createDataFrame([("r", 10, 20)], "ref string, start long, stop long")
     rows = [("r", 12, False, 1, 1, "ACGTT", "ACGTA", "IIIII"), ("r", 8, False, 2, 1, "AAAA", "AAAA", "IIII"), ("r", 18, True, 3, 2, "GGGG", "GCAG", "I:#I"), ("r", 15, False, 4, 1, "TA", "CC", ":#")]
-    a = spark.createDataFrame(rows, "ref string, pos long, reverse boolean, pair_id long, mate int, nucs string, ref_bases string, qual string")
+    a = spark.createDataFrame([(*r, 0, None, None) for r in rows], PICTURE_READS)
     got = {r.pair_id: r.row for r in picture.read_rows(region, a, 8).collect()}
     end = " " * 17
     assert got == {1: "  ....T" + end + " ", 3: " " * 8 + ".g" + end + "R", 4: " " * 5 + "t " + end + " "}
 
 
+def test_picture_opens_columns_for_insertions(spark):
+    text = "ACGTACGTAC" * 2
+    region = spark.createDataFrame([("r", 1, 13), ("r", 13, 13)], "ref string, start long, stop long")
+    read = lambda pos, pair, n, *indel: ("r", pos, False, pair, 1, text[pos - 1 : pos - 1 + n], text[pos - 1 : pos - 1 + n], "I" * n, *indel)
+    rows = [
+        read(1, 1, 10, 4, "GG", 40), read(2, 2, 8, 3, "T", 25), read(5, 3, 6, 0, None, None), read(3, 4, 4, 0, None, None),
+        read(6, 5, 7, 2, "ccc".upper(), 3), read(2, 6, 3, 0, None, None), read(9, 7, 8, 6, "A", 40),
+    ]
+    a = spark.createDataFrame(rows, PICTURE_READS)
+    end = " " * 18
+    got = {r.pair_id: r.row for r in picture.read_rows(region, a, 4).collect()}
+    # in front of position 5 two columns are open, in front of 8 three; read 7's insertion lies behind the region
+    assert got == {
+        1: "....GG...___..." + end, 2: " ...t_...___.." + end, 3: " " * 6 + "...___..." + end, 4: "  ..__.." + end,
+        5: " " * 7 + "..   ....." + end, 6: " ..." + end, 7: " " * 13 + "...." + end,
+    }
+    chunks = spark.createDataFrame([("r", i, text[4 * i : 4 * i + 4]) for i in range(5)], "ref string, chunk long, s string")
+    assert [tuple(r) for r in picture.reference_rows(region, a, chunks, 4, 4).collect()] == [("r", 1, "ACGT__ACG___TACAC")]
+
+
 def test_stream_gives_the_batch_result(spark, sf_dir, tmp_path):
     from helicase.sources import tables as T
     from helicase.streaming import reads as R
