@@ -55,8 +55,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame
     rows = rows.filter(F.size("w") >= least)
     at = rows.select("doc_id", "text_hash", "w", F.explode(F.sequence(F.lit(0), F.size("w") - least)).alias("at"))
     windows = at.select("doc_id", "text_hash", "w", "at", F.inline(_hashes(F.col("w"), F.col("at"), short)))
+    # a window takes its own words along, never the text
+    windows = windows.select("doc_id", "text_hash", "at", "mask", "hash", F.slice("w", F.col("at") + 1, span).alias("part"))
     met = windows.join(F.broadcast(seeds) if seeds.count() <= MAX_BROADCAST else seeds, ["mask", "hash"])
-    met = met.select("doc_id", "text_hash", "item_id", "item_at", "at", F.slice("w", F.col("at") + 1, span).alias("part")).distinct()
+    met = met.select("doc_id", "text_hash", "item_id", "item_at", "at", "part").distinct()
 
     # the words in place around each hit
     both = met.join(items, "item_id").filter((F.col("n_words") >= span) | (F.col("item_at") == 0))

@@ -179,7 +179,19 @@ def test_seeds_are_the_same_by_shuffle(spark, monkeypatch):
     df = spark.createDataFrame([(1, "a b " + prose(7, 30)), (2, prose(8, 30))], "doc_id bigint, text string")
     bench = spark.createDataFrame([(5, prose(7, 20))], "item_id bigint, text string")
     monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
-    assert [(r.doc_id, r.item_id, r.covered, r.first_word, r.last_word) for r in decontaminate.hits(df, bench).collect()] == [(1, 5, 20, 2, 21)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = decontaminate.hits(df, bench)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [(r.doc_id, r.item_id, r.covered, r.first_word, r.last_word) for r in found.collect()] == [(1, 5, 20, 2, 21)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # windows cross the network with their own words and without the text
+    sides = plan.split("Exchange hashpartitioning(mask")[1:]
+    lists = [re.search(r"Project \[([^\n]*)\]\n", side + "\n").group(1) for side in sides if "Project" in side]
+    assert len(sides) == 2 and any("slice(" in x for x in lists)
+    assert not any(column.startswith("w#") for x in lists for column in x.split(", "))
 
 
 # tool calls
