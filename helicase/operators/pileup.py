@@ -102,16 +102,15 @@ def depth_runs(aligned: DataFrame, qlimit: int = 30) -> DataFrame:
     start = lambda b: b * DEPTH_BIN + 1
     opens = lambda p: (p - 1) % DEPTH_BIN == 0
     counts = lambda i: F.coalesce(F.get("_good", i), F.lit(False)).cast("int")
-
-    def change(i):
-        p = F.col("pos") + i
-        return F.struct(p.alias("at"), (counts(i) - F.when(opens(p), 0).otherwise(counts(i - 1))).alias("change"))
-
     a = aligned.where(n > 0).select("ref", F.col("pos").cast("long").alias("pos"), n.alias("_n"), good.alias("_good"))
-    changes = F.filter(F.transform(F.sequence(F.lit(0), F.col("_n")), change), lambda e: (e["change"] != 0) | opens(e["at"]))
-    origin = F.struct(start(genome.chunk_of(F.col("pos"), DEPTH_BIN)).alias("at"), F.lit(0).alias("change"))
+    # step -1 opens the bin in which the read starts
+    steps = a.select("*", F.explode(F.sequence(F.lit(-1), F.col("_n"))).alias("_i"))
+    i, p = F.col("_i"), F.col("pos") + F.col("_i")
+    at = F.when(i < 0, start(genome.chunk_of(F.col("pos"), DEPTH_BIN))).otherwise(p)
+    change = F.when(i < 0, 0).otherwise(counts(i) - F.when(opens(p), 0).otherwise(counts(i - 1)))
     summed = (
-        a.select("ref", F.inline(F.concat(F.array(origin), changes)))
+        steps.select("ref", at.alias("at"), change.alias("change"))
+        .where((F.col("change") != 0) | opens(F.col("at")))
         .groupBy("ref", genome.chunk_of(F.col("at"), DEPTH_BIN).alias("bin"), F.col("at").alias("pos"))
         .agg(F.sum("change").alias("_change"))
         .where((F.col("_change") != 0) | opens(F.col("pos")))
