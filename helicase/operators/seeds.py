@@ -14,32 +14,36 @@ STRIDE = 3
 INDEL_TRIAL = 5
 # Position bins that keep the neighbour search of one seed triple bounded.
 BIN = 128
+# Most counts of seeds that are sent to every executor.
+MAX_COUNTS = 4**11
 
 
 def idiv(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b))
 
 
-def seed_hits(seqs: DataFrame, chunks_ext: DataFrame, size: int, k: int = SEED) -> DataFrame:
-    """All reference hits of all seeds: ``(nucs, gap, shift, reverse, letter, ref, pos)``.
+def attempts(seqs: DataFrame, k: int = SEED) -> DataFrame:
+    """Every attempt at every distinct sequence: ``(nucs, gap, shift, reverse, seeds)`` with its three seeds in order.
 
-    ``seqs`` holds distinct sequences. Seeds of one attempt start at ``shift``,
-    ``gap + shift`` and ``2*gap + shift``; each attempt is made in both
-    orientations.
+    Seeds of one attempt start at ``shift``, ``gap + shift`` and ``2*gap +
+    shift``; each attempt is made in both orientations.
     """
-    gap = idiv(F.length("nucs") - 3 * k, 3).cast("int")
+    sides = F.array(
+        F.struct(F.lit(False).alias("reverse"), F.col("nucs").alias("_o")), F.struct(F.lit(True).alias("reverse"), dna.revcomp("nucs").alias("_o"))
+    )
     tries = (
         seqs.select("nucs")
         .where((F.length("nucs") >= 3 * k + 3) & ~F.contains(F.col("nucs"), F.lit("N")))
-        .withColumn("gap", gap)
+        .select("nucs", idiv(F.length("nucs") - 3 * k, 3).cast("int").alias("gap"), F.inline(sides))
         .withColumn("shift", F.explode(F.sequence(F.lit(0), F.col("gap") - 1, F.lit(STRIDE))))
-        .withColumn("reverse", F.explode(F.array(F.lit(False), F.lit(True))))
-        .withColumn("_o", F.when(F.col("reverse"), dna.revcomp("nucs")).otherwise(F.col("nucs")))
-    )
-    part = lambda n: F.substring(F.col("_o"), F.col("gap") * n + F.col("shift") + 1, F.lit(k))
-    seeds = tries.select(
-        "nucs", "gap", "shift", "reverse", F.posexplode(F.array(part(0), part(1), part(2))).alias("letter", "kmer")
     )
+    seeds = F.array(*[F.substring(F.col("_o"), F.col("gap") * n + F.col("shift") + 1, F.lit(k)) for n in range(3)])
+    return tries.select("nucs", "gap", "shift", "reverse", seeds.alias("seeds"))
+
+
+def seed_hits(seqs: DataFrame, chunks_ext: DataFrame, size: int, k: int = SEED) -> DataFrame:
+    """All reference hits of all seeds: ``(nucs, gap, shift, reverse, letter, ref, pos)``; ``seqs`` holds distinct sequences."""
+    seeds = attempts(seqs, k).select("nucs", "gap", "shift", "reverse", F.posexplode("seeds").alias("letter", "kmer"))
     index = windows(chunks_ext, size, [k]).select("kmer", "ref", "pos")
     return seeds.join(expanded(index), "kmer").drop("kmer")
 
@@ -75,6 +79,85 @@ def triple_starts(hits: DataFrame) -> DataFrame:
     )
 
 
+def rarest_seeds(seqs: DataFrame, chunks_ext: DataFrame, size: int, k: int = SEED) -> DataFrame:
+    """Attempts whose seeds all occur, with the least frequent: ``(nucs, gap, shift, reverse, _s0, _s1, _s2, letter, kmer)``.
+
+    Most attempts at a read that belongs nowhere lack a seed and end here, on
+    counts, before any place is looked at.
+    """
+    counts = windows(chunks_ext, size, [k]).groupBy("kmer").agg(F.count("*").alias("n"))
+    # There are at most 4^k counts, however long the genome; more than MAX_COUNTS meet the seeds in shuffles.
+    counts = F.broadcast(counts) if 4**k <= MAX_COUNTS else expanded(counts)
+    tries = attempts(seqs, k).select("nucs", "gap", "shift", "reverse", *[F.col("seeds")[n].alias(f"_s{n}") for n in range(3)])
+    for n in range(3):
+        tries = tries.join(counts.select(F.col("kmer").alias(f"_s{n}"), F.col("n").alias(f"_n{n}")), f"_s{n}")
+    least = F.least(*[F.col(f"_n{n}") * 4 + n for n in range(3)])
+    letter = (least % 4).cast("int")
+    kmer = F.when(letter == 0, F.col("_s0")).when(letter == 1, F.col("_s1")).otherwise(F.col("_s2"))
+    return tries.select("nucs", "gap", "shift", "reverse", "_s0", "_s1", "_s2", letter.alias("letter"), kmer.alias("kmer"))
+
+
+def surroundings(chunks_ext: DataFrame, size: int, k: int, margin: int) -> DataFrame:
+    """Every k-mer with ``margin`` bases on either side: ``(kmer, ref, pos, around, off)``; it stands at the 0-based ``off`` of ``around``."""
+    wide = genome.with_overhang(chunks_ext.select("ref", "chunk", "s"), size, 2 * margin + k)
+    # A row serves the k-mers that begin `margin` bases behind its own bases; the first of a chromosome those in front as well.
+    low = F.when(F.col("chunk") == 0, F.lit(-margin)).otherwise(F.lit(0))
+    i, first = F.col("_i"), F.greatest(F.col("_i"), F.lit(0))
+    return (
+        wide.select("ref", "chunk", "ext", F.explode(F.sequence(low, F.lit(size - 1))).alias("_i"))
+        .where(i + margin + k <= F.length("ext"))
+        .select(
+            F.substring(F.col("ext"), i + margin + 1, F.lit(k)).alias("kmer"),
+            "ref",
+            (F.col("chunk") * size + i + margin + 1).alias("pos"),
+            F.substring(F.col("ext"), first + 1, i - first + 2 * margin + k).alias("around"),
+            (i - first + margin).alias("off"),
+        )
+    )
+
+
+def rarest_starts(seqs: DataFrame, chunks_ext: DataFrame, size: int, k: int = SEED, longest: int | None = None) -> DataFrame:
+    """The rows of :func:`triple_starts` over :func:`seed_hits`, found from the hits of each attempt's rarest seed alone.
+
+    A seed's places carry the bases around them, as far as a triple can reach,
+    so both neighbours are read there: a place whose surroundings lack one of
+    them goes inside the join, and the other seeds' hits never cross the
+    network. ``longest`` bounds the length of the sequences; by default it is
+    looked up.
+    """
+    if longest is None:
+        longest = seqs.agg(F.max(F.length("nucs"))).first()[0] or 0
+    widest = max((longest - 3 * k) // 3, 1)
+    margin = 2 * ((6 * widest - 1) // 5)
+    rare = rarest_seeds(seqs, chunks_ext, size, k)
+    hits = rare.join(expanded(surroundings(chunks_ext, size, k, margin)), "kmer")
+    firsts = [F.call_function("instr", "around", f"_s{n}") for n in range(3)]
+    hits = hits.select("*", F.inline(F.array(F.struct(*[f.alias(f"_f{n}") for n, f in enumerate(firsts)]))))
+    hits = hits.where((F.col("_f0") > 0) & (F.col("_f1") > 0) & (F.col("_f2") > 0))
+    once = F.lit(True)
+    for n in range(3):
+        once = once & (F.call_function("locate", f"_s{n}", "around", F.col(f"_f{n}") + 1) == 0)
+    plain = F.sort_array(F.array(*[(F.col(f"_f{n}") - 1) * 3 + n for n in range(3)]))
+    # All hits of the three seeds in order of (place, letter), as one number each.
+    text = lambda i: F.substring(F.col("around"), i + 1, F.lit(k))
+    at = lambda i: F.concat(*[F.when(text(i) == F.col(f"_s{n}"), F.array(i * 3 + n)).otherwise(F.array().cast("array<int>")) for n in range(3)])
+    order = F.when(once, plain).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.length("around") - k), at)))
+
+    def neighbours(c):
+        head = (F.array_position(c, F.col("off") * 3 + F.col("letter")) - 1 - F.col("letter")).cast("int")
+        return F.struct(*[F.get(c, head + n).alias(f"_c{n}") for n in range(3)])
+
+    near = lambda a, b: (idiv(F.col(b), 3) - idiv(F.col(a), 3)) * 5 < F.col("gap") * 6
+    return (
+        hits.select("nucs", "gap", "shift", "reverse", "ref", "pos", "off", F.inline(F.transform(F.array(order), neighbours)))
+        .where((F.col("_c0") % 3 == 0) & (F.col("_c1") % 3 == 1) & (F.col("_c2") % 3 == 2))
+        .where(near("_c0", "_c1") & near("_c1", "_c2"))
+        .select("nucs", "ref", (F.col("pos") - F.col("off") + idiv(F.col("_c0"), 3) - F.col("shift")).alias("pos"), "reverse")
+        .where(F.col("pos") >= 1)
+        .distinct()
+    )
+
+
 def oriented(df: DataFrame, flag: str = "reverse") -> DataFrame:
     """Turn ``nucs`` and ``qual`` to the orientation in which the read maps."""
     f = F.col(flag)
@@ -120,7 +203,7 @@ def seeded_matches(reads: DataFrame, chunks_ext: DataFrame, size: int, k: int =
     Seeds are searched once per distinct sequence, so copies of a read cost
     nothing until scoring, where each copy has its own qualities.
     """
-    starts = triple_starts(seed_hits(reads.select("nucs").distinct(), chunks_ext, size, k))
+    starts = rarest_starts(reads.select("nucs").distinct(), chunks_ext, size, k)
     cands = reads.select("pair_id", "mate", "nucs", "qual").join(starts, "nucs")
     return score_candidates(cands, chunks_ext, size, qlimit, indels).select(
         "pair_id", "mate", "ref", "pos", "reverse", "score"

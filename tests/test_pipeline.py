@@ -182,6 +182,30 @@ def test_seed_attempts_by_read_length(spark, n, attempts):
     assert hits.select("shift").distinct().count() == attempts
 
 
+@pytest.mark.parametrize("most", [4**11, 0])
+def test_rarest_seed_finds_the_same_starts(spark, monkeypatch, most):
+    from helicase.operators import seeds
+
+    monkeypatch.setattr(seeds, "MAX_COUNTS", most)
+    rng = random.Random(17)
+    unit, far = rand_seq(rng, 13), rand_seq(rng, 90)
+    # Tandem repeats put several hits of one seed between neighbours; copies make seeds frequent.
+    a = rand_seq(rng, 50) + unit * 9 + far + rand_seq(rng, 40) + "A" * 60 + rc(far) + rand_seq(rng, 30)
+    b = far[:70] + "C" + far[70:] + rand_seq(rng, 33) + unit * 6
+    ext = genome.with_overhang(chunked(spark, {"a": a, "b": b}, 32), 32, 80)
+    cuts = [(g, i, n) for g in (a, b) for n in (36, 41, 60, 80) for i in range(0, len(g) - n, 7)]
+    texts = [g[i : i + n] for g, i, n in cuts]
+    for n, t in enumerate(texts[::3]):
+        at = rng.randrange(len(t))
+        texts.append(t[:at] + "ACGT"[n % 4] + t[at + 1 :])
+        texts.append(rc(t[: at - 1] + t[at:]))
+    seqs = spark.createDataFrame([(t,) for t in sorted(set(texts)) + ["ACGT", "", "N" * 60, None]], "nucs string")
+    got = sorted(tuple(r) for r in seeds.rarest_starts(seqs, ext, 32).collect())
+    want = sorted(tuple(r) for r in seeds.triple_starts(seeds.seed_hits(seqs, ext, 32)).collect())
+    assert got == want and len(want) > 300
+    assert seeds.rarest_starts(seqs.where("false"), ext, 32).count() == 0
+
+
 def test_palindrome_matches_both_ways(spark):
     pal = "ACGGATCCGT"
     assert rc(pal) == pal
