@@ -175,7 +175,7 @@ def _(spark, d):
 
 @query("j12_rrna_first_match", sql("SELECT id, n, pair_id, mate, read FROM fits", "sample", "reads", extra=RRNA))
 def _(spark, d):
-    m = prefixes.rrna_matches(T.rrna_entries(spark, d), S.reads(spark, d))
+    m = prefixes.rrna_matches(T.rrna_entries(spark, d), S.reads(spark, d), stage=materialise)
     return m.select("id", F.col("n").cast("long").alias("n"), "pair_id", "mate", "read")
 
 

@@ -311,6 +311,38 @@ def test_stitch_matches_brute_force(spark):
     assert got["a"] == (g[20:350], True)
 
 
+@pytest.mark.parametrize("slice_rows", [10_000, 7])
+def test_a_prefix_in_half_of_the_reads_is_sliced(spark, slice_rows):
+    rng = random.Random(23)
+    entry = rand_seq(rng, 120)
+    texts = []
+    for n in range(120):
+        # Half of the reads share their first 35 bases; most of those differ behind them.
+        at = 20 if n % 2 else rng.randrange(0, 60)
+        t = list(entry[at : at + 60])
+        for i in rng.sample(range(35, 60), rng.choice((0, 1, 1, 2, 5))):
+            t[i] = "ACGT"["ACGT".index(t[i]) ^ 1]
+        texts.append((n, 1, "".join(t) if n % 3 else rc("".join(t)), "".join(rng.choice("5AI") for _ in t)))
+    reads = spark.createDataFrame([*texts, (500, 1, "ACGT", "IIII"), (501, 1, None, None)], "pair_id long, mate int, nucs string, qual string")
+    entries = spark.createDataFrame([(1, entry), (2, entry[:40] + "N" + entry[41:]), (3, "ACGT"), (4, None)], "id long, nucs string")
+    want = {}
+    for e, text in ((1, entry), (2, entry[:40] + "N" + entry[41:])):
+        for n in range(len(text) - 35):
+            rest = text[n:]
+            if "N" in rest:
+                continue
+            fit = [
+                (p, m, r, t)
+                for p, m, nucs, _ in texts
+                for r, t in ((False, nucs), (True, rc(nucs)))
+                if t[:35] == rest[:35] and sum(x != y for x, y in zip(t, rest)) < 2
+            ]
+            if fit:
+                want[e, n] = min(fit)
+    got = {(r.id, r.n): (r.pair_id, r.mate, r.reverse, r.read) for r in prefixes.rrna_matches(entries, reads, slice_rows=slice_rows).collect()}
+    assert got == want and any(n == 20 for _, n in want)
+
+
 # --- self-reference encoding --------------------------------------------------
 
 
