@@ -206,6 +206,44 @@ def test_rarest_seed_finds_the_same_starts(spark, monkeypatch, most):
     assert seeds.rarest_starts(seqs.where("false"), ext, 32).count() == 0
 
 
+@pytest.mark.parametrize("k", [11, 4])
+def test_pairs_of_seeds_find_the_same_starts(spark, k):
+    from helicase.operators import seeds
+
+    rng = random.Random(23)
+    unit, far = rand_seq(rng, 13), rand_seq(rng, 90)
+    # Tandem repeats, runs of one base and short seeds put several hits of one seed between neighbours.
+    a = rand_seq(rng, 50) + unit * 9 + far + rand_seq(rng, 40) + "A" * 60 + rc(far) + "AC" * 20 + rand_seq(rng, 30)
+    b = far[:70] + "C" + far[70:] + rand_seq(rng, 33) + unit * 6 + "NNNN" + far[:50]
+    ext = genome.with_overhang(chunked(spark, {"a": a, "b": b}, 32), 32, 80)
+    texts = [g[i : i + n] for g in (a, b) for n in (15, 24, 36, 41, 60, 80) for i in range(0, len(g) - n, 5)]
+    texts += [rc(t[: len(t) // 2] + t[len(t) // 2 + 1 :]) for t in texts[::3]]
+    seqs = spark.createDataFrame([(t,) for t in texts + ["ACGT", "", "N" * 60, None]], "nucs string")
+    got = sorted(tuple(r) for r in seeds.pair_starts(seqs, ext, 32, k).collect())
+    want = sorted(tuple(r) for r in seeds.triple_starts(seeds.seed_hits(seqs.distinct(), ext, 32, k)).collect())
+    assert got == want and len(want) > 300
+    assert seeds.pair_starts(seqs.where("false"), ext, 32, k).count() == 0
+
+
+def test_places_of_seeds_are_dealt_out_once(spark, sf_dir):
+    # A row for each place and attempt crosses the network, no row for each pair of both and no counts of seeds.
+    from helicase.operators import seeds
+    from helicase.plans import stages
+
+    found = seeds.pair_hits(stages.reads(spark, sf_dir).select("nucs"), stages.reference_ext(spark, sf_dir), 32)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in text and "BroadcastExchange" not in text and text.count("Exchange hashpartitioning(_deal") == 2
+
+
+def test_windows_meet_reads_without_their_text(spark, sf_dir):
+    from helicase.plans import stages
+
+    found = kmers.exact_matches(stages.reads(spark, sf_dir), stages.reference_ext(spark, sf_dir), 32, [60, 64, 72])
+    text = found._jdf.queryExecution().executedPlan().toString()
+    keys = [x for x in text.splitlines() if "Exchange hashpartitioning(_h" in x]
+    assert len(keys) == 2 and "_wkey" not in text
+
+
 def test_palindrome_matches_both_ways(spark):
     pal = "ACGGATCCGT"
     assert rc(pal) == pal
