@@ -168,3 +168,33 @@ def test_clear_indels(spark):
     assert all(got[a, b] == w for a, b, w in known)
     assert got == {(a, b): clear_indel(a, b) for a, b in cases} | {(None, "A"): (0, 0)}
     assert sum(v != (0, 0) for v in got.values()) > 5
+
+
+def test_many_extensions_are_those_of_single_pairs():
+    from helicase.operators import selfref
+
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    targets, sources = [], []
+    for n in range(120):
+        a = text(rng.choice([5, 16, 17, 40, 64, 64])) if n % 5 else (text(3) * 40)[:64]
+        a = text(300) if n % 40 == 7 else a
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(b))
+            b[at : at + 1] = rng.choice([["A"], ["N"], [], [b[at], "C"]]) if len(b) > 1 else ["G"]
+        targets.append(a)
+        sources.append("".join(b) if n % 3 else a[: rng.randrange(len(a))] + text(64))
+    for longest in (64, 300):
+        length, edits = selfref.extend_many(targets, sources, longest)
+        assert list(zip(length.tolist(), edits.tolist())) == [selfref.extend(a, b, longest) for a, b in zip(targets, sources)]
+    assert len(selfref.extend_many([], [], 64)[0]) == 0
+
+
+def test_edits_are_not_counted_pair_by_pair(monkeypatch):
+    # Lengths up to 128 share one table for many pairs.
+    from helicase.operators import selfref
+
+    monkeypatch.setattr(selfref, "delta", None)
+    length, edits = selfref.extend_many(["ACGT" * 16] * 3, ["ACGT" * 16, "ACGT" * 8 + "T" + "ACGT" * 8, "ACGT" * 4 + "G" * 48], 64)
+    assert length.tolist()[:2] == [64, 64] and edits.tolist()[0] == 0 and edits.tolist()[1] > 0
