@@ -56,3 +56,11 @@ def test_window_tables_are_never_broadcast(spark, sf_dir, name):
     for side in text.split("BroadcastExchange")[1:]:
         first = re.search(r"(?<!Broadcast)Exchange|FileScan", side)
         assert "Generate explode" not in side[: first.start() if first else None]
+
+
+def test_windows_of_entries_and_reads_are_not_broadcast(spark, sf_dir):
+    text = plan(entry.queries()["j11_prefix_lookup"](spark, sf_dir))
+    for side in text.split("BroadcastExchange")[1:]:
+        first = re.search(r"(?<!Broadcast)Exchange|FileScan", side)
+        assert "Generate" not in side[: first.start() if first else None]
+    assert re.search(r"SortMergeJoin \[prefix", text)
