@@ -225,6 +225,18 @@ def test_pairs_of_seeds_find_the_same_starts(spark, k):
     assert seeds.pair_starts(seqs.where("false"), ext, 32, k).count() == 0
 
 
+def test_pairs_of_seeds_with_a_chunk_given_twice(spark):
+    from helicase.operators import seeds
+
+    g = rand_seq(random.Random(29), 640)
+    chunks = chunked(spark, {"r": g}, 32)
+    ext = genome.with_overhang(chunks.unionByName(chunks.where("chunk IN (3, 9, 19)")), 32, 80)
+    seqs = spark.createDataFrame([(g[i : i + 60],) for i in range(0, 580, 3)], "nucs string")
+    got = sorted(tuple(r) for r in seeds.pair_starts(seqs, ext, 32).collect())
+    assert seeds.repeated_chunks(ext) and not seeds.repeated_chunks(genome.with_overhang(chunks, 32, 80))
+    assert got == sorted(tuple(r) for r in seeds.rarest_starts(seqs, ext, 32).collect()) and len(got) > 100
+
+
 def test_places_of_seeds_are_dealt_out_once(spark, sf_dir):
     # A row for each place and attempt crosses the network, no row for each pair of both and no counts of seeds.
     from helicase.operators import seeds
