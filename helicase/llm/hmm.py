@@ -3,6 +3,7 @@
 Latent states emit classes of words, and a class emits its words in proportion to their counts in the corpus; a class is a
 hash of the word, and there are more of them with more different words. Every Baum-Welch round runs over all training
 texts, its counts summed over partitions, until the likelihood hardly rises; the likelihood of a text is computed exactly by the scaled forward recursion.
+Pieces of a long text are walked side by side, from the forward and backward values that the products of their steps give for their edges.
 
 Texts are staged once, as blocks of word numbers with the words (as 64-bit hashes) that occur in the block. Corpus
 counts cross the network as one row for each word of a block.
@@ -10,10 +11,11 @@ counts cross the network as one row for each word of a block.
 
 from __future__ import annotations
 
+import itertools
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,25 @@ CLASSES = 1 << 14
 #: Bytes of text in a block.
 BLOCK_BYTES = 10 << 20
 #: Tokens whose forward values are held at once, unless one text has more.
-PART_TOKENS = 150_000
+PART_TOKENS = 100_000
+#: Tokens of a text that are walked in one go; longer texts are cut into pieces that are walked side by side.
+SEGMENT = 1536
+#: Steps after which forward values are scaled anew; emissions are shares of the largest, so they stay far from underflow.
+RESCALE = 16
 #: Baum-Welch ends when PATIENCE rounds in turn gain less than LEAST_GAIN of log-likelihood (natural) a token.
 LEAST_GAIN, PATIENCE = 1e-3, 2
 SMOOTHING = 0.5
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """An array's bytes, compressed, behind their number."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True), kind)
+
+
 def n_classes(types: int) -> int:
     """Classes for so many different words: the power of two from 16 times their root, so that a model fits a task."""
     return max(CLASSES, 1 << math.ceil(math.log2(16 * math.sqrt(max(types, 1)))))
@@ -70,7 +85,7 @@ def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
                     "block": pa.array([number], pa.int64()), "doc_id": pa.array([b.column("doc_id").slice(i, j - i).to_pylist()], pa.list_(pa.int64())),
                     "held": pa.array([held_out[i:j].tobytes()], pa.binary()), "n": pa.array([n.astype("<i8").tobytes()], pa.binary()),
                     "vocabulary": pa.array([vocabulary.astype("<u8").tobytes()], pa.binary()), "trained": pa.array([trained.astype("<i8").tobytes()], pa.binary()),
-                    "words": pa.array([zlib.compress(numbers.astype("<u4").tobytes(), 1)], pa.binary()),
+                    "words": pa.array([_packed(numbers.astype("<u4"))], pa.binary()),
                 })
                 number += 1
 
@@ -78,22 +93,67 @@ def blocks_of(docs: DataFrame, held: Column) -> DataFrame:
     return staged(rows.mapInArrow(run, schema), "hmm-blocks")
 
 
-class _Texts:
-    """Texts of a block side by side, longest first: entry `first[t] + r` is token t of the r-th longest; ends included, as class `end`."""
+class _Rows:
+    """Stretches of tokens side by side, longest first: entry `first[t] + r` is token t of the r-th longest, its class in `kind`.
 
-    def __init__(self, n: np.ndarray, classes: np.ndarray, end: int = CLASSES):
-        self.order = np.argsort(-n, kind="stable")
-        length = n[self.order] + 1
-        begin = np.concatenate([[0], np.cumsum(n)])[self.order]
-        self.at_step = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left") if len(length) else np.zeros(0, np.int64)
+    Values by state lie step by step, those of a step state by state: `steps(values, k)` gives each step's, a row for each state.
+    """
+
+    def __init__(self, begin: np.ndarray, size: np.ndarray, classes: np.ndarray):
+        steps = int(size[0]) if len(size) else 0
+        self.size = size
+        self.at_step = np.searchsorted(-size, -np.arange(steps), "left")
         self.first = np.concatenate([[0], np.cumsum(self.at_step)]).astype(np.int64)
-        step = np.repeat(np.arange(len(self.at_step)), self.at_step)
+        step = np.repeat(np.arange(steps), self.at_step)
         self.row = np.arange(self.first[-1]) - self.first[step]
-        ended = step == length[self.row] - 1
-        self.token = np.where(ended, 0, begin[self.row] + step) if len(classes) else np.zeros(len(step), np.int64)
-        self.kind = np.where(ended, end, classes[self.token] if len(classes) else end)
-        self.before = self.first[np.maximum(step - 1, 0)] + self.row
-        self.later = step > 0
+        self.kind = classes[begin[self.row] + step]
+        #: steps where the number of rows changes: in between they form one block
+        self.turns = np.concatenate([[0], np.flatnonzero(np.diff(self.at_step)) + 1, [steps]]).tolist() if steps else [0]
+
+    def runs(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """Steps of equally many rows: first step and the one behind the last, first entry and the one behind the last, rows."""
+        for t, u in zip(self.turns[:-1], self.turns[1:]):
+            yield t, u, int(self.first[t]), int(self.first[u]), int(self.at_step[t])
+
+    def indices(self, states: int, classes: int) -> np.ndarray:
+        """Where each entry's emissions stand in a table with a row for each state."""
+        out = np.empty(states * len(self.kind), np.int64)
+        offset = (np.arange(states) * classes)[:, None]
+        for t, u, lo, hi, n in self.runs():
+            np.add(self.kind[lo:hi].reshape(u - t, 1, n), offset, out=out[states * lo : states * hi].reshape(u - t, states, n))
+        return out
+
+    def steps(self, values: np.ndarray, states: int) -> list[np.ndarray]:
+        return [values[states * lo : states * hi].reshape(states, hi - lo) for lo, hi in itertools.pairwise(self.first.tolist())]
+
+
+class _Texts(_Rows):
+    """Texts side by side, ends included as class `end`; one of more than SEGMENT tokens is cut into pieces, so that no text makes many steps of few rows.
+
+    `text` and `nth` tell each row's text and the number of its piece there; `chains` are the rows of each text of several pieces, in order.
+    """
+
+    def __init__(self, n: np.ndarray, classes: np.ndarray, end: int = CLASSES):
+        length = np.asarray(n, np.int64) + 1
+        stop = np.cumsum(length)
+        full = np.full(length.sum(), end, np.int64)
+        inner = np.ones(len(full), bool)
+        inner[stop - 1] = False
+        full[inner] = classes
+        pieces = -(-length // SEGMENT)
+        text = np.repeat(np.arange(len(length)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        size = np.minimum(length[text] - nth * SEGMENT, SEGMENT)
+        order = np.argsort(-size, kind="stable")
+        self.texts, self.text, self.nth = len(length), text[order], nth[order]
+        begin = ((stop - length)[text] + nth * SEGMENT)[order]
+        super().__init__(begin, size[order], full)
+        long = np.flatnonzero(pieces[self.text] > 1)
+        self.long_rows, self.long = long, _Rows(begin[long], size[order][long], full)
+        by_text = long[np.lexsort((self.nth[long], self.text[long]))]
+        self.chains = np.split(by_text, np.flatnonzero(np.diff(self.text[by_text])) + 1) if len(long) else []
+        self.place = np.zeros(len(order), np.int64)
+        self.place[long] = np.arange(len(long))
 
 
 @dataclass
@@ -102,24 +162,81 @@ class Model:
     move: np.ndarray
     emit: np.ndarray  # a row for each class
 
-    def forward(self, x: _Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward values and scales of all tokens, and the emissions looked up."""
-        e = self.emit[x.kind]
-        a, scale = np.empty_like(e), np.empty(len(e))
-        now = None
-        for t in range(len(x.at_step)):
-            lo, hi = x.first[t], x.first[t + 1]
-            now = (self.start if now is None else now[: hi - lo] @ self.move) * e[lo:hi]
-            s = now.sum(1)
-            now /= s[:, None]
-            a[lo:hi], scale[lo:hi] = now, s
-        return a, scale, e
+    @cached_property
+    def scaled(self) -> tuple[np.ndarray, np.ndarray]:
+        """Emissions, a row for each state, as shares of the class's largest, and the logarithm of that."""
+        top = self.emit.max(1)
+        return np.ascontiguousarray((self.emit / top[:, None]).T), np.log(top)
+
+    def passages(self, x: _Rows, starts: np.ndarray) -> np.ndarray:
+        """What each stretch does to forward values, but for a factor: [j, i, r] from state i in front of stretch r to its last state j, or from its own first state where `starts`."""
+        k = len(self.start)
+        e = x.steps(np.take(self.scaled[0], x.indices(k, len(self.emit))), k)
+        out = np.empty((k, k, len(starts)))
+        turned = np.ascontiguousarray(self.move.T)
+        now = np.where(starts, np.eye(k)[:, :, None], turned[:, :, None]) * e[0][:, None]
+        for t in range(1, len(e)):
+            n = e[t].shape[1]
+            if n < now.shape[2]:
+                out[:, :, n : now.shape[2]] = now[:, :, n:]
+                now = now[:, :, :n]
+            now = np.dot(turned, now.reshape(k, -1)).reshape(k, k, n)
+            now *= e[t][:, None]
+            if t % RESCALE == 0:
+                now /= now.sum((0, 1))
+        out[:, :, : now.shape[2]] = now
+        return out
+
+    def edges(self, x: _Texts) -> tuple[np.ndarray, np.ndarray]:
+        """For each row, the forward values in front of it (of pieces that go on a text) and the backward values at its end."""
+        k, n = len(self.start), len(x.text)
+        before, after = np.zeros((k, n)), np.ones((k, n))
+        if x.chains:
+            through = self.passages(x.long, x.nth[x.long_rows] == 0)
+            for rows in x.chains:
+                own = [through[:, :, x.place[r]] for r in rows]
+                v = self.start
+                for r, p in zip(rows[1:], own):
+                    v = p @ v
+                    before[:, r] = v = v / v.sum()
+                v = np.ones(k)
+                for r, p in zip(rows[-2::-1], own[:0:-1]):
+                    v = v @ p
+                    after[:, r] = v = v / v.sum()
+        return before, after
+
+    def forward(self, x: _Texts, before: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+        """Forward values of all tokens, the scaled emissions that made them, these by steps, and each row's log-likelihood but for its classes' largest emissions."""
+        k = len(self.start)
+        turned = np.ascontiguousarray(self.move.T)
+        w = np.take(self.scaled[0], at)
+        a, likely = np.empty_like(w), np.zeros(len(x.text))
+        last = np.empty(len(x.text))
+        values, given = x.steps(a, k), x.steps(w, k)
+        for t, (now, e) in enumerate(zip(values, given)):
+            n = now.shape[1]
+            if t == 0:
+                now[:] = np.where(x.nth == 0, self.start[:, None], turned @ before)
+            else:
+                then = values[t - 1]
+                if then.shape[1] > n:
+                    last[n : then.shape[1]] = then[:, n:].sum(0)
+                    then = np.ascontiguousarray(then[:, :n])
+                np.dot(turned, then, out=now)
+            now *= e
+            if t % RESCALE == 0:
+                s = now.sum(0)
+                now /= s
+                e /= s
+                likely[:n] += np.log(s)
+        last[: values[-1].shape[1]] = values[-1].sum(0)
+        return a, w, given, likely + np.log(last)
 
     def log10(self, x: _Texts) -> np.ndarray:
         """log10 of the probability of each text's classes, in the texts' own order."""
-        out = np.empty(len(x.order))
-        out[x.order] = np.bincount(x.row, np.log10(self.forward(x)[1]), len(x.order))
-        return out
+        at = x.indices(len(self.start), len(self.emit))
+        likely = self.forward(x, self.edges(x)[0], at)[3] + np.bincount(x.row, self.scaled[1][x.kind], len(x.text))
+        return np.bincount(x.text, likely, x.texts) / math.log(10)
 
     def counts(self, x: _Texts) -> np.ndarray:
         """Expected starts, moves and emissions of one Baum-Welch step, in one row of numbers."""
@@ -128,19 +245,40 @@ class Model:
     def step(self, x: _Texts) -> np.ndarray:
         """`counts`, and then the texts' log-likelihood (natural) and their number of tokens."""
         k, n = len(self.start), len(self.emit)
-        if not len(x.row):
+        if not len(x.kind):
             return np.zeros(k + k * k + k * n + 2)
-        a, scale, e = self.forward(x)
-        later = np.ones_like(a)
-        e /= scale[:, None]
-        for t in range(len(x.at_step) - 2, -1, -1):
-            lo, mid, hi = x.first[t], x.first[t + 1], x.first[t + 2]
-            later[lo : lo + hi - mid] = (later[mid:hi] * e[mid:hi]) @ self.move.T
-        moves = self.move * (a[x.before[x.later]].T @ (later * e)[x.later])
-        a *= later
-        a /= a.sum(1)[:, None]
-        emitted = [np.bincount(x.kind, a[:, s], n) for s in range(k)]
-        return np.concatenate([a[: x.at_step[0]].sum(0), moves.ravel(), *emitted, [np.log(scale).sum(), len(scale)]])
+        at = x.indices(k, n)
+        before, after = self.edges(x)
+        a, w, given, likely = self.forward(x, before, at)
+        later = np.empty_like(a)
+        values = x.steps(later, k)
+        values[-1][:] = after[:, : values[-1].shape[1]]
+        for t in range(len(values) - 1, 0, -1):
+            own, now, then = given[t], values[t], values[t - 1]
+            own *= now
+            here = own.shape[1]
+            if then.shape[1] == here:
+                np.dot(self.move, own, out=then)
+            else:
+                then[:, :here] = np.dot(self.move, own)
+                then[:, here:] = after[:, here : then.shape[1]]
+        given[0] *= values[0]
+        later *= a
+        moves = np.zeros((k, k))
+        for t, u, lo, hi, rows in x.runs():
+            of_run = lambda v: v[k * lo : k * hi].reshape(u - t, k, rows)  # noqa: E731, B023
+            likes, onward = of_run(later), of_run(w)
+            each = likes.sum(1, keepdims=True)
+            likes /= each
+            onward /= each
+            if t:
+                moves += a[k * x.first[t - 1] : k * lo].reshape(k, -1)[:, :rows] @ onward[0].T
+            moves += np.tensordot(of_run(a)[:-1], onward[1:], ([0, 2], [0, 2]))
+        goes_on = x.nth > 0
+        moves += before[:, goes_on] @ given[0][:, goes_on].T
+        emitted = np.bincount(at, later, k * n)
+        likelihood = likely.sum() + emitted.reshape(k, n).sum(0) @ self.scaled[1]
+        return np.concatenate([values[0][:, ~goes_on].sum(1), (self.move * moves).ravel(), emitted, [likelihood, len(x.kind)]])
 
     @staticmethod
     def of(counts: np.ndarray, more: np.ndarray, k: int = STATES) -> Model:
@@ -154,7 +292,7 @@ def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Held-out flags, word counts, words and word numbers of a block."""
     return (
         np.frombuffer(row["held"], bool), np.frombuffer(row["n"], "<i8"), np.frombuffer(row["vocabulary"], "<u8"),
-        np.frombuffer(zlib.decompress(row["words"]), "<u4"),
+        _unpacked(row["words"], "<u4"),
     )
 
 
@@ -183,10 +321,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = None
     for b in batches:
         for x in b.column(0):
-            own = np.frombuffer(zlib.decompress(x.as_py()), "float64")
+            own = _unpacked(x.as_py(), "float64")
             total = own.copy() if total is None else total + own
     if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
 
 def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray) -> tuple[Model, list[float]]:
@@ -218,14 +356,14 @@ def train(blocks: DataFrame, tokens: np.ndarray, types: np.ndarray) -> tuple[Mod
                         own = model.step(x)
                         total = own if total is None else np.add(total, own, out=total)
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
         some = texts.mapInArrow(run, "counts binary").repartition(math.isqrt(few)).mapInArrow(_added, "counts binary")
         found = some.repartition(1).mapInArrow(_added, "counts binary").first()
         now.unpersist()
         if found is None:
             break
-        total = np.frombuffer(zlib.decompress(found["counts"]), "float64")
+        total = _unpacked(found["counts"], "float64")
         likelihoods.append(total[-2] / total[-1])
         m = Model.of(total[:-2], more)
         small = small + 1 if len(likelihoods) > 1 and likelihoods[-1] - likelihoods[-2] < LEAST_GAIN else 0

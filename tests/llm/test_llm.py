@@ -295,6 +295,22 @@ def test_forward_is_exact_and_counts_are_expected_values():
     assert np.allclose(m.counts(x), np.concatenate([starts, moves.ravel(), emitted.ravel()]))
 
 
+def test_pieces_of_long_texts_count_like_whole_texts(monkeypatch):
+    r = np.random.default_rng(5)
+    n = np.array([0, 70, 9, 33, 8, 70])
+    kinds = r.integers(0, 20, n.sum())
+    m = hmm.Model(np.array([0.2, 0.3, 0.5]), r.dirichlet(np.ones(3), 3), r.uniform(1e-6, 1, (21, 3)))
+    seen = []
+    for size in (1000, 8, 1):
+        monkeypatch.setattr(hmm, "SEGMENT", size)
+        x = hmm._Texts(n, kinds, 20)
+        assert len(x.at_step) == min(size, 71)
+        seen.append((m.step(x), m.log10(x)))
+    for counts, scores in seen[1:]:
+        assert np.allclose(counts, seen[0][0], rtol=1e-9) and np.allclose(scores, seen[0][1], rtol=1e-12)
+    assert abs(seen[0][0][-2] - seen[0][1].sum() * math.log(10)) < 1e-9 and seen[0][0][-1] == 196
+
+
 def test_scores_of_all_rows(spark, odd, empty):
     from pyspark.sql import functions as F
 
