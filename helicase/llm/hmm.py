@@ -32,7 +32,7 @@ STATES = 6
 #: Classes of words at least, a power of two; one more holds the end of a text.
 CLASSES = 1 << 14
 #: Bytes of text in a block.
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 #: Tokens whose forward values are held at once, unless one text has more.
 PART_TOKENS = 100_000
 #: Tokens of a text that are walked in one go; longer texts are cut into pieces that are walked side by side.
