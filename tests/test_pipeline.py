@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -449,3 +450,44 @@ def test_encoding_matches_brute_force(spark):
     assert any(s[2] for s in want) and any(s[2] is False for s in want)
     t = totals.first()
     assert (t.emitted, t.bases) == (sum(s[3] for s in want), want[-1][0] + want[-1][4])
+
+
+@pytest.mark.parametrize("bases, longest", [(128, 600), (1 << 15, 8192), (1 << 15, 200)])
+def test_references_beyond_the_fine_lengths(spark, monkeypatch, bases, longest):
+    monkeypatch.setattr(selfref, "BASES", bases)
+    rng = random.Random(17)
+    a = rand_seq(rng, 700)
+    mutated = list(a)
+    for i in range(40, 700, 90):
+        mutated[i] = "ACGT"["ACGT".index(mutated[i]) ^ 1]
+    del mutated[300]
+    g = rand_seq(rng, 50) + a + rc("".join(mutated)) + rand_seq(rng, 37) + a[:640] + rand_seq(rng, 100) + a[:560] + rc(a[100:400])
+    chunks = chunked(spark, {"r": g}, 32)
+    order = genome.with_offsets(genome.chromosomes(chunks))
+    got = {r.pos: (-r.length, r.edits, r.at, r.reverse) for r in selfref.best_references(chunks, 32, order, longest).collect()}
+    spots = [*range(0, 750, 150), *range(745, len(g) - 16, 83), 787, 788, 1487, 1488]
+    want = {u: b for u in spots if (b := brute_best(g, u, longest))}
+    assert {u: b for u, b in got.items() if u in set(spots)} == want
+    if longest > 256:
+        assert {n for n, *_ in want.values()} >= {-128, -256, -512} and any(e and n <= -256 for n, e, *_ in want.values()) and any(r and n <= -256 for n, _, _, r in want.values())
+
+
+def test_copies_of_a_long_stretch_do_not_multiply(spark):
+    # Places that read the same for all lengths are one candidate, those that differ far behind are not.
+    rng = random.Random(4)
+    a, b = rand_seq(rng, 400), rand_seq(rng, 64)
+    chunks = chunked(spark, {"r": a + b + a + b + a + a + rand_seq(rng, 32)}, 32)
+    rows = selfref.stretches(chunks, 32, 256).collect()
+    ahead = [x for r in sorted(rows, key=lambda r: r.node) for x in r.ahead]
+    assert ahead[0] == ahead[464] == ahead[928] and ahead[144] == ahead[608] and ahead[200] != ahead[1128] and ahead[208] != ahead[209]
+    assert selfref.text_ids(np.array([1, 2, 3, 4, 1, 2, 3, 4, 1, 2]), 6).tolist()[0] == selfref.text_ids(np.array([1, 2, 3, 4, 1, 2]), 6).tolist()[0]
+
+
+def test_j15_searches_for_whole_references(spark, sf_dir, monkeypatch):
+    # It was called with 64 bases at most, the operator's own limit is that of the original.
+    import __spark_entry__ as entry
+
+    seen = []
+    monkeypatch.setattr(selfref, "best_references", lambda chunks, size, order, longest=selfref.LONGEST: seen.append(longest))
+    entry.queries()["j15_best_reference"](spark, sf_dir)
+    assert seen == [8192]
