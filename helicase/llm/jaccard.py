@@ -33,8 +33,8 @@ BUCKETS = 1 << 20
 FEW = 48
 #: Size of the filter for sets that meet others.
 FILTER_BITS = 1 << 24
-#: N-grams of a block of a cluster.
-BLOCK = 100_000
+#: N-grams of a block of a cluster. A set of a cluster with m blocks is sent to about m tasks, so few large blocks shuffle little.
+BLOCK = 1_000_000
 
 
 def sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -242,37 +242,52 @@ def _cluster_links(clusters: DataFrame, arrays: DataFrame, percent: int) -> Data
     def product(x: pd.DataFrame) -> pd.DataFrame:
         left = x if x["square"].iloc[0] else x[x["side"] == 0]
         right = x if x["square"].iloc[0] else x[x["side"] == 1]
-        rows, cols = [], []
-        if len(left) and len(right):
-            a, b = list(left["grams"]), list(right["grams"])
-            size = np.array([len(g) for g in b])
-            for i, n in enumerate(overlaps(a, b)):
-                j = np.flatnonzero(100 * n >= percent * (len(a[i]) + size - n))
-                rows.append(np.full(len(j), i))
-                cols.append(j)
-        if not rows:
+        if not (len(left) and len(right)):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        rows, cols = np.concatenate(rows), np.concatenate(cols)
+        a, b = list(left["grams"]), list(right["grams"])
+        size = np.array([len(g) for g in b])
         names = np.concatenate([left["set"].to_numpy(), right["set"].to_numpy()])
-        label = np.arange(len(names))
-        cols = cols + len(left)
-        same = pd.Series(label).groupby(names).transform("min").to_numpy()
-        label = same
-        while True:
-            old = label.copy()
-            low = np.minimum(label[rows], label[cols])
-            np.minimum.at(label, rows, low)
-            np.minimum.at(label, cols, low)
-            label = np.minimum(label, label[same])
-            label = label[label]
-            if (label == old).all():
-                break
+        label = pd.Series(np.arange(len(names))).groupby(names).transform("min").to_numpy().copy()
+        # merged row by row: the links of a block are as many as its pairs, its sets few
+        for i, n in enumerate(overlaps(a, b)):
+            j = np.flatnonzero(100 * n >= percent * (len(a[i]) + size - n))
+            met = np.unique(label[np.append(j + len(a), i)])
+            if len(met) > 1:
+                label[np.isin(label, met)] = met[0]
         out = pd.DataFrame({"a": names, "b": names[label]})
         return out[out["a"] != out["b"]].drop_duplicates()
 
     return units.groupBy("unit").applyInPandas(product, "a bigint, b bigint")
 
 
+def _pair_links(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """The `pairs` (a, b) that link.
+
+    Pairs are compared in units, to each of which a set is sent once: sets that have their smallest neighbour in common are
+    together, by blocks if they are many, so that a set with many partners isn't sent to each of them.
+    """
+    sides = pairs.select(F.col("a").alias("set"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("set"), F.col("a").alias("other")))
+    homes = sides.groupBy("set").agg(F.min("other").alias("least")).select("set", F.least("set", "least").alias("home")).join(arrays.select("set", "size"), "set")
+    homes = staged(homes, "jaccard-homes")
+    blocks = homes.groupBy("home").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    # small groups share units, as a unit costs a call
+    units = (homes.agg(F.sum("size")).first()[0] or 0) // (BLOCK // 4 + 1) + 1
+    keys = homes.join(blocks, "home").select("set", F.pmod(F.xxhash64("home", F.pmod(F.xxhash64("set"), "blocks")), F.lit(units)).alias("key"))
+    named = lambda c: keys.select(F.col("set").alias(c), F.col("key").alias(f"key_{c}"))
+    placed = pairs.join(named("a"), "a").join(named("b"), "b")
+    placed = staged(placed.select("a", "b", F.xxhash64(F.least("key_a", "key_b"), F.greatest("key_a", "key_b")).alias("unit")), "jaccard-units")
+    sent = placed.select("unit", F.col("a").alias("set")).unionByName(placed.select("unit", F.col("b").alias("set"))).distinct()
+    sent = staged(sent.join(arrays.select("set", "grams"), "set"), "jaccard-sent")
+
+    def compare(pairs: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        grams = dict(zip(sent["set"].tolist(), sent["grams"]))
+        sides = [(grams[x], grams[y]) for x, y in zip(pairs["a"].tolist(), pairs["b"].tolist())]
+        links = [100 * (n := len(np.intersect1d(x, y, assume_unique=True))) >= percent * (len(x) + len(y) - n) for x, y in sides]
+        return pairs.loc[np.array(links, bool), ["a", "b"]]
+
+    return placed.groupBy("unit").cogroup(sent.groupBy("unit")).applyInPandas(compare, "a bigint, b bigint")
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, n_equal and component_id of every row of `docs` (doc_id, text).
 
@@ -286,11 +301,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     meet = staged(_meetings(_columns(docs, common.tree_sum(survey, "counts", "int64"), k, percent), percent), "jaccard-meetings")
     wanted = meet.select(F.col("a").alias("set")).union(meet.select("b")).distinct()
     arrays = _arrays(docs, staged(wanted, "jaccard-wanted"), k)
-    pairs = meet.filter("not many").select("a", "b")
-    with_b = pairs.join(arrays.select(F.col("set").alias("b"), F.col("grams").alias("y")), "b")
-    both = with_b.join(arrays.select(F.col("set").alias("a"), F.col("grams").alias("x")), "a")
-    n = F.size(F.array_intersect("x", "y"))
-    links = both.filter(100 * n >= percent * (F.size("x") + F.size("y") - n)).select("a", "b")
+    links = staged(_pair_links(meet.filter("not many").select("a", "b"), arrays, percent), "jaccard-links")
     clusters = components(meet.filter("many"))
     roots = components(links.unionByName(_cluster_links(clusters, arrays, percent)))
     rows = survey.filter("counts is null").select("doc_id", "size", "set")

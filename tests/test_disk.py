@@ -72,3 +72,30 @@ def test_what_the_seed_search_shuffled_goes_before_candidates_are_scored(spark):
     found = seeds.seeded_matches(reads, ext, 32, stage=lambda df, name: staged.append(name) or materialise(df, name))
     assert staged == ["starts"]
     assert (1, 1, "r", 21, False) in {tuple(r)[:5] for r in found.collect()}
+
+
+def test_a_set_with_many_partners_is_sent_once(spark, monkeypatch):
+    from helicase.llm import jaccard
+
+    sent = {}
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: sent.setdefault(name, materialise(df, name)))
+    grams = {i: list(range(100)) + [1000 + i * 10 + j for j in range(i % 4 * 10)] for i in range(1, 25)}
+    arrays = spark.createDataFrame([(i, len(g), g) for i, g in grams.items()], "set long, size long, grams array<long>")
+    pairs = [(a, b) for a in grams for b in grams if a < b]
+    links = jaccard._pair_links(spark.createDataFrame(pairs, "a long, b long"), arrays, 80)
+    j = lambda x, y: len(x & y) * 100 >= 80 * len(x | y)
+    assert {tuple(r) for r in links.collect()} == {(a, b) for a, b in pairs if j(set(grams[a]), set(grams[b]))}
+    assert sent["jaccard-sent"].count() == len(grams)  # 552 rows if each pair brought its own
+
+
+def test_a_cluster_of_near_copies_is_sent_in_few_blocks(spark, monkeypatch):
+    from helicase.llm import jaccard
+
+    # 600 sets of 400 n-grams made three blocks, each of them sent to three products
+    arrays = spark.createDataFrame([(i, 400, [*range(390), *range(1000 + i * 10, 1010 + i * 10)]) for i in range(600)], "set long, size long, grams array<long>")
+    clusters = arrays.select(F.col("set").alias("node"), F.lit(0).cast("long").alias("root"))
+    dims = []
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: dims.append(materialise(df, name)) or dims[-1])
+    edges = {tuple(r) for r in jaccard._cluster_links(clusters, arrays, 80).collect()}
+    assert [r.blocks for r in dims[0].collect()] == [1]
+    assert len(edges) == 599 and len({b for _, b in edges}) == 1 and {x for e in edges for x in e} == set(range(600))
