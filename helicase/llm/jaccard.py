@@ -33,8 +33,9 @@ BUCKETS = 1 << 20
 FEW = 48
 #: Size of the filter for sets that meet others.
 FILTER_BITS = 1 << 24
-#: N-grams of a block of a cluster. A set of a cluster with m blocks is sent to about m tasks, so few large blocks shuffle little.
-BLOCK = 1_000_000
+#: N-grams of a block of a cluster. A set of a cluster with m blocks is sent to about m tasks, so few large blocks shuffle little; a cluster
+#: of more than SHARED n-grams has up to SPREAD smaller blocks all the same, so that several tasks share it.
+BLOCK, SHARED, SPREAD = 1_000_000, 100_000, 4
 
 
 def sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -226,7 +227,8 @@ def _cluster_links(clusters: DataFrame, arrays: DataFrame, percent: int) -> Data
     # sets of similar sizes lie in the same class or in neighbouring ones
     classes = F.floor(F.log("size") / F.lit(math.log(100 / percent) * 1.01))
     members = clusters.select(F.col("node").alias("set"), F.col("root").alias("cluster")).join(arrays, "set").withColumn("class", classes)
-    total = members.groupBy("cluster", "class").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks"))
+    total = members.groupBy("cluster", "class").agg(F.sum("size").alias("sum"))
+    total = total.select("cluster", "class", F.greatest(F.ceil(F.col("sum") / BLOCK), F.least(F.ceil(F.col("sum") / SHARED), F.lit(SPREAD))).alias("blocks"))
     after = total.select("cluster", (F.col("class") - 1).alias("class"), F.col("blocks").alias("next"))
     before = total.select("cluster", (F.col("class") + 1).alias("class"), F.col("blocks").alias("previous"))
     dims = total.join(after, ["cluster", "class"], "left").join(before, ["cluster", "class"], "left").na.fill(0, ["next", "previous"])
